@@ -73,23 +73,41 @@ EMOJI_WORDS = {
 
 def _char_class(points: str) -> str:
     spans = ("-".join(rf"\x{{{p}}}" for p in span.split("-")) for span in points.split())
-    return "[" + "".join(spans) + "]"
-
-
-_BASE = _char_class(EMOJI_POINTS)
-_UNIT = rf"{_BASE}[\x{{FE0F}}\x{{1F3FB}}-\x{{1F3FF}}]?"
-_TAGS = r"(?:[\x{E0020}-\x{E007E}]+\x{E007F})?"
-
-# A flag, a keycap, or emoji units (with variation sign, skin tone or tags) joined by U+200D.
-EMOJI = (
-    r"[\x{1F1E6}-\x{1F1FF}]{2}"
-    r"|[0-9#*]\x{FE0F}?\x{20E3}"
-    rf"|{_UNIT}{_TAGS}(?:\x{{200D}}{_UNIT})*"
-)
+    return "".join(spans)
+
+
+def _layered_class(points: str) -> str:
+    """Java class that looks at the long list only for characters of the right block."""
+    blocks: dict[str, list[str]] = {"A0-FF": [], "2000-3300": [], "1F000-1FAFF": []}
+    for span in points.split():
+        first = int(span.split("-")[0], 16)
+        for block, spans in blocks.items():
+            low, high = (int(x, 16) for x in block.split("-"))
+            if low <= first <= high:
+                spans.append(span)
+    parts = (f"[{_char_class(b)}&&[{_char_class(' '.join(s))}]]" for b, s in blocks.items())
+    return "[" + "".join(parts) + "]"
+
+
+def sequence_pattern(base: str) -> str:
+    """A flag, a keycap, or emoji units (with variation sign, skin tone or tags) joined by U+200D."""
+    unit = rf"{base}[\x{{FE0F}}\x{{1F3FB}}-\x{{1F3FF}}]?"
+    tags = r"(?:[\x{E0020}-\x{E007E}]+\x{E007F})?"
+    return (
+        r"[\x{1F1E6}-\x{1F1FF}]{2}"
+        r"|[0-9#*]\x{FE0F}?\x{20E3}"
+        rf"|{unit}{tags}(?:\x{{200D}}{unit})*"
+    )
+
+
+EMOJI = sequence_pattern(_layered_class(EMOJI_POINTS))
+# The same without class intersection, for regex engines that lack it.
+EMOJI_FLAT = sequence_pattern(f"[{_char_class(EMOJI_POINTS)}]")
 VARIATION = r"[\x{FE0E}\x{FE0F}]"
 # Coarse superset of everything above: texts that miss it skip the exact pattern.
 MAYBE_EMOJI = (
-    r"[\x{A9}\x{AE}\x{203C}-\x{3299}\x{FE0E}\x{FE0F}\x{1F000}-\x{1FAFF}]"
+    r"[\x{A9}\x{AE}[\x{203C}-\x{1FAFF}&&"
+    r"[\x{203C}-\x{3299}\x{FE0E}\x{FE0F}\x{1F000}-\x{1FAFF}]]]"
 )
 
 

@@ -25,14 +25,12 @@ def describe_schema(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n_rows")).select(F.inline(kinds), "n_rows")
 
 
-def column_list(df: DataFrame) -> list[str]:
-    return df.columns
-
-
 def assert_absent(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Rows ``(column, present)`` for columns that should be gone; reads only the schema."""
-    rows = [(c, c in df.columns) for c in cols]
-    return df.sparkSession.createDataFrame(rows, "column string, present boolean")
+    """Rows ``(column, present, n_rows)`` for columns that should be gone from the table."""
+    checks = F.array(
+        *[F.struct(F.lit(c).alias("column"), F.lit(c in df.columns).alias("present")) for c in cols]
+    )
+    return df.agg(F.count("*").alias("n_rows")).select(F.inline(checks), "n_rows")
 
 
 def _per_column(df: DataFrame, measure, value: str) -> DataFrame:

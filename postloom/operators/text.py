@@ -16,7 +16,22 @@ def with_clean_text(
     text: str = "full_text",
     out: str = "clean_text",
 ) -> DataFrame:
-    return df.withColumn(out, X.clean_text(F.col(text), config))
+    """The whole cleaning chain, in three projections.
+
+    The emoji step reads its input several times; as a column of its own that input is computed
+    once per row.
+    """
+    source, tagged, worded = F.col(text), F.col("__tagged"), F.col("__worded")
+    if config.null_text == "literal":
+        source = F.coalesce(source, F.lit("None"))
+    bare = X.strip_mentions(X.strip_urls(F.lower(X.nfkc(source))))
+    words = X.join_compounds(worded, config.compounds)
+    return (
+        df.withColumn("__tagged", X.hashtags(bare, config.hashtag_strategy))
+        .withColumn("__worded", X.emojis(tagged, config.emoji_strategy))
+        .withColumn(out, X.squeeze(X.split_hyphens(words)))
+        .drop("__tagged", "__worded")
+    )
 
 
 def with_tokens(df: DataFrame, text: str = "clean_text", out: str = "tokens") -> DataFrame:

@@ -53,9 +53,8 @@ def run(
     corpus.write_corpus(planned, outputs.corpus)
     stored = corpus.read_corpus(spark, outputs.corpus, planned.schema)
     runlog.append_log(runlog.run_log(stored, config), outputs.log)
-    delimited.write_table_csv(
-        sample.sample_n(stored.drop("tokens"), config.sample_size, config.seed, key), outputs.sample
-    )
+    drawn = sample.sample_n(stored, config.sample_size, config.seed, key)
+    delimited.write_table_csv(drawn, outputs.sample)
     if config.label_strategy.lower() != "none":
         sheet = label.validation_sample(stored, config.validation_size, config.seed, key)
         delimited.write_table_csv(sheet, outputs.validation)

@@ -32,6 +32,7 @@ def read_raw_csv(
     schema: T.StructType | str,
     sep: str = ",",
     multi_line: bool = True,
+    header: bool = True,
 ) -> DataFrame:
     """Read a UTF-8 export with a header: short rows are padded, rows with too many fields dropped.
 
@@ -46,7 +47,7 @@ def read_raw_csv(
     raw = spark.read.csv(
         path,
         schema=text.add(bad, T.StringType()),
-        header=True,
+        header=header,
         sep=sep,
         quote='"',
         escape='"',
@@ -71,5 +72,6 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_table_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write a sheet with a header; quotes inside fields are doubled."""
-    df.write.mode(mode).csv(path, header=True, quote='"', escape='"', emptyValue="")
+    """Write a sheet with a header; quotes inside fields are doubled, arrays become JSON text."""
+    lists = [f.name for f in df.schema if isinstance(f.dataType, T.ArrayType)]
+    df.withColumns({c: F.to_json(c) for c in lists}).write.mode(mode).csv(path, header=True, quote='"', escape='"', emptyValue="")
