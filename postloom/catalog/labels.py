@@ -37,7 +37,7 @@ def _label_sql(lexicon, label: str, confidence: str) -> str:
     top = f"greatest({pos} + 0.5::DOUBLE, {neg} + 0.5::DOUBLE, {neutral})"
     return f"""CASE WHEN {pos} + 0.5 > greatest({neg} + 0.5, {neutral}) THEN 'positivo'
   WHEN {neg} + 0.5 > greatest({pos} + 0.5, {neutral}) THEN 'negativo' ELSE 'neutro' END AS {label},
-  round({top} / {mass}, 3) AS {confidence}"""
+  round_even({top} / {mass}, 3) AS {confidence}"""
 
 
 TOKENS = f"{CLEAN}, toks AS (SELECT doc_id, {S.tokens_sql('clean_text')} AS toks FROM cleaned)"
@@ -59,12 +59,6 @@ def annotators():
     }
 
 
-def _rounded(df):
-    return df.withColumns(
-        {c: F.round(c, 3) for c in df.columns if c.startswith("label_conf")}
-    )
-
-
 @query(
     "lb1_lexicon_hits",
     f"WITH {TOKENS} SELECT doc_id, ({_hits_sql(FIRST, 1)})::INT AS pos,"
@@ -134,7 +128,7 @@ def load_word_model():
 def model_scorer(t):
     annotator = LB.Annotator(LB.model_scorer(load_word_model))
     rows = LB.annotate(clean_documents(t), annotator)
-    return _rounded(rows.drop("clean_text"))
+    return rows.drop("clean_text")
 
 
 @query(
@@ -168,7 +162,7 @@ def argmax_label(t):
 
 @query("lb4_label_both", f"WITH {TOKENS}, {BOTH} SELECT * FROM both_labels")
 def label_both(t):
-    return _rounded(LB.label_posts(clean_documents(t), "both", annotators()).drop("clean_text"))
+    return LB.label_posts(clean_documents(t), "both", annotators()).drop("clean_text")
 
 
 @query(
@@ -177,9 +171,7 @@ def label_both(t):
   label_conf_secondary AS label_confidence FROM both_labels""",
 )
 def label_secondary(t):
-    return _rounded(
-        LB.label_posts(clean_documents(t), "Secondary", annotators()).drop("clean_text")
-    )
+    return LB.label_posts(clean_documents(t), "Secondary", annotators()).drop("clean_text")
 
 
 def _kappa_sql(source: str, a: str, b: str) -> str:

@@ -58,7 +58,7 @@ def nullify(t):
 @query(
     "io3_read_corpus",
     f"""WITH {POSTS} SELECT id, full_text, lang, source, n_chars,
-  epoch_ms(created_at) AS created_at, retweet_count, favorite_count, retweeted FROM posts""",
+  epoch_us(created_at) // 1000 AS created_at, retweet_count, favorite_count, retweeted FROM posts""",
 )
 def read_corpus(t):
     path = shared_dir(t.spark, "corpus")

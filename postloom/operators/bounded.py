@@ -116,24 +116,32 @@ def as_double(df: DataFrame, name: str) -> Column:
 
 
 def exact_quantiles(
-    values: DataFrame, probabilities: Sequence[float], slices: int = 1000
+    values: DataFrame, probabilities: Sequence[float], side: int = 32
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per column of a ``numeric_values`` table.
 
-    The distinct values are cut into slices of nearly equal size, and only the slices that hold a
-    wanted rank are sorted, so no task ever holds a whole column.
+    The distinct values are cut into ``side * side`` slices of nearly equal size, and only the
+    slices that hold a wanted rank are sorted, so no task ever holds a whole column.
     """
-    bounds = values.groupBy("column").agg(
-        F.percentile_approx("value", [i / slices for i in range(1, slices)], 10 * slices).alias(
-            "bounds"
-        )
+    slices = side * side
+    shares = ", ".join(f"{i / slices}D" for i in range(1, slices))
+    cuts = F.expr(f"percentile_approx(value, array({shares}), {10 * slices})")
+    bounds = values.groupBy("column").agg(cuts.alias("cuts"))
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.lit(side - 1)), lambda i: F.slice("cuts", i * side + 1, side)
     )
-    # One row per column, each with `slices` numbers.
-    sliced = values.join(F.broadcast(bounds), "column").select(
-        "column",
-        "value",
-        "n",
-        F.size(F.filter("bounds", lambda b: b < F.col("value"))).alias("slice"),
+    # One row per column with `slices` numbers: blocks of bounds, and the last bound of each block.
+    bounds = bounds.select("column", blocks.alias("blocks")).withColumn(
+        "ends", F.transform(F.slice("blocks", 1, side - 1), lambda block: F.element_at(block, -1))
+    )
+
+    def below(numbers: Column) -> Column:
+        return F.size(F.filter(numbers, lambda b: b < F.col("value")))
+
+    blocked = values.join(F.broadcast(bounds), "column").withColumn("block", below(F.col("ends")))
+    inner = below(F.element_at("blocks", F.col("block") + 1))
+    sliced = blocked.select(
+        "column", "value", "n", (F.col("block") * side + inner).alias("slice")
     )
     sizes = sliced.groupBy("column", "slice").agg(F.sum("n").alias("size"))
     running = Window.partitionBy("column").orderBy("slice")

@@ -44,15 +44,15 @@ def lexicon_hits(words: Column, lexicon: Lexicon) -> tuple[Column, Column]:
     A fixed word list is compared inside the row, so nothing is shuffled or joined.
     """
 
+    def listed(some: list[str]) -> Column:
+        return F.size(F.filter(words, lambda w: w.isin(*some)))
+
     def total(sign: int) -> Column:
         by_weight: dict[int, list[str]] = {}
         for word, weight in lexicon.items():
             if weight * sign > 0:
                 by_weight.setdefault(abs(weight), []).append(word)
-        sums = [
-            F.size(F.filter(words, lambda w, some=some: w.isin(*some))) * weight
-            for weight, some in sorted(by_weight.items())
-        ]
+        sums = [listed(some) * weight for weight, some in sorted(by_weight.items())]
         return sum(sums[1:], sums[0]) if sums else F.lit(0)
 
     return total(1), total(-1)

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..config import CLASSES
 
+# A fit makes many passes over the rows; tasks with fewer rows than this cost more than they work.
+ROWS_PER_TASK = 10_000
 KINDS = ("nb", "lr", "svm")
 NAMES = {"nb": "NaiveBayes", "lr": "LogisticRegression", "svm": "SVM"}
 
@@ -27,25 +29,35 @@ def train(
     """Fit naive Bayes (``nb``), logistic regression (``lr``) or a linear SVM (``svm``).
 
     The penalty equals a cost of one per row, so it needs the row count: pass ``n_rows`` if known.
+    Cache the rows before, as every pass reads them.
     """
     if kind not in KINDS:
         raise ValueError(f"model {kind!r}; expected one of {KINDS}")
     index = StringIndexerModel.from_labels(
         list(classes), inputCol=label, outputCol="__label", handleInvalid="skip"
     )
-    rows = index.transform(df.select(label, features))
+    n_rows = df.count() if n_rows is None else n_rows
+    tasks = -(-max(1, n_rows) // ROWS_PER_TASK)
+    rows = index.transform(df.select(label, features).coalesce(tasks))
     columns = {"featuresCol": features, "labelCol": "__label"}
     if kind == "nb":
         estimator = NaiveBayes(modelType="multinomial", smoothing=1.0, **columns)
     else:
-        penalty = 1.0 / max(1, df.count() if n_rows is None else n_rows)
+        penalty = 1.0 / max(1, n_rows)
         if kind == "lr":
             estimator = LogisticRegression(
-                maxIter=1000, elasticNetParam=0.0, regParam=penalty, standardization=False, **columns
+                maxIter=1000,
+                tol=1e-4,
+                elasticNetParam=0.0,
+                regParam=penalty,
+                standardization=False,
+                **columns,
             )
         else:
-            svc = LinearSVC(maxIter=100, regParam=penalty, standardization=False, **columns)
-            estimator = OneVsRest(classifier=svc, parallelism=4, **columns)
+            svc = LinearSVC(
+                maxIter=100, tol=1e-4, regParam=penalty, standardization=False, **columns
+            )
+            estimator = OneVsRest(classifier=svc, parallelism=min(8, len(classes)), **columns)
     fitted = estimator.fit(rows)
     back = IndexToString(inputCol="prediction", outputCol="predicted", labels=list(classes))
     return PipelineModel([fitted, back])
