@@ -30,7 +30,7 @@ def term_counts(t):
 
 @query("fe2_vocabulary", f"WITH {COUNTS}, {_vocabulary(5000)} SELECT * FROM vocab")
 def vocabulary(t):
-    return FE.vocabulary(FE.term_counts(clean_documents(t), "doc_id"))
+    return FE.vocabulary(FE.term_totals(clean_documents(t)))
 
 
 TFIDF = f"""raw AS (
@@ -54,7 +54,7 @@ FROM documents d LEFT JOIN weights w ON w.doc_id = d.doc_id GROUP BY d.doc_id"""
 )
 def tfidf_vectors(t):
     docs = clean_documents(t)
-    rows = FE.with_tfidf(docs, FE.fit_tfidf(docs, "doc_id", max_features=500))
+    rows = FE.with_tfidf(docs, FE.fit_tfidf(docs, max_features=500))
     weights = FE.vector_to_array("features")
     total = F.aggregate(weights, F.lit(0.0), lambda acc, w: acc + F.round(w, 6))
     return rows.select(
@@ -122,7 +122,7 @@ def labelled_texts(t):
 def predict_tfidf(t):
     rows = labelled_texts(t).cache()
     fit_rows, test_rows = hash_split(rows, "id")
-    vectors = FE.fit_tfidf(rows, "id", max_features=1000)
+    vectors = FE.fit_tfidf(rows, max_features=1000)
     model = ML.train(FE.with_tfidf(fit_rows, vectors), "nb")
     found = ML.predict(model, FE.with_tfidf(test_rows, vectors))
     return found.select("id", "label_sentiment", "predicted")

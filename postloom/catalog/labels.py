@@ -11,7 +11,7 @@ from ..functions import text as X
 from ..operators import agreement as A
 from ..operators import label as LB
 from . import sqltext as S
-from .registry import LABELLED, query
+from .registry import LABELLED, query, stored
 from .texts import CLEAN, clean_documents
 
 # Weights for words that do occur in the supplied texts.
@@ -81,7 +81,8 @@ def learnt_lexicon(t, docs):
     seen = docs.select("doc_id", F.explode(F.array_distinct(X.tokens(F.col("clean_text")))).alias(
         "word"))
     good = F.when(2 * F.sum("quality") > F.count("*"), 1).otherwise(-1)
-    return seen.join(t.labels, "doc_id").groupBy("word").agg(good.alias("weight"))
+    weights = seen.join(t.labels, "doc_id").groupBy("word").agg(good.alias("weight"))
+    return stored(t, weights, "lexicon")
 
 
 LEARNT_SQL = f"""WITH {TOKENS}, {LEARNT}

@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
 from ..sources.tables import read_table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,6 +65,13 @@ class Tables:
         )
 
 
+def stored(t: Tables, df: DataFrame, name: str) -> DataFrame:
+    """Write a derived table to the shared folder and read it, so that it is computed once."""
+    path = shared_dir(t.spark, name)
+    df.write.parquet(path)
+    return t.spark.read.parquet(path)
+
+
 POSTS = """posts AS (
   SELECT d.doc_id AS id, d.text AS full_text, d.lang, d.source, d.n_chars,
          e.ts AS created_at, CAST(floor(e.value) AS BIGINT) AS retweet_count,

@@ -9,7 +9,7 @@ from ..functions import patterns as P
 from ..functions import text as X
 from ..operators import text as TX
 from . import sqltext as S
-from .registry import query
+from .registry import query, stored
 
 # Noise that holds whole texts together: the documents with links, tags and emoji mixed in.
 NOISY = f"noisy AS (SELECT doc_id, {S.noisy_sql('text')} AS full_text FROM documents)"
@@ -91,28 +91,37 @@ lemmas AS (
   JOIN words b ON b.form = left(w.form, length(w.form) - 1) WHERE w.form LIKE '%s')"""
 
 
-def lemma_table(docs):
+def lemma_table(t, docs):
     words = docs.select(F.explode(X.tokens(F.col("clean_text"))).alias("form")).distinct()
     cut = words.filter(F.col("form").endswith("s")).select(
         "form", F.expr("left(form, length(form) - 1)").alias("lemma")
     )
-    return cut.join(words.select(F.col("form").alias("lemma")), "lemma")
+    table = cut.join(words.select(F.col("form").alias("lemma")), "lemma")
+    return stored(t, table, "lemmas")
 
 
-@query(
-    "tx14_lemmas",
-    f"""WITH {CLEAN}, {LEMMAS}, exploded AS (
+LEMMAS_SQL = f"""WITH {CLEAN}, {LEMMAS}, exploded AS (
   SELECT doc_id, unnest(toks) AS form, generate_subscripts(toks, 1) AS pos
   FROM (SELECT doc_id, {S.tokens_sql('clean_text')} AS toks FROM cleaned)),
 grouped AS (
   SELECT doc_id, string_agg(coalesce(lemma, e.form), '|' ORDER BY pos) AS tokens
   FROM exploded e LEFT JOIN lemmas l ON l.form = e.form GROUP BY doc_id)
 SELECT c.doc_id, coalesce(g.tokens, '') AS tokens
-FROM cleaned c LEFT JOIN grouped g ON g.doc_id = c.doc_id""",
-)
+FROM cleaned c LEFT JOIN grouped g ON g.doc_id = c.doc_id"""
+
+
+@query("tx14_lemmas", LEMMAS_SQL)
 def lemmas(t):
     docs = clean_documents(t)
-    out = TX.with_lemmas(TX.with_tokens(docs), lemma_table(docs), "doc_id")
+    out = TX.with_lemmas(TX.with_tokens(docs), lemma_table(t, docs), "doc_id")
+    return out.select("doc_id", F.array_join("tokens", "|").alias("tokens"))
+
+
+@query("tx14_lemmas_large_table", LEMMAS_SQL)
+def lemmas_large(t):
+    docs = clean_documents(t)
+    table = lemma_table(t, docs)
+    out = TX.with_lemmas(TX.with_tokens(docs), table, "doc_id", max_bytes=0, salts=8)
     return out.select("doc_id", F.array_join("tokens", "|").alias("tokens"))
 
 

@@ -24,6 +24,11 @@ def table_bytes(table: DataFrame) -> int:
     return table.agg(F.sum(width.cast("bigint"))).first()[0] or 0
 
 
+def fits_in_memory(table: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a table is measured small enough to be sent to every executor."""
+    return table_bytes(table) <= max_bytes
+
+
 def lookup_join(
     df: DataFrame,
     table: DataFrame,
@@ -36,7 +41,7 @@ def lookup_join(
     A table measured below ``max_bytes`` is broadcast. A larger one is repeated ``salts`` times
     and joined on key and salt, so a hot key is spread over as many tasks.
     """
-    if table_bytes(table) <= max_bytes:
+    if fits_in_memory(table, max_bytes):
         return df.join(F.broadcast(table), on, "left")
     salt = "__salt"
     salted = df.withColumn(salt, F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
@@ -116,7 +121,7 @@ def as_double(df: DataFrame, name: str) -> Column:
 
 
 def exact_quantiles(
-    values: DataFrame, probabilities: Sequence[float], side: int = 32
+    values: DataFrame, probabilities: Sequence[float], side: int = 16
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per column of a ``numeric_values`` table.
 
@@ -143,11 +148,13 @@ def exact_quantiles(
     sliced = blocked.select(
         "column", "value", "n", (F.col("block") * side + inner).alias("slice")
     )
-    sizes = sliced.groupBy("column", "slice").agg(F.sum("n").alias("size"))
+    sizes = sliced.groupBy("column", "slice").agg(
+        F.sum("n").alias("size"), F.min("value").alias("low"), F.max("value").alias("high")
+    )
     running = Window.partitionBy("column").orderBy("slice")
     before = F.sum("size").over(running) - F.col("size")
     total = F.sum("size").over(Window.partitionBy("column"))
-    placed = sizes.select("column", "slice", "size", before.alias("before"), total.alias("total"))
+    placed = sizes.withColumns({"before": before, "total": total})
 
     def position(p: float) -> Column:
         return F.lit(float(p)) * (F.col("total") - 1)
@@ -158,12 +165,11 @@ def exact_quantiles(
     wanted = F.lit(False)
     for p in probabilities:
         wanted = wanted | holds(F.floor(position(p))) | holds(F.ceil(position(p)))
-    # At most two slices per column and probability.
-    hit = placed.filter(wanted).select("column", "slice", "before", "total")
+    # At most two slices per column and probability; their value ranges do not overlap.
+    hit = placed.filter(wanted).drop("size")
+    near = values.join(F.broadcast(hit), "column").filter(F.col("value").between(F.col("low"), F.col("high")))
     in_slice = Window.partitionBy("column", "slice").orderBy("value")
-    ranked = sliced.join(F.broadcast(hit), ["column", "slice"]).withColumn(
-        "upto", F.col("before") + F.sum("n").over(in_slice)
-    )
+    ranked = near.withColumn("upto", F.col("before") + F.sum("n").over(in_slice))
 
     def value_at(rank: Column) -> Column:
         inside = (F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto"))

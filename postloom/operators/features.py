@@ -11,7 +11,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,20 +26,28 @@ def term_counts(df: DataFrame, key: str, text: str = "clean_text") -> DataFrame:
     return words.groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def document_counts_by_key(df: DataFrame, key: str, text: str = "clean_text") -> DataFrame:
-    """As ``term_counts``, with all terms of a document kept in one partition.
+def term_totals(df: DataFrame, text: str = "clean_text") -> DataFrame:
+    """Rows ``(term, total, df)``: occurrences, and documents with the term.
 
-    The documents, not their exploded terms, are shuffled once by the unique key; later steps per
-    document reuse that partitioning.
+    Each document gives its terms once more without repeats, so both sums come from one pass and
+    combine per term before the shuffle; no (document, term) pair is ever shuffled.
     """
-    return term_counts(df.select(key, text).repartition(key), key, text)
+    words = F.col("__terms")
 
+    def counted(array: Column, tf: int, df: int) -> Column:
+        marks = F.lit(tf).alias("tf"), F.lit(df).alias("df")
+        return F.transform(array, lambda w: F.struct(w.alias("term"), *marks))
 
-def vocabulary(counts: DataFrame, max_features: int = 5000) -> DataFrame:
-    """The most frequent terms of the corpus: rows ``(term, total, df)``, ties by term."""
-    totals = counts.groupBy("term").agg(
-        F.sum("tf").alias("total"), F.count("*").alias("df")
+    all_words = counted(words, 1, 0)
+    once = counted(F.array_distinct(words), 0, 1)
+    listed = df.select(X.terms(F.col(text)).alias("__terms")).select(
+        F.inline(F.concat(all_words, once))
     )
+    return listed.groupBy("term").agg(F.sum("tf").alias("total"), F.sum("df").alias("df"))
+
+
+def vocabulary(totals: DataFrame, max_features: int = 5000) -> DataFrame:
+    """The most frequent terms of a ``term_totals`` table, ties by term."""
     return totals.orderBy(F.desc("total"), "term").limit(max_features)
 
 
@@ -53,11 +61,12 @@ def tfidf(
     """Rows ``(key, term, weight)``: smooth idf ``ln((1+n)/(1+df))+1``, each document scaled to
     length one. ``fit_on`` gives other documents to learn the vocabulary from, such as the train
     part; by default all rows are used."""
-    counts = document_counts_by_key(df, key, text)
+    # The documents, not their exploded terms, are shuffled once by the unique key; counting per
+    # document and term and scaling per document both reuse that partitioning.
+    counts = term_counts(df.select(key, text).repartition(key), key, text)
     fitted = df if fit_on is None else fit_on
-    base = counts if fit_on is None else document_counts_by_key(fit_on, key, text)
     n_docs = fitted.agg(F.count("*")).scalar()
-    idf = vocabulary(base, max_features).select(
+    idf = vocabulary(term_totals(fitted, text), max_features).select(
         "term", (F.log((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf")
     )
     # The vocabulary has at most `max_features` rows; only a bounded one is broadcast.
@@ -72,7 +81,6 @@ def tfidf(
 
 def fit_tfidf(
     df: DataFrame,
-    key: str,
     text: str = "clean_text",
     max_features: int = 5000,
     tokens: str = "terms",
@@ -86,7 +94,7 @@ def fit_tfidf(
     if max_features > MAX_VOCABULARY:
         raise ValueError(f"a vector model takes at most {MAX_VOCABULARY} features; use tfidf()")
     n_docs = df.count()
-    words = vocabulary(term_counts(df, key, text), max_features).collect()
+    words = vocabulary(term_totals(df, text), max_features).collect()
     if not words:
         raise ValueError("no term of two or more letters in the corpus")
     idf = [math.log((1 + n_docs) / (1 + row["df"])) + 1 for row in words]

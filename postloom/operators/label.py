@@ -105,10 +105,12 @@ def model_scorer(
 def lexicon_table_hits(
     df: DataFrame, lexicon: DataFrame, key: str, text: str = "clean_text", **join_options: int
 ) -> DataFrame:
-    """As ``lexicon_hits`` for a ``(word, weight)`` table: rows ``(key, pos, neg)``."""
-    spread = df.select(key, text).repartition(key)
+    """As ``lexicon_hits`` for a ``(word, weight)`` table: rows ``(key, pos, neg)``.
+
+    The sums of a document are combined where it was read, so only they are shuffled.
+    """
     exploded = F.posexplode_outer(X.tokens(F.col(text))).alias("pos_in_text", "word")
-    words = spread.select(key, exploded)
+    words = df.select(key, exploded)
     scored = lookup_join(words, lexicon.select("word", "weight"), "word", **join_options)
     weight = F.coalesce("weight", F.lit(0))
     return scored.groupBy(key).agg(

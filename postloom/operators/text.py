@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import PreprocessConfig
 from ..functions import text as X
-from .bounded import lookup_join
+from .bounded import BROADCAST_BYTES, SALTS, fits_in_memory, lookup_join
 
 
 def with_clean_text(
@@ -44,16 +49,22 @@ def with_lemmas(
     key: str,
     tokens: str = "tokens",
     out: str = "tokens",
-    **join_options: int,
+    max_bytes: int = BROADCAST_BYTES,
+    salts: int = SALTS,
 ) -> DataFrame:
     """Replace each token by its lemma from a ``(form, lemma)`` table with one row per form.
 
-    Rows are spread by ``key``, which must be unique, before the tokens are exploded, so that
-    regrouping them needs no second shuffle when the table is small enough to broadcast.
+    A table measured below ``max_bytes`` is sent to the executors and looked up inside each row,
+    in Arrow batches, without a shuffle. With a larger table the tokens are exploded, joined by
+    form (salted, as a few forms are very frequent) and put back in order by the unique ``key``.
     """
-    spread = df.select(key, tokens).repartition(key)
-    words = spread.select(key, F.posexplode(tokens).alias("__pos", "form"))
-    looked = lookup_join(words, lemmas.select("form", "lemma"), "form", **join_options)
+    table = lemmas.select("form", "lemma")
+    if fits_in_memory(table, max_bytes):
+        forms = {row["form"]: row["lemma"] for row in table.collect()}
+        replace = _lemma_function(df.sparkSession.sparkContext.broadcast(forms))
+        return df.withColumn(out, replace(tokens))
+    words = df.select(key, F.posexplode(tokens).alias("__pos", "form"))
+    looked = lookup_join(words, table, "form", max_bytes, salts)
     lemma = F.coalesce("lemma", "form")
     grouped = looked.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("__pos", lemma.alias("lemma")))).alias("__lemmas")
@@ -62,6 +73,20 @@ def with_lemmas(
     return df.join(grouped, key, "left").withColumn(out, fixed).drop("__lemmas")
 
 
+def _lemma_function(forms: Broadcast):
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def replace(lists: pa.Array) -> pa.Array:
+        # Each distinct token of the batch is looked up once.
+        coded = lists.flatten().dictionary_encode()
+        words = [forms.value.get(w) or w for w in coded.dictionary.to_pylist()]
+        values = pa.array(words, pa.string()).take(coded.indices)
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+        return pa.ListArray.from_arrays(offsets, values, mask=lists.is_null())
+
+    return replace
+
+
 def with_hashtags(
     df: DataFrame, text: str = "full_text", out: str = "extracted_hashtags"
 ) -> DataFrame:

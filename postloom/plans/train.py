@@ -36,7 +36,7 @@ def compare_tfidf(
     if fit_on not in ("all", "train"):
         raise ValueError(f"fit_on={fit_on!r}; expected 'all' or 'train'")
     train_part, test_part = hash_split(df, key, seed=seed)
-    model = FE.fit_tfidf(df if fit_on == "all" else train_part, key, text, max_features)
+    model = FE.fit_tfidf(df if fit_on == "all" else train_part, text, max_features)
     return ML.compare_models(
         train_part,
         test_part,

@@ -25,7 +25,7 @@ def posts(spark):
 
 
 def test_vectors_equal_long_form(spark, posts):
-    model = FE.fit_tfidf(posts, "id", max_features=6)
+    model = FE.fit_tfidf(posts, max_features=6)
     words = model.stages[0].vocabulary
     vectors = FE.with_tfidf(posts, model).select("id", vector_to_array("features").alias("v")).collect()
     long = {(r["id"], r["term"]): r["weight"] for r in FE.tfidf(posts, "id", max_features=6).collect()}
@@ -46,7 +46,7 @@ def test_tfidf_by_hand(spark):
 
 
 def test_tfidf_vectors_need_no_shuffle(spark, posts):
-    model = FE.fit_tfidf(posts, "id", max_features=6)
+    model = FE.fit_tfidf(posts, max_features=6)
     plan = FE.with_tfidf(posts, model)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
 
@@ -59,12 +59,12 @@ def test_fit_on_train_leaves_test_words_out(spark):
 
 def test_vocabulary_limit(spark, posts):
     with pytest.raises(ValueError):
-        FE.fit_tfidf(posts, "id", max_features=FE.MAX_VOCABULARY + 1)
+        FE.fit_tfidf(posts, max_features=FE.MAX_VOCABULARY + 1)
 
 
 @pytest.mark.parametrize("kind", ML.KINDS)
 def test_models_learn(spark, posts, kind, tmp_path):
-    rows = FE.with_tfidf(posts, FE.fit_tfidf(posts, "id")).cache()
+    rows = FE.with_tfidf(posts, FE.fit_tfidf(posts)).cache()
     model = ML.train(rows, kind)
     ML.save_model(model, str(tmp_path / kind))
     found = ML.predict(ML.load_model(str(tmp_path / kind)), rows)
