@@ -73,13 +73,13 @@ def lexicon_hits(t):
 # A lexicon learnt from the labels: +1 for words in more good than bad documents, else -1.
 LEARNT = f"""learnt AS (
   SELECT word, CASE WHEN 2 * sum(quality) > count(*) THEN 1 ELSE -1 END AS weight
-  FROM (SELECT DISTINCT t.doc_id, unnest(t.toks) AS word FROM toks t) w
+  FROM (SELECT DISTINCT doc_id, unnest({S.tokens_sql('lower(text)')}) AS word FROM documents) w
   JOIN labels l ON l.doc_id = w.doc_id GROUP BY word)"""
 
 
-def learnt_lexicon(t, docs):
-    seen = docs.select("doc_id", F.explode(F.array_distinct(X.tokens(F.col("clean_text")))).alias(
-        "word"))
+def learnt_lexicon(t):
+    words = F.array_distinct(X.tokens(F.lower("text")))
+    seen = t.documents.select("doc_id", F.explode(words).alias("word"))
     good = F.when(2 * F.sum("quality") > F.count("*"), 1).otherwise(-1)
     weights = seen.join(t.labels, "doc_id").groupBy("word").agg(good.alias("weight"))
     return stored(t, weights, "lexicon")
@@ -95,13 +95,13 @@ LEFT JOIN learnt l ON l.word = w.word GROUP BY t.doc_id"""
 @query("lb1_lexicon_table", LEARNT_SQL)
 def lexicon_table(t):
     docs = clean_documents(t)
-    return LB.lexicon_table_hits(docs, learnt_lexicon(t, docs), "doc_id")
+    return LB.lexicon_table_hits(docs, learnt_lexicon(t), "doc_id")
 
 
 @query("lb1_lexicon_table_salted", LEARNT_SQL)
 def lexicon_table_salted(t):
     docs = clean_documents(t)
-    lexicon = learnt_lexicon(t, docs)
+    lexicon = learnt_lexicon(t)
     return LB.lexicon_table_hits(docs, lexicon, "doc_id", max_bytes=0, salts=4)
 
 

@@ -85,14 +85,14 @@ def tokens(t):
 
 # Forms and lemmas found in the texts themselves: a plural in -s stands for its singular.
 LEMMAS = f"""words AS (
-  SELECT DISTINCT unnest({S.tokens_sql('clean_text')}) AS form FROM cleaned),
+  SELECT DISTINCT unnest({S.tokens_sql('lower(text)')}) AS form FROM documents),
 lemmas AS (
   SELECT w.form, b.form AS lemma FROM words w
   JOIN words b ON b.form = left(w.form, length(w.form) - 1) WHERE w.form LIKE '%s')"""
 
 
-def lemma_table(t, docs):
-    words = docs.select(F.explode(X.tokens(F.col("clean_text"))).alias("form")).distinct()
+def lemma_table(t):
+    words = t.documents.select(F.explode(X.tokens(F.lower("text"))).alias("form")).distinct()
     cut = words.filter(F.col("form").endswith("s")).select(
         "form", F.expr("left(form, length(form) - 1)").alias("lemma")
     )
@@ -113,14 +113,14 @@ FROM cleaned c LEFT JOIN grouped g ON g.doc_id = c.doc_id"""
 @query("tx14_lemmas", LEMMAS_SQL)
 def lemmas(t):
     docs = clean_documents(t)
-    out = TX.with_lemmas(TX.with_tokens(docs), lemma_table(t, docs), "doc_id")
+    out = TX.with_lemmas(TX.with_tokens(docs), lemma_table(t), "doc_id")
     return out.select("doc_id", F.array_join("tokens", "|").alias("tokens"))
 
 
 @query("tx14_lemmas_large_table", LEMMAS_SQL)
 def lemmas_large(t):
     docs = clean_documents(t)
-    table = lemma_table(t, docs)
+    table = lemma_table(t)
     out = TX.with_lemmas(TX.with_tokens(docs), table, "doc_id", max_bytes=0, salts=8)
     return out.select("doc_id", F.array_join("tokens", "|").alias("tokens"))
 

@@ -121,24 +121,38 @@ def as_double(df: DataFrame, name: str) -> Column:
 
 
 def exact_quantiles(
-    values: DataFrame, probabilities: Sequence[float], side: int = 16
+    df: DataFrame, cols: Sequence[str], probabilities: Sequence[float], side: int = 16
 ) -> DataFrame:
-    """Exact linear-interpolated quantiles per column of a ``numeric_values`` table.
+    """Exact linear-interpolated quantiles, one row per column.
 
-    The distinct values are cut into ``side * side`` slices of nearly equal size, and only the
-    slices that hold a wanted rank are sorted, so no task ever holds a whole column.
+    Approximate quantiles cut the values into ``side * side`` slices of nearly equal size; only
+    the slices that hold a wanted rank are sorted, so no task ever holds a whole column.
     """
     slices = side * side
     shares = ", ".join(f"{i / slices}D" for i in range(1, slices))
-    cuts = F.expr(f"percentile_approx(value, array({shares}), {10 * slices})")
-    bounds = values.groupBy("column").agg(cuts.alias("cuts"))
+    doubles = df.select([F.nanvl(as_double(df, c), F.lit(None)).alias(c) for c in cols])
+    sketches = doubles.agg(
+        *[
+            F.struct(
+                F.lit(c).alias("column"),
+                F.expr(f"percentile_approx(`{c}`, array({shares}), {10 * slices})").alias("cuts"),
+            ).alias(c)
+            for c in cols
+        ]
+    )
     blocks = F.transform(
         F.sequence(F.lit(0), F.lit(side - 1)), lambda i: F.slice("cuts", i * side + 1, side)
     )
     # One row per column with `slices` numbers: blocks of bounds, and the last bound of each block.
-    bounds = bounds.select("column", blocks.alias("blocks")).withColumn(
-        "ends", F.transform(F.slice("blocks", 1, side - 1), lambda block: F.element_at(block, -1))
+    bounds = (
+        sketches.select(F.inline(F.array(*cols)))
+        .select("column", blocks.alias("blocks"))
+        .withColumn(
+            "ends",
+            F.transform(F.slice("blocks", 1, side - 1), lambda block: F.element_at(block, -1)),
+        )
     )
+    values = numeric_values(df, cols)
 
     def below(numbers: Column) -> Column:
         return F.size(F.filter(numbers, lambda b: b < F.col("value")))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bounded import as_double, exact_quantiles, name_of, numeric_values
+from .bounded import as_double, exact_quantiles, name_of
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -141,7 +141,7 @@ def _describe_numbers(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         ]
     )
     basic = one_row.select(F.inline(F.array(*cols)))
-    quartiles = exact_quantiles(numeric_values(df, cols), QUARTILES)
+    quartiles = exact_quantiles(df, cols, QUARTILES)
     # Both sides hold one row per column.
     return basic.join(quartiles, "column", "left")
 
@@ -155,10 +155,13 @@ def _describe_categories(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     )
     # Nulls stay as rows up to here, so that an all-null column still yields its row.
     seen = F.when(F.col("value").isNotNull(), F.col("n"))
-    best = F.min(F.when(F.col("value").isNotNull(), F.struct((-F.col("n")).alias("n"), "value")))
-    return counts.groupBy("column").agg(
+    totals = counts.groupBy("column").agg(
         F.coalesce(F.sum(seen), F.lit(0)).alias("count"),
         F.count("value").alias("unique"),
-        best["value"].alias("top"),
-        (-best["n"]).alias("freq"),
+        F.max(seen).alias("freq"),
     )
+    # One row per column on the right; the sums above need no sort of the distinct values.
+    most = F.broadcast(totals.select("column", "freq"))
+    best = counts.join(most, "column").filter((F.col("n") == F.col("freq")) & F.col("value").isNotNull())
+    top = best.groupBy("column").agg(F.min("value").alias("top"))
+    return totals.join(top, "column", "left")
