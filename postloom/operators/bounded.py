@@ -100,17 +100,6 @@ def take_by_hash(
     return whole.select(df.columns).unionByName(edge.select(df.columns))
 
 
-def numeric_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Rows ``(column, value, n)``: how often each number occurs, nulls and NaN left out."""
-    doubles = df.select([as_double(df, c).alias(c) for c in cols])
-    long = doubles.unpivot([], list(cols), "column", "value")
-    return (
-        long.filter(F.col("value").isNotNull() & ~F.isnan("value"))
-        .groupBy("column", "value")
-        .agg(F.count("*").alias("n"))
-    )
-
-
 def as_double(df: DataFrame, name: str) -> Column:
     """A numeric column as double, a timestamp as epoch seconds."""
     kind = df.schema[name].dataType.typeName()
@@ -125,8 +114,9 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact linear-interpolated quantiles, one row per column.
 
-    Approximate quantiles cut the values into ``side * side`` slices of nearly equal size; only
-    the slices that hold a wanted rank are sorted, so no task ever holds a whole column.
+    Approximate quantiles cut the values into ``side * side`` slices of nearly equal size, whose
+    rows are counted where they are read. Only the values of the slices that hold a wanted rank
+    are shuffled and sorted, so no task ever holds a whole column.
     """
     slices = side * side
     shares = ", ".join(f"{i / slices}D" for i in range(1, slices))
@@ -152,7 +142,8 @@ def exact_quantiles(
             F.transform(F.slice("blocks", 1, side - 1), lambda block: F.element_at(block, -1)),
         )
     )
-    values = numeric_values(df, cols)
+    long = doubles.unpivot([], list(cols), "column", "value")
+    values = long.filter(F.col("value").isNotNull())
 
     def below(numbers: Column) -> Column:
         return F.size(F.filter(numbers, lambda b: b < F.col("value")))
@@ -160,10 +151,10 @@ def exact_quantiles(
     blocked = values.join(F.broadcast(bounds), "column").withColumn("block", below(F.col("ends")))
     inner = below(F.element_at("blocks", F.col("block") + 1))
     sliced = blocked.select(
-        "column", "value", "n", (F.col("block") * side + inner).alias("slice")
+        "column", "value", (F.col("block") * side + inner).alias("slice")
     )
     sizes = sliced.groupBy("column", "slice").agg(
-        F.sum("n").alias("size"), F.min("value").alias("low"), F.max("value").alias("high")
+        F.count("*").alias("size"), F.min("value").alias("low"), F.max("value").alias("high")
     )
     running = Window.partitionBy("column").orderBy("slice")
     before = F.sum("size").over(running) - F.col("size")
@@ -181,7 +172,13 @@ def exact_quantiles(
         wanted = wanted | holds(F.floor(position(p))) | holds(F.ceil(position(p)))
     # At most two slices per column and probability; their value ranges do not overlap.
     hit = placed.filter(wanted).drop("size")
-    near = values.join(F.broadcast(hit), "column").filter(F.col("value").between(F.col("low"), F.col("high")))
+    inside = F.col("value").between(F.col("low"), F.col("high"))
+    near = (
+        values.join(F.broadcast(hit), "column")
+        .filter(inside)
+        .groupBy("column", "slice", "value", "before", "total")
+        .agg(F.count("*").alias("n"))
+    )
     in_slice = Window.partitionBy("column", "slice").orderBy("value")
     ranked = near.withColumn("upto", F.col("before") + F.sum("n").over(in_slice))
 

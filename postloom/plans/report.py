@@ -7,7 +7,8 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from ..operators.curate import with_timestamp
+from ..operators.curate import select_existing, with_timestamp
+from ..operators.report import EXPLORER_COLUMNS
 from ..sources.corpus import read_corpus
 from ..sources.delimited import read_metrics
 
@@ -25,8 +26,12 @@ def load_report_inputs(
     embedding_path: str,
     schema: T.StructType | str | None = None,
 ) -> ReportInputs:
-    """Labelled corpus with parsed dates, kept for the many aggregates of a report, and metrics."""
-    posts = with_timestamp(read_corpus(spark, corpus_path, schema)).cache()
+    """Labelled corpus with parsed dates, kept for the many aggregates of a report, and metrics.
+
+    Only the columns that a report reads are kept.
+    """
+    read = select_existing(read_corpus(spark, corpus_path, schema), EXPLORER_COLUMNS)
+    posts = with_timestamp(read).cache()
     return ReportInputs(
         posts, read_metrics(spark, base_path), read_metrics(spark, embedding_path)
     )
