@@ -66,8 +66,8 @@ def annotators():
 )
 def lexicon_hits(t):
     words = X.tokens(F.col("clean_text"))
-    pos, neg = LB.lexicon_hits(words, FIRST)
-    return clean_documents(t).select("doc_id", pos.alias("pos"), neg.alias("neg"))
+    hits = clean_documents(t).select("doc_id", LB.lexicon_hits(words, FIRST).alias("hits"))
+    return hits.select("doc_id", "hits.pos", "hits.neg")
 
 
 # A lexicon learnt from the labels: +1 for words in more good than bad documents, else -1.

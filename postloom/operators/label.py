@@ -38,35 +38,50 @@ Lexicon = Mapping[str, int]
 Scorer = Callable[[Column], Column]
 
 
-def lexicon_hits(words: Column, lexicon: Lexicon) -> tuple[Column, Column]:
-    """Sums of the positive and of the negative word weights in an array of words.
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-    A fixed word list is compared inside the row, so nothing is shuffled or joined.
-    """
 
-    def listed(some: list[str]) -> Column:
-        return F.size(F.filter(words, lambda w: w.isin(*some)))
+def lexicon_hits(words: Column, lexicon: Lexicon) -> Column:
+    """Struct ``(pos, neg)``: sums of the positive and the negative weights in an array of words.
 
-    def total(sign: int) -> Column:
-        by_weight: dict[int, list[str]] = {}
-        for word, weight in lexicon.items():
-            if weight * sign > 0:
-                by_weight.setdefault(abs(weight), []).append(word)
-        sums = [listed(some) * weight for weight, some in sorted(by_weight.items())]
-        return sum(sums[1:], sums[0]) if sums else F.lit(0)
-
-    return total(1), total(-1)
+    A fixed word list is compared inside the row, so nothing is shuffled or joined.
+    """
+    by_weight: dict[int, list[str]] = {}
+    for word, weight in lexicon.items():
+        by_weight.setdefault(weight, []).append(word)
+
+    def total(found: Column, sign: int) -> Column:
+        sums = [
+            F.size(F.filter(found, lambda w: w.isin(*listed))) * abs(weight)
+            for weight, listed in sorted(by_weight.items())
+            if weight * sign > 0
+        ]
+        return sum(sums, F.lit(0))
+
+    # One pass keeps the listed words; the sums then run over those few.
+    listed_words = F.filter(words, lambda w: w.isin(*lexicon))
+    return bind(
+        listed_words,
+        lambda found: F.struct(total(found, 1).alias("pos"), total(found, -1).alias("neg")),
+    )
 
 
-def hit_probabilities(pos: Column, neg: Column, names: Sequence[str]) -> Column:
+def hit_probabilities(hits: Column, names: Sequence[str]) -> Column:
     """Map of class name to probability from whole positive and negative hits.
 
     Neutral gains when both signs occur; with whole numbers no two classes can tie for the top.
     """
-    neutral = 1.0 + 2.0 * F.least(pos, neg)
-    mass = pos + neg + 1.0 + neutral
-    shares = ((pos + 0.5) / mass, (neg + 0.5) / mass, neutral / mass)
-    return F.create_map(*[x for n, s in zip(names, shares) for x in (F.lit(n), s)])
+
+    def shares(hit: Column) -> Column:
+        pos, neg = hit["pos"], hit["neg"]
+        neutral = 1.0 + 2.0 * F.least(pos, neg)
+        mass = pos + neg + 1.0 + neutral
+        parts = ((pos + 0.5) / mass, (neg + 0.5) / mass, neutral / mass)
+        return F.create_map(*[x for n, s in zip(names, parts) for x in (F.lit(n), s)])
+
+    return bind(hits, shares)
 
 
 def lexicon_scorer(lexicon: Lexicon, names: Sequence[str] = tuple(SHORT_NAMES)) -> Scorer:
@@ -74,7 +89,7 @@ def lexicon_scorer(lexicon: Lexicon, names: Sequence[str] = tuple(SHORT_NAMES))
 
     def score(text: Column) -> Column:
         words = X.tokens(F.coalesce(text, F.lit("")))
-        return hit_probabilities(*lexicon_hits(words, lexicon), names)
+        return hit_probabilities(lexicon_hits(words, lexicon), names)
 
     return score
 
