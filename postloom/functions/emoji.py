@@ -103,6 +103,7 @@ def sequence_pattern(base: str) -> str:
 EMOJI = sequence_pattern(_layered_class(EMOJI_POINTS))
 # The same without class intersection, for regex engines that lack it.
 EMOJI_FLAT = sequence_pattern(f"[{_char_class(EMOJI_POINTS)}]")
+TEXT_SIGN, EMOJI_SIGN = "\ufe0e", "\ufe0f"
 VARIATION = r"[\x{FE0E}\x{FE0F}]"
 # Coarse superset of everything above: texts that miss it skip the exact pattern.
 MAYBE_EMOJI = (
@@ -113,7 +114,7 @@ MAYBE_EMOJI = (
 
 def remove_emoji(text: Column) -> Column:
     """Delete emoji sequences and stray variation signs."""
-    bare = F.regexp_replace(F.regexp_replace(text, EMOJI, ""), VARIATION, "")
+    bare = F.regexp_replace(text, f"{EMOJI}|{VARIATION}", "")
     return F.when(text.rlike(MAYBE_EMOJI), bare).otherwise(text)
 
 
@@ -132,12 +133,13 @@ def map_emoji(text: Column, words: Mapping[str, str] = EMOJI_WORDS) -> Column:
             F.lit(""),
         )
 
-    def glue(piece: Column, found: Column) -> Column:
-        return F.when(found.isNull(), piece).otherwise(F.concat(piece, F.lit(" "), word(found)))
+    def replaced(piece: Column) -> Column:
+        is_emoji = piece.rlike(rf"\A(?:{EMOJI})\z")
+        return F.when(is_emoji, F.concat(F.lit(" "), word(piece))).otherwise(piece)
 
-    pieces = F.split(text, EMOJI, -1)
-    found = F.regexp_extract_all(text, F.lit(EMOJI), F.lit(0))
-    mapped = F.array_join(F.zip_with(pieces, found, glue), "")
-    return F.when(
-        text.rlike(MAYBE_EMOJI), F.regexp_replace(mapped, VARIATION, "")
-    ).otherwise(text)
+    # Each emoji is cut out between two text-variation signs. That sign is never part of a
+    # sequence and is dropped from the result anyway, so signs already in the text do no harm.
+    marked = F.regexp_replace(text, EMOJI, f"{TEXT_SIGN}$0{TEXT_SIGN}")
+    mapped = F.array_join(F.transform(F.split(marked, TEXT_SIGN, -1), replaced), "")
+    rest = F.replace(mapped, F.lit(EMOJI_SIGN), F.lit(""))
+    return F.when(text.rlike(MAYBE_EMOJI), rest).otherwise(text)

@@ -17,10 +17,22 @@ SETTINGS = {
 }
 
 
-def build_session(app: str = "postloom", **settings: str) -> SparkSession:
-    """A session; the cluster manager and sizes come from ``spark-submit`` or ``settings``."""
+# Bytes of input per shuffle task: tasks fit in memory, and adaptive execution merges small ones.
+SHUFFLE_TASK_BYTES = 128 * 1024 * 1024
+
+
+def build_session(
+    app: str = "postloom", input_bytes: int | None = None, **settings: str
+) -> SparkSession:
+    """A session; the cluster manager and sizes come from ``spark-submit`` or ``settings``.
+
+    With ``input_bytes`` the number of shuffle tasks follows the size of the input.
+    """
+    chosen = dict(SETTINGS)
+    if input_bytes is not None:
+        chosen["spark.sql.shuffle.partitions"] = str(max(200, -(-input_bytes // SHUFFLE_TASK_BYTES)))
     builder = SparkSession.builder.appName(app)
-    for key, value in {**SETTINGS, **settings}.items():
+    for key, value in {**chosen, **settings}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

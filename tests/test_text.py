@@ -37,6 +37,8 @@ GOLDEN = [
     ("x👨‍👩‍👧y 🇪🇸 1️⃣", "x y"),
     ("a\u00a0b\x0bc\x85d", "a b c d"),
     ("#Mundial", "mundial"),
+    ("🔥\ufe0e🔥 a\ufe0eb 👍\ufe0e🏽", "popular popular ab"),
+    ("gol\n🔥\n", "gol popular"),
 ]
 
 
