@@ -121,7 +121,8 @@ def lemmas(t):
 def lemmas_large(t):
     docs = clean_documents(t)
     table = lemma_table(t)
-    out = TX.with_lemmas(TX.with_tokens(docs), table, "doc_id", max_bytes=0, salts=8)
+    options = {"row_bytes": 0, "max_bytes": 0, "salts": 8}
+    out = TX.with_lemmas(TX.with_tokens(docs), table, "doc_id", **options)
     return out.select("doc_id", F.array_join("tokens", "|").alias("tokens"))
 
 

@@ -12,7 +12,10 @@ from pyspark.sql import types as T
 
 from ..config import PreprocessConfig
 from ..functions import text as X
-from .bounded import BROADCAST_BYTES, SALTS, fits_in_memory, lookup_join
+from .bounded import fits_in_memory, lookup_join
+
+# Each Python worker holds its own copy of the table, several times its size as text.
+ROW_LOOKUP_BYTES = 16 * 1024 * 1024
 
 
 def with_clean_text(
@@ -49,22 +52,22 @@ def with_lemmas(
     key: str,
     tokens: str = "tokens",
     out: str = "tokens",
-    max_bytes: int = BROADCAST_BYTES,
-    salts: int = SALTS,
+    row_bytes: int = ROW_LOOKUP_BYTES,
+    **join_options: int,
 ) -> DataFrame:
     """Replace each token by its lemma from a ``(form, lemma)`` table with one row per form.
 
-    A table measured below ``max_bytes`` is sent to the executors and looked up inside each row,
-    in Arrow batches, without a shuffle. With a larger table the tokens are exploded, joined by
-    form (salted, as a few forms are very frequent) and put back in order by the unique ``key``.
+    A table measured below ``row_bytes`` is sent to the Python workers and looked up inside each
+    row, in Arrow batches, without a shuffle. With a larger table the tokens are exploded, joined
+    by form as ``lookup_join`` sees fit, and put back in order by the unique ``key``.
     """
     table = lemmas.select("form", "lemma")
-    if fits_in_memory(table, max_bytes):
+    if fits_in_memory(table, row_bytes):
         forms = {row["form"]: row["lemma"] for row in table.collect()}
         replace = _lemma_function(df.sparkSession.sparkContext.broadcast(forms))
         return df.withColumn(out, replace(tokens))
     words = df.select(key, F.posexplode(tokens).alias("__pos", "form"))
-    looked = lookup_join(words, table, "form", max_bytes, salts)
+    looked = lookup_join(words, table, "form", **join_options)
     lemma = F.coalesce("lemma", "form")
     grouped = looked.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("__pos", lemma.alias("lemma")))).alias("__lemmas")
@@ -78,7 +81,8 @@ def _lemma_function(forms: Broadcast):
     def replace(lists: pa.Array) -> pa.Array:
         # Each distinct token of the batch is looked up once.
         coded = lists.flatten().dictionary_encode()
-        words = [forms.value.get(w) or w for w in coded.dictionary.to_pylist()]
+        found = [(w, forms.value.get(w)) for w in coded.dictionary.to_pylist()]
+        words = [w if lemma is None else lemma for w, lemma in found]
         values = pa.array(words, pa.string()).take(coded.indices)
         sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
         offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())

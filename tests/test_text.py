@@ -128,14 +128,14 @@ def test_media_and_display(spark):
     assert column(spark, "a" * 600, X.cap_text) == "a" * 600
 
 
-@pytest.mark.parametrize("options", [{}, {"max_bytes": 0, "salts": 3}])
+@pytest.mark.parametrize("options", [{}, {"row_bytes": 0}, {"row_bytes": 0, "max_bytes": 0, "salts": 3}])
 def test_lemmas(spark, options):
     df = spark.createDataFrame(
-        [(1, ["los", "goles", "los"]), (2, []), (3, None), (4, ["x"])], "id int, tokens array<string>"
+        [(1, ["los", "goles", "los"]), (2, []), (3, None), (4, ["x", "ya"])], "id int, tokens array<string>"
     )
-    table = spark.createDataFrame([("los", "el"), ("goles", "gol")], "form string, lemma string")
+    table = spark.createDataFrame([("los", "el"), ("goles", "gol"), ("ya", None)], "form string, lemma string")
     rows = {r["id"]: r["tokens"] for r in TX.with_lemmas(df, table, "id", **options).collect()}
-    assert rows == {1: ["el", "gol", "el"], 2: [], 3: None, 4: ["x"]}
+    assert rows == {1: ["el", "gol", "el"], 2: [], 3: None, 4: ["x", "ya"]}
 
 
 def test_word_class_equals_python(spark):
