@@ -6,6 +6,7 @@ comes from two prefix sums. They choose candidates; results that must be exact c
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
@@ -40,12 +41,19 @@ def _byte_values(which: int) -> np.ndarray:
     return np.random.default_rng(7 + which).integers(1, 2**64, 256, np.uint64)
 
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+def process_pool() -> dict:
+    """What a worker process keeps between tasks.
+
+    Functions travel to workers by value, each with module globals of its own, so the pool hangs on
+    the interpreter.
+    """
+    return sys.__dict__.setdefault("_postloom_pool", {})
 
 
 def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2 ** 64; kept, as every slice needs them."""
-    have = _POWERS.get(which)
+    pool = process_pool()
+    have = pool.get(("powers", which))
     if have is None or len(have[0]) < n:
         size = max(n, 2 * SLICE_BYTES)
         base, one = _BASES[which], np.ones(1, np.uint64)
@@ -53,7 +61,7 @@ def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
             up = np.concatenate([one, np.full(size - 1, base, np.uint64)]).cumprod(dtype=np.uint64)
             inverse = np.uint64(pow(base, -1, 2**64))
             down = np.concatenate([one, np.full(size - 1, inverse)]).cumprod(dtype=np.uint64)
-        have = _POWERS[which] = (up, down)
+        have = pool["powers", which] = (up, down)
     return have
 
 

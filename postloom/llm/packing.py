@@ -27,14 +27,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .flat import expand, process_pool
+
 CAPACITY = 4096
 END_TOKEN = 2
 BLOCK_TOKENS = 4_000_000
 KEPT_WORDS = 300_000
 _SEQUENCES_PER_TASK = 1 << 32
 #: The pieces into which the vocabulary's splitter cuts a lower-case ASCII text.
-_ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-_POOLED: dict[str, "WordTokenizer"] = {}
+_ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t\n\v\f\r a-z0-9]+")
 
 
 class WordTokenizer:
@@ -80,8 +81,6 @@ class WordTokenizer:
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """One array of ids per text, the end token last."""
-        from .flat import expand
-
         cut = []
         for text in texts:
             text = text or ""
@@ -105,9 +104,10 @@ class WordTokenizer:
 
 def tokenizer(path: str) -> WordTokenizer:
     """One per worker process, as its words serve all tasks there."""
-    if path not in _POOLED:
-        _POOLED[path] = WordTokenizer(path)
-    return _POOLED[path]
+    pool = process_pool()
+    if path not in pool:
+        pool[path] = WordTokenizer(path)
+    return pool[path]
 
 
 def plan_sequences(
