@@ -31,21 +31,27 @@ from .flat import expand, process_pool
 
 CAPACITY = 4096
 END_TOKEN = 2
-BLOCK_TOKENS = 4_000_000
-KEPT_WORDS = 300_000
+BLOCK_TOKENS = 1_000_000
+KEPT_PIECES = 300_000
 _SEQUENCES_PER_TASK = 1 << 32
-#: The pieces into which the vocabulary's splitter cuts a lower-case ASCII text.
-_ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t\n\v\f\r a-z0-9]+")
+_ENCODED_AT_ONCE = 4096
+#: Letters, digits and blanks among the first 256 characters, after lower-casing.
+_LETTERS = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff"
+_NUMBERS = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+_BLANKS = "\t\n\v\f\r \u0085\u00a0"
+#: The pieces into which the vocabulary's splitter cuts a text of these characters.
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_BLANKS}{_LETTERS}{_NUMBERS}]+")
 
 
 class WordTokenizer:
-    """Ids of texts, equal to the tokenizer's own, with its work done once per distinct word.
+    """Ids of texts, equal to the tokenizer's own, with its work done once per distinct piece.
 
-    The vocabulary cuts at white space before it merges, so the ids of a text are those of its
-    parts between blanks, one after another. Kept words are dropped when ``kept`` is reached.
+    The vocabulary cuts a text into pieces before it merges, so the ids of a text are those of its
+    pieces, one after another. Texts of the first 256 characters are cut here; others between
+    blanks, which is a coarser cut. Kept pieces are dropped when ``kept`` is reached.
     """
 
-    def __init__(self, path: str, kept: int = KEPT_WORDS) -> None:
+    def __init__(self, path: str, kept: int = KEPT_PIECES) -> None:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
@@ -55,49 +61,42 @@ class WordTokenizer:
 
     def _clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.pieces: dict[str, list[int]] = {}
         self.start = np.zeros(0, np.int64)
         self.length = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint16)
 
-    def _encode(self, words: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.model.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> None:
-        cut = {w: _ASCII_PIECES.findall(w) for w in words if w.isascii()}
-        unknown = list({p for ps in cut.values() for p in ps} - self.pieces.keys())
-        self.pieces.update(zip(unknown, self._encode(unknown), strict=True))
-        whole = [w for w in words if w not in cut]
-        got = dict(zip(whole, self._encode(whole), strict=True))
-        for w, parts in cut.items():
-            got[w] = [i for p in parts for i in self.pieces[p]]
-        new = [got[w] for w in words]
-        length = np.fromiter(map(len, new), np.int64, len(new))
-        flat = np.fromiter((i for ids in new for i in ids), np.uint16, int(length.sum()))
-        self.place.update(zip(words, range(len(self.start), len(self.start) + len(words)), strict=True))
+    def _learn(self, pieces: list[str]) -> None:
+        ids, length = [], []
+        for at in range(0, len(pieces), _ENCODED_AT_ONCE):
+            for x in self.model.encode_batch_fast(pieces[at : at + _ENCODED_AT_ONCE], add_special_tokens=False):
+                own = x.ids
+                length.append(len(own))
+                ids += own
+        length = np.array(length, np.int64)
+        self.place.update(zip(pieces, range(len(self.start), len(self.start) + len(pieces)), strict=True))
         self.start = np.append(self.start, len(self.ids) + length.cumsum() - length)
         self.length = np.append(self.length, length)
-        self.ids = np.append(self.ids, flat)
+        self.ids = np.append(self.ids, np.array(ids, np.uint16))
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """One array of ids per text, the end token last."""
+        if len(self.place) > self.kept:
+            self._clear()
         cut = []
         for text in texts:
             text = text or ""
             try:
                 # Lower-casing and composing cannot interact in this range of characters.
                 text.encode("latin-1")
-                text = text.lower()
+                cut.append(_PIECES.findall(text.lower()))
             except UnicodeEncodeError:
-                pass
-            cut.append(text.replace("\n", " ").split(" "))
-        if len(self.place) > self.kept:
-            self._clear()
-        unknown = list({w for words in cut for w in words} - self.place.keys())
+                cut.append(text.replace("\n", " ").split(" "))
+        place = self.place
+        unknown = {p for pieces in cut for p in pieces if p not in place}
         if unknown:
-            self._learn(unknown)
-        for words in cut:
-            at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+            self._learn(sorted(unknown))
+        for pieces in cut:
+            at = np.array(list(map(place.__getitem__, pieces)), np.int64)
             ids = self.ids[expand(self.start[at], self.length[at])]
             yield np.append(ids, np.uint16(END_TOKEN))
 
@@ -191,7 +190,7 @@ def pack(
             return batch
 
         for batch in batches:
-            step = 256
+            step = 64
             for at in range(0, batch.num_rows, step):
                 some = batch.slice(at, step)
                 keys.append(some.column(0))
