@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, near_dedup, packing, secrets, substring_dedup, suffix_dedup
+from . import decontaminate, language_id, near_dedup, order_minhash, packing, secrets, substring_dedup, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.report(table(spark, sf_dir, "documents"))
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.link(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2,
     "op3_language_id": op3,
     "op4_secrets": op4,
+    "op5_order_minhash": op5,
     "op6_near_dedup": op6,
     "op7_packing": op7,
     "op9_substring_dedup": op9,
