@@ -37,7 +37,7 @@ PLAIN_WORD = byte_class((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
 
 
 @lru_cache(maxsize=4)
-def _byte_values(which: int) -> np.ndarray:
+def byte_values(which: int) -> np.ndarray:
     return np.random.default_rng(7 + which).integers(1, 2**64, 256, np.uint64)
 
 
@@ -93,7 +93,7 @@ class Sums:
 
 
 def byte_sums(data: np.ndarray, which: int = 0) -> Sums:
-    return Sums(_byte_values(which)[data], which)
+    return Sums(byte_values(which)[data], which)
 
 
 class Words:

@@ -32,7 +32,7 @@ from .flat import expand, process_pool
 CAPACITY = 4096
 END_TOKEN = 2
 BLOCK_TOKENS = 1_000_000
-KEPT_PIECES = 300_000
+KEPT_PIECES = 400_000
 _SEQUENCES_PER_TASK = 1 << 32
 _ENCODED_AT_ONCE = 4096
 #: Letters, digits and blanks among the first 256 characters, after lower-casing.
@@ -57,6 +57,9 @@ class WordTokenizer:
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         self.kept = kept
+        vocabulary = self.model.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
         self._clear()
 
     def _clear(self) -> None:
@@ -65,15 +68,23 @@ class WordTokenizer:
         self.length = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint16)
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _learn(self, plain: list[str], other: list[str]) -> None:
+        """Plain pieces are encoded as one text, as each is one word there and its last token closes
+        it; others, which may hold several words, one by one, at several times the cost."""
         ids, length = [], []
-        for at in range(0, len(pieces), _ENCODED_AT_ONCE):
-            for x in self.model.encode_batch_fast(pieces[at : at + _ENCODED_AT_ONCE], add_special_tokens=False):
+        for at in range(0, len(plain), _ENCODED_AT_ONCE):
+            joined = self.model.encode(" ".join(plain[at : at + _ENCODED_AT_ONCE]), add_special_tokens=False)
+            own = np.array(joined.ids, np.int64)
+            ids += joined.ids
+            length += np.diff(np.flatnonzero(self.closes[own]), prepend=-1).tolist()
+        for at in range(0, len(other), _ENCODED_AT_ONCE):
+            for x in self.model.encode_batch_fast(other[at : at + _ENCODED_AT_ONCE], add_special_tokens=False):
                 own = x.ids
                 length.append(len(own))
                 ids += own
         length = np.array(length, np.int64)
-        self.place.update(zip(pieces, range(len(self.start), len(self.start) + len(pieces)), strict=True))
+        first = len(self.start)
+        self.place.update(zip(plain + other, range(first, first + len(length)), strict=True))
         self.start = np.append(self.start, len(self.ids) + length.cumsum() - length)
         self.length = np.append(self.length, length)
         self.ids = np.append(self.ids, np.array(ids, np.uint16))
@@ -82,19 +93,19 @@ class WordTokenizer:
         """One array of ids per text, the end token last."""
         if len(self.place) > self.kept:
             self._clear()
-        cut = []
+        cut, place, plain, other = [], self.place, set(), set()
         for text in texts:
             text = text or ""
             try:
                 # Lower-casing and composing cannot interact in this range of characters.
                 text.encode("latin-1")
                 cut.append(_PIECES.findall(text.lower()))
+                plain.update(p for p in cut[-1] if p not in place)
             except UnicodeEncodeError:
                 cut.append(text.replace("\n", " ").split(" "))
-        place = self.place
-        unknown = {p for pieces in cut for p in pieces if p not in place}
-        if unknown:
-            self._learn(sorted(unknown))
+                other.update(p for p in cut[-1] if p not in place)
+        if plain or other:
+            self._learn(sorted(plain), sorted(other - plain))
         for pieces in cut:
             at = np.array(list(map(place.__getitem__, pieces)), np.int64)
             ids = self.ids[expand(self.start[at], self.length[at])]
