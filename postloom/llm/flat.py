@@ -55,7 +55,7 @@ def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
     pool = process_pool()
     have = pool.get(("powers", which))
     if have is None or len(have[0]) < n:
-        size = max(n, 2 * SLICE_BYTES)
+        size = max(n, SLICE_BYTES + (1 << 16))
         base, one = _BASES[which], np.ones(1, np.uint64)
         with np.errstate(over="ignore"):
             up = np.concatenate([one, np.full(size - 1, base, np.uint64)]).cumprod(dtype=np.uint64)

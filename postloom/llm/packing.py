@@ -32,7 +32,7 @@ from .flat import expand, process_pool
 CAPACITY = 4096
 END_TOKEN = 2
 BLOCK_TOKENS = 1_000_000
-KEPT_PIECES = 400_000
+KEPT_PIECES = 800_000
 _SEQUENCES_PER_TASK = 1 << 32
 _ENCODED_AT_ONCE = 4096
 #: Letters, digits and blanks among the first 256 characters, after lower-casing.

@@ -35,6 +35,7 @@ NONZERO = 2
 SAMPLE = 20_000
 HIDDEN = 32
 EPOCHS = 40
+LEAST_STEPS = 2000
 THRESHOLD = 0.3
 _UPPER = byte_class((0x41, 0x5A))
 _DIGIT = byte_class((0x30, 0x39))
@@ -153,7 +154,7 @@ class Classifier:
         w = [rng.normal(0, x.shape[1] ** -0.5, (x.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), np.zeros(1)]
         first, second = [np.zeros_like(p) for p in w], [np.zeros_like(p) for p in w]
         step = 0
-        for _ in range(EPOCHS):
+        for _ in range(max(EPOCHS, -(-LEAST_STEPS // -(-len(train) // 256)))):
             turn = rng.permutation(train)
             for at in range(0, len(turn), 256):
                 own = turn[at : at + 256]
