@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .flat import NOT_SPACE, Sums, Words, expand, slices
+from .flat import NOT_SPACE, SLICE_BYTES, Sums, Words, expand, slices
 from .minimizers import count_levels, shared_runs
 
 WINDOW = 13
-ITEM = 4
-BLOCK_BYTES = 16 << 20
+ITEM = 2
+BLOCK_BYTES = 8 << 20
 BUCKET_WORDS = 500_000
 NO_ID = 2**63 - 1
 MARK = "id bigint, part bigint, start int, windows int"
@@ -174,6 +174,25 @@ def _count_bucket(window: int):
 
     def marks(table: pa.Table) -> pa.Table:
         ids, parts, start, count, sent, texts = [], [], [], [], [], []
+        hashes, begin, end, base, waiting = [], [], [], 0, []
+
+        def hash_windows() -> None:
+            """Hashes and byte ranges of the windows of the texts that wait."""
+            nonlocal base
+            text = b"\n".join(texts[-len(waiting) :])
+            data = np.frombuffer(text, np.uint8)
+            words = Words(data, np.array([0, len(data)]), NOT_SPACE)
+            # The words of the super-k-mers stand one after another.
+            live = np.concatenate(waiting)
+            first = (live + window - 1).cumsum() - (live + window - 1)
+            at = expand(first, live)
+            if len(at):
+                hashes.append(Sums(words.hashes(), 1).windows(window)[at])
+                begin.append(words.start[at] + base)
+                end.append(words.end[at + window - 1] + base)
+            base += len(data) + 1
+            waiting.clear()
+
         for row in table.to_pylist():
             own = _restored(row["ids"], row["docs"], np.int64).cumsum()
             part = _restored(row["parts"], row["docs"], np.uint32)
@@ -181,29 +200,29 @@ def _count_bucket(window: int):
             ids.append(own[doc])
             parts.append(part[doc].astype(np.int64))
             start.append(_restored(row["start"], row["n"], np.int32))
-            count.append(_restored(row["count"], row["n"], np.uint8))
+            count.append(_restored(row["count"], row["n"], np.uint8).astype(np.int64))
             sent.append(~_restored(row["done"], row["n"], bool))
             texts.append(pa.decompress(row["text"], row["size"], "zstd", asbytes=True))
+            waiting.append(count[-1][sent[-1]])
+            if sum(map(len, texts[-len(waiting) :])) >= SLICE_BYTES:
+                hash_windows()
+        if waiting:
+            hash_windows()
         ids, parts, start, count, sent = (np.concatenate(x) for x in (ids, parts, start, count, sent))
-        count = count.astype(np.int64)
-        data = np.frombuffer(b"\n".join(texts), np.uint8)
-        words = Words(data, np.array([0, len(data)]), NOT_SPACE)
-        # The words of the super-k-mers that were sent stand one after another.
+        hashes, begin, end = (np.concatenate(x) if x else np.zeros(0, k) for x, k in ((hashes, np.uint64), (begin, np.int64), (end, np.int64)))
+        low = b"\n".join(texts)
+        texts.clear()
         live = np.where(sent, count, 0)
-        first = np.where(sent, count + window - 1, 0).cumsum() - np.where(sent, count + window - 1, 0)
         which = np.repeat(np.arange(len(ids)), live)
         offset = expand(np.zeros(len(ids)), live)
-        at = first[which] + offset
-        hashes = Sums(words.hashes(), 1).windows(window)[at] if len(at) else np.zeros(0, np.uint64)
         order = np.lexsort((ids[which], hashes))
         new = np.ones(len(order), bool)
         new[1:] = hashes[order][1:] != hashes[order][:-1]
         lead = np.flatnonzero(new)[np.cumsum(new) - 1]
         own_id = ids[which[order]]
         later = np.flatnonzero(own_id > own_id[lead])
-        low, begin, end = data.tobytes(), words.start, words.end
         bits = np.where(sent, 0, (1 << count) - 1)
-        marked = _same_words(low, begin, end, at[order], later, lead, window, own_id)
+        marked = _same_words(low, begin[order], end[order], later, lead, own_id)
         hit = order[marked]
         np.bitwise_or.at(bits, which[hit], 1 << offset[hit])
         kept = np.flatnonzero(bits)
@@ -219,10 +238,10 @@ def _count_bucket(window: int):
     return marks
 
 
-def _same_words(low: bytes, begin, end, at, later, lead, window: int, ids) -> np.ndarray:
+def _same_words(low: bytes, begin, end, later, lead, ids) -> np.ndarray:
     """Those of ``later`` whose words are those of a smaller document's window of equal hash."""
     out = []
-    a, b = begin[at].tolist(), end[at + window - 1].tolist()
+    a, b = begin.tolist(), end.tolist()
     for i, j in zip(later.tolist(), lead[later].tolist(), strict=True):
         own, other = low[a[i] : b[i]], low[a[j] : b[j]]
         if own == other or own.split() == other.split():
