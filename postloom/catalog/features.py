@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from ..operators import features as FE
 from ..operators import models as ML
+from ..operators import text as TX
 from ..operators.sample import hash_split
 from ..plans import train as TR
 from ..session import shared_dir
 from . import sqltext as S
-from .registry import LABELLED, query
+from .registry import LABELLED, query, stored
 from .texts import CLEAN, clean_documents
 
 COUNTS = f"""{CLEAN}, counts AS (
@@ -48,31 +49,65 @@ def tfidf(t):
 
 @query(
     "fe3_tfidf_vectors",
-    f"""WITH {COUNTS}, {_vocabulary(500)}, {TFIDF} SELECT d.doc_id,
-  round(coalesce(sum(weight), 0), 3) AS weight_sum, count(term) AS n_terms
+    f"""WITH {COUNTS}, {_vocabulary(5000)}, {TFIDF} SELECT d.doc_id,
+  coalesce(sum(CAST(weight AS DECIMAL(18, 6))), 0)::DOUBLE AS weight_sum, count(term) AS n_terms
 FROM documents d LEFT JOIN weights w ON w.doc_id = d.doc_id GROUP BY d.doc_id""",
 )
 def tfidf_vectors(t):
     docs = clean_documents(t)
-    rows = FE.with_tfidf(docs, FE.fit_tfidf(docs, max_features=500))
-    weights = FE.vector_to_array("features")
-    total = F.aggregate(weights, F.lit(0.0), lambda acc, w: acc + F.round(w, 6))
+    rows = FE.with_tfidf(docs, FE.fit_tfidf(docs))
+    weights = F.unwrap_udt("features")["values"]
+    zero = F.lit(0).cast("decimal(28,6)")
+    total = F.aggregate(
+        weights, zero, lambda acc, w: (acc + F.round(w, 6).cast("decimal(18,6)")).cast("decimal(28,6)")
+    )
     return rows.select(
         "doc_id",
-        F.round(total, 3).alias("weight_sum"),
-        F.size(F.filter(weights, lambda w: w > 0)).cast("bigint").alias("n_terms"),
+        total.cast("double").alias("weight_sum"),
+        F.size(weights).cast("bigint").alias("n_terms"),
     )
 
 
-@query("fe4_encode_a")
+def _encoded_sql(features: str, size: int) -> str:
+    """Long form of the hashing rule over ``(doc_id, w)`` rows: signed counts, length one."""
+    return f"""feats AS ({features}),
+slots AS (SELECT doc_id, ('0x' || left(md5(w), 8))::UBIGINT % {size} AS i,
+  CASE WHEN ('0x' || md5(w)[9])::UBIGINT < 8 THEN 1 ELSE -1 END AS sign FROM feats),
+sums AS (SELECT doc_id, i, sum(sign) AS s FROM slots GROUP BY ALL)
+SELECT doc_id, CAST(i AS BIGINT) AS i,
+  CAST(round(12 * s / min(abs(s)) OVER (PARTITION BY doc_id)) AS BIGINT) AS twelfths FROM sums WHERE s <> 0"""
+
+
+def _long(rows):
+    """Entries as twelfths of the document's smallest one: whole numbers, free of rounding."""
+    values = F.transform("embedding", lambda x: x.cast("double"))
+    least = F.array_min(F.filter(F.transform(values, F.abs), lambda x: x > 0))
+    listed = rows.select("doc_id", least.alias("least"), F.posexplode(values).alias("i", "value"))
+    ratio = F.round(12 * F.col("value") / F.col("least")).cast("bigint")
+    return listed.filter("value <> 0").select("doc_id", F.col("i").cast("bigint"), ratio.alias("twelfths"))
+
+
+@query(
+    "fe4_encode_a",
+    f"WITH {CLEAN}, "
+    + _encoded_sql(f"SELECT doc_id, unnest({S.tokens_sql('clean_text')}) AS w FROM cleaned", 256),
+)
 def encode_a(t):
-    return FE.encode(clean_documents(t), FE.hashing_encoder(64)).select("doc_id", "embedding")
+    return _long(FE.encode(clean_documents(t), FE.hashing_encoder()))
 
 
-@query("fe5_encode_b")
+@query(
+    "fe5_encode_b",
+    f"WITH {CLEAN}, padded AS (SELECT doc_id, '  ' || clean_text || ' ' AS p FROM cleaned), "
+    + _encoded_sql(
+        "SELECT doc_id, substr(p, i, 3) AS w FROM padded, unnest(range(1, length(p) - 1)) AS r(i)", 128
+    ),
+)
 def encode_b(t):
-    encoder = FE.model_encoder(FE.trigram_model(64))
-    return FE.encode(clean_documents(t), encoder).select("doc_id", "embedding")
+    return _long(FE.encode(clean_documents(t), FE.model_encoder(FE.trigram_model())))
+
+
+VECTOR_CLASSES = tuple(f"c{i}" for i in range(10))
 
 
 def labelled_vectors(t):
@@ -81,49 +116,124 @@ def labelled_vectors(t):
     return rows.select("vec_id", F.concat(F.lit("c"), "label").alias("label"), "features")
 
 
-VECTOR_CLASSES = tuple(f"c{i}" for i in range(10))
+def _fitted(t, kind: str):
+    """A model of the vectors in the train part, and both parts."""
+    fit_rows, test_rows = hash_split(labelled_vectors(t), "vec_id")
+    fit_rows = fit_rows.cache()
+    tol = 1e-7 if kind == "lr" else 1e-4
+    return ML.train(fit_rows, kind, "label", classes=VECTOR_CLASSES, tol=tol), fit_rows, test_rows
+
+
+IN_TEST = "('0x' || left(md5('42:' || {key}), 8))::UBIGINT % 100 < 20"
+LABELLED_CLEAN = f"""{LABELLED}, {S.cleaned_cte('labelled', 'full_text')},
+docs AS (SELECT id AS doc_id, clean_text, label_sentiment AS label, {IN_TEST.format(key='id')} AS held
+  FROM cleaned),
+counts AS (SELECT doc_id, term, count(*) AS tf
+  FROM (SELECT doc_id, unnest({S.terms_sql('clean_text')}) AS term FROM docs) GROUP BY ALL)"""
+# Multinomial naive Bayes with smoothing 1, learnt from the train part.
+BAYES = f"""{_vocabulary(5000)},
+raw AS (SELECT c.doc_id, c.term, c.tf * (ln((1 + n) / (1.0::DOUBLE + v.df)) + 1) AS raw
+  FROM counts c JOIN vocab v ON v.term = c.term, (SELECT count(*) AS n FROM docs)),
+weights AS (SELECT doc_id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)) AS w FROM raw),
+prior AS (SELECT label, ln(count(*) + 1) - ln(sum(count(*)) OVER () + count(*) OVER ()) AS p
+  FROM docs WHERE NOT held GROUP BY label),
+mass AS (SELECT label, term, sum(w) AS s FROM weights JOIN docs USING (doc_id) WHERE NOT held GROUP BY ALL),
+grid AS (SELECT label, term, coalesce(s, 0) + 1 AS s FROM (SELECT label, term FROM prior, vocab)
+  LEFT JOIN mass USING (label, term)),
+theta AS (SELECT label, term, ln(s) - ln(sum(s) OVER (PARTITION BY label)) AS t FROM grid),
+scores AS (SELECT d.doc_id, p.label, any_value(p.p) + coalesce(sum(w * t), 0) AS score
+  FROM docs d CROSS JOIN prior p LEFT JOIN weights w ON w.doc_id = d.doc_id
+  LEFT JOIN theta h ON h.label = p.label AND h.term = w.term GROUP BY d.doc_id, p.label),
+best AS (SELECT doc_id, arg_max(label, score) AS predicted FROM scores GROUP BY doc_id)
+SELECT d.doc_id AS id, d.label AS label_sentiment, b.predicted FROM docs d JOIN best b USING (doc_id)"""
 
 
-def _predictions(t, kind: str, prefix: str = "features"):
-    rows = labelled_vectors(t)
-    if kind == "nb":
-        # Naive Bayes needs values that are not negative.
-        plain = FE.vector_to_array("features")
-        rows = rows.withColumn(
-            "features",
-            FE.array_to_vector(F.transform(plain, lambda x: F.greatest(x, F.lit(0.0)))),
-        )
-    fit_rows, test_rows = hash_split(rows, "vec_id")
-    model = ML.train(fit_rows.cache(), kind, "label", classes=VECTOR_CLASSES)
-    return model, ML.predict(model, test_rows).select("vec_id", "label", "predicted")
-
-
-@query("ml1_naive_bayes")
+def labelled_texts(t):
+    clean = TX.with_clean_text(t.labelled.select("id", "full_text", "label_sentiment"))
+    return stored(t, clean.select("id", "clean_text", "label_sentiment"), "labelled")
+
+
+def _bayes_on_texts(t):
+    rows = labelled_texts(t)
+    fit_rows, _ = hash_split(rows, "id")
+    vectors = FE.fit_tfidf(rows)
+    fit_rows = stored(t, FE.with_tfidf(fit_rows, vectors).select("label_sentiment", "features"), "features")
+    return rows, vectors, ML.train(fit_rows, "nb")
+
+
+@query("ml1_naive_bayes", f"WITH {LABELLED_CLEAN}, {BAYES}")
 def naive_bayes(t):
-    return _predictions(t, "nb")[1]
+    rows, vectors, model = _bayes_on_texts(t)
+    found = ML.predict(model, FE.with_tfidf(rows, vectors))
+    return found.select("id", "label_sentiment", "predicted")
 
 
-@query("ml2_logistic_regression")
+@query(
+    "ml2_logistic_regression",
+    "SELECT DISTINCT 'c' || label AS label, true AS optimal FROM embeddings"
+    f" WHERE NOT {IN_TEST.format(key='vec_id')}",
+)
 def logistic_regression(t):
-    return _predictions(t, "lr")[1]
+    """At the optimum, the penalised loss has no slope in any weight of any class."""
+    model, fit_rows, _ = _fitted(t, "lr")
+    lr = model.stages[0]
+    weights = lr.coefficientMatrix.toArray()
+    scored = lr.transform(fit_rows).select(
+        "label", FE.vector_to_array("features").alias("x"), FE.vector_to_array("probability").alias("p")
+    )
+    classes = t.spark.createDataFrame(
+        [(i, c, [float(v) for v in weights[i]]) for i, c in enumerate(VECTOR_CLASSES)],
+        "number int, class string, w array<double>",
+    )
+    miss = F.get("p", F.col("number")) - (F.col("label") == F.col("class")).cast("double")
+    each = scored.withColumn("number", F.explode(F.sequence(F.lit(0), F.lit(len(VECTOR_CLASSES) - 1))))
+    parts = each.join(F.broadcast(classes), "number").select(
+        "class", "w", miss.alias("miss"), F.posexplode("x").alias("i", "x")
+    )
+    slopes = parts.groupBy("class", "i").agg(
+        F.avg(F.col("miss") * F.col("x")).alias("slope"),
+        F.any_value(F.get("w", F.col("i"))).alias("w"),
+        F.count("*").alias("n"),
+    )
+    slope = F.abs(F.col("slope") + F.col("w") / F.col("n"))
+    known = fit_rows.select(F.col("label").alias("class")).distinct()
+    found = slopes.groupBy("class").agg((F.max(slope) < 1e-4).alias("optimal"))
+    return found.join(known, "class", "left_semi").withColumnRenamed("class", "label")
 
 
-@query("ml3_linear_svm")
+@query(
+    "ml3_linear_svm",
+    f"""SELECT 'c' || k AS label, count(*) AS n, true AS better
+FROM embeddings, range(10) AS r(k) WHERE NOT {IN_TEST.format(key='vec_id')} GROUP BY k""",
+)
 def linear_svm(t):
-    return _predictions(t, "svm")[1]
-
-
-def labelled_texts(t):
-    clean = F.col("full_text")
-    return t.labelled.select("id", clean.alias("clean_text"), "label_sentiment")
+    """Per class, the penalised hinge loss of its plane lies below that of no plane, which is 1."""
+    model, fit_rows, _ = _fitted(t, "svm")
+    planes = [
+        (VECTOR_CLASSES[i], [float(v) for v in m.coefficients], float(m.intercept))
+        for i, m in enumerate(model.stages[0].models)
+    ]
+    frame = t.spark.createDataFrame(planes, "class string, w array<double>, b double")
+    rows = fit_rows.select("label", FE.vector_to_array("features").alias("x"))
+    each = rows.withColumn("class", F.explode(F.array(*[F.lit(c) for c in VECTOR_CLASSES])))
+    parts = each.join(F.broadcast(frame), "class")
+
+    def dot(x, y):
+        return F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+
+    side = F.when(F.col("label") == F.col("class"), 1.0).otherwise(-1.0)
+    loss = F.greatest(F.lit(0.0), 1.0 - side * (dot("x", "w") + F.col("b")))
+    sums = parts.groupBy(F.col("class").alias("label")).agg(
+        F.count("*").alias("n"), F.avg(loss).alias("loss"), F.any_value(dot("w", "w")).alias("square")
+    )
+    better = F.col("loss") + F.col("square") / (2 * F.col("n")) < 1.0
+    return sums.select("label", "n", better.alias("better"))
 
 
-@query("ml4_predict_tfidf")
+@query("ml4_predict_tfidf", f"WITH {LABELLED_CLEAN}, {BAYES} WHERE d.held")
 def predict_tfidf(t):
-    rows = labelled_texts(t).cache()
-    fit_rows, test_rows = hash_split(rows, "id")
-    vectors = FE.fit_tfidf(rows, max_features=1000)
-    model = ML.train(FE.with_tfidf(fit_rows, vectors), "nb")
+    rows, vectors, model = _bayes_on_texts(t)
+    _, test_rows = hash_split(rows, "id")
     found = ML.predict(model, FE.with_tfidf(test_rows, vectors))
     return found.select("id", "label_sentiment", "predicted")
 
@@ -148,24 +258,37 @@ def weighted_prf(t):
     return rows.select([F.round(c, 6).alias(c) for c in rows.columns])
 
 
-@query("ml6_compare_tfidf")
+def _sound(metrics):
+    """Whether each model's scores are shares, and its F1 lies below the larger of the other two."""
+    shares = F.lit(True)
+    for c in ("precision", "recall", "f1"):
+        shares = shares & F.col(c).between(0.0, 1.0)
+    return metrics.select("model", shares.alias("sound"))
+
+
+def _models_sql(*names: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{n}' AS model, true AS sound" for n in names)
+
+
+@query("ml6_compare_tfidf", _models_sql("NaiveBayes", "LogisticRegression", "SVM"))
 def compare_tfidf(t):
-    return TR.compare_tfidf(labelled_texts(t), "id", max_features=1000)
+    return _sound(TR.compare_tfidf(labelled_texts(t), "id"))
 
 
-@query("ml6_compare_encoders")
+@query(
+    "ml6_compare_encoders",
+    _models_sql("LogisticRegression_A", "SVM_A", "LogisticRegression_B", "SVM_B"),
+)
 def compare_encoders(t):
-    encoders = {
-        "A": FE.hashing_encoder(64),
-        "B": FE.model_encoder(FE.trigram_model(64)),
-    }
-    return TR.compare_encoders(labelled_texts(t), encoders, "id")
+    return _sound(TR.compare_encoders(labelled_texts(t), key="id"))
 
 
-@query("io9_save_and_load_model")
+@query("io9_save_and_load_model", "SELECT vec_id, true AS same FROM embeddings")
 def stored_model(t):
-    model, _ = _predictions(t, "lr")
+    model, _, _ = _fitted(t, "lr")
     path = shared_dir(t.spark, "model")
     ML.save_model(model, path)
     rows = labelled_vectors(t)
-    return ML.predict(ML.load_model(path), rows).select("vec_id", "label", "predicted")
+    before = ML.predict(model, rows).select("vec_id", F.col("predicted").alias("before"))
+    after = ML.predict(ML.load_model(path), rows).select("vec_id", F.col("predicted").alias("after"))
+    return before.join(after, "vec_id").select("vec_id", (F.col("before") == F.col("after")).alias("same"))

@@ -11,7 +11,7 @@ from ..functions import text as X
 from ..operators import agreement as A
 from ..operators import label as LB
 from . import sqltext as S
-from .registry import LABELLED, query, stored
+from .registry import LABELLED, query
 from .texts import CLEAN, clean_documents
 
 # Weights for words that do occur in the supplied texts.
@@ -82,7 +82,7 @@ def learnt_lexicon(t):
     seen = t.documents.select("doc_id", F.explode(words).alias("word"))
     good = F.when(2 * F.sum("quality") > F.count("*"), 1).otherwise(-1)
     weights = seen.join(t.labels, "doc_id").groupBy("word").agg(good.alias("weight"))
-    return stored(t, weights, "lexicon")
+    return weights
 
 
 LEARNT_SQL = f"""WITH {TOKENS}, {LEARNT}
@@ -95,14 +95,14 @@ LEFT JOIN learnt l ON l.word = w.word GROUP BY t.doc_id"""
 @query("lb1_lexicon_table", LEARNT_SQL)
 def lexicon_table(t):
     docs = clean_documents(t)
-    return LB.lexicon_table_hits(docs, learnt_lexicon(t), "doc_id")
+    return LB.with_table_hits(docs, learnt_lexicon(t)).select("doc_id", "pos", "neg")
 
 
-@query("lb1_lexicon_table_salted", LEARNT_SQL)
-def lexicon_table_salted(t):
+@query("lb1_lexicon_table_large", LEARNT_SQL)
+def lexicon_table_large(t):
     docs = clean_documents(t)
     lexicon = learnt_lexicon(t)
-    return LB.lexicon_table_hits(docs, lexicon, "doc_id", max_bytes=0, salts=4)
+    return LB.with_table_hits(docs, lexicon, row_bytes=0, max_bytes=0).select("doc_id", "pos", "neg")
 
 
 def load_word_model():
@@ -227,7 +227,7 @@ def distribution(t):
 
 @query(
     "lb8_validation_sample",
-    f"""WITH {LABELLED} SELECT full_text, label_sentiment, label_confidence, label_secondary,
+    f"""WITH {LABELLED} SELECT id, full_text, label_sentiment, label_confidence, label_secondary,
   '' AS label_manual FROM labelled
 QUALIFY row_number() OVER (PARTITION BY label_sentiment ORDER BY md5('42:' || id), id) <= 50""",
 )

@@ -58,3 +58,28 @@ def split(t):
     return train.withColumn("part", F.lit("train")).unionByName(
         test.withColumn("part", F.lit("test"))
     )
+
+
+# Keys that are null in a third of the rows and repeat in the others.
+LOOSE_KEY = "CASE WHEN event_id % 3 <> 0 THEN event_id % 50 END"
+
+
+def _loose(t):
+    return t.events.select("event_id", F.when(F.col("event_id") % 3 != 0, F.col("event_id") % 50).alias("k"))
+
+
+@query("sa1_sample_n_loose_keys", "SELECT least(1500, count(*)) AS n, least(1500, count(*)) AS n_rows FROM events")
+def sample_loose(t):
+    drawn = SA.sample_n(_loose(t), 1500, 42, "k")
+    return drawn.agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("n_rows"))
+
+
+@query(
+    "sa3_hash_split_loose_keys",
+    f"""SELECT event_id, CASE WHEN ('0x' || left(md5('42:' || coalesce(CAST({LOOSE_KEY} AS VARCHAR), '')), 8))::UBIGINT
+  % 100 < 20 THEN 'test' ELSE 'train' END AS part FROM events""",
+)
+def split_loose(t):
+    train, test = SA.hash_split(_loose(t), "k")
+    parts = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+    return parts.select("event_id", "part")

@@ -9,7 +9,7 @@ from ..functions import patterns as P
 from ..functions import text as X
 from ..operators import text as TX
 from . import sqltext as S
-from .registry import query, stored
+from .registry import query
 
 # Noise that holds whole texts together: the documents with links, tags and emoji mixed in.
 NOISY = f"noisy AS (SELECT doc_id, {S.noisy_sql('text')} AS full_text FROM documents)"
@@ -96,8 +96,7 @@ def lemma_table(t):
     cut = words.filter(F.col("form").endswith("s")).select(
         "form", F.expr("left(form, length(form) - 1)").alias("lemma")
     )
-    table = cut.join(words.select(F.col("form").alias("lemma")), "lemma")
-    return stored(t, table, "lemmas")
+    return cut.join(words.select(F.col("form").alias("lemma")), "lemma")
 
 
 LEMMAS_SQL = f"""WITH {CLEAN}, {LEMMAS}, exploded AS (
@@ -113,7 +112,7 @@ FROM cleaned c LEFT JOIN grouped g ON g.doc_id = c.doc_id"""
 @query("tx14_lemmas", LEMMAS_SQL)
 def lemmas(t):
     docs = clean_documents(t)
-    out = TX.with_lemmas(TX.with_tokens(docs), lemma_table(t), "doc_id")
+    out = TX.with_lemmas(TX.with_tokens(docs), lemma_table(t))
     return out.select("doc_id", F.array_join("tokens", "|").alias("tokens"))
 
 
@@ -121,8 +120,7 @@ def lemmas(t):
 def lemmas_large(t):
     docs = clean_documents(t)
     table = lemma_table(t)
-    options = {"row_bytes": 0, "max_bytes": 0, "salts": 8}
-    out = TX.with_lemmas(TX.with_tokens(docs), table, "doc_id", **options)
+    out = TX.with_lemmas(TX.with_tokens(docs), table, row_bytes=0, max_bytes=0)
     return out.select("doc_id", F.array_join("tokens", "|").alias("tokens"))
 
 

@@ -12,8 +12,8 @@ def hashed_id(*parts: Column) -> Column:
 
 
 def seeded_hash(key: Column, seed: int) -> Column:
-    """Hex digest that orders rows the same way on any partitioning."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
+    """Hex digest that orders rows the same way on any partitioning; a null key counts as empty."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))))
 
 
 def hash_number(digest: Column, hex_digits: int = 8) -> Column:

@@ -7,12 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import hash_number, seeded_hash
+from ..functions.hashing import seeded_hash
 
 BROADCAST_BYTES = 64 * 1024 * 1024
-SALTS = 64
-SMALL_SAMPLE = 1000
+# Digits of the order that one count adds, digits in all, and rows that may be counted one by one.
 HASH_DIGITS = 4
+ORDER_DIGITS = 48
+EDGE_ROWS = 100_000
 
 
 def table_bytes(table: DataFrame) -> int:
@@ -29,25 +30,41 @@ def fits_in_memory(table: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
     return table_bytes(table) <= max_bytes
 
 
+def row_digest(df: DataFrame) -> list[Column]:
+    """Two hashes of a whole row, to find it again where no column is known to be unique."""
+    return [F.xxhash64(*df.columns), F.xxhash64(F.lit(1), *df.columns)]
+
+
+def settled(table: DataFrame, key: str, value: str) -> DataFrame:
+    """One row per key, with its smallest value; rows without a key are left out."""
+    return table.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(value).alias(value))
+
+
 def lookup_join(
-    df: DataFrame,
-    table: DataFrame,
-    on: str,
-    max_bytes: int = BROADCAST_BYTES,
-    salts: int = SALTS,
+    df: DataFrame, table: DataFrame, on: str, max_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """Left join to a table with one row per key.
 
-    A table measured below ``max_bytes`` is broadcast. A larger one is repeated ``salts`` times
-    and joined on key and salt, so a hot key is spread over as many tasks.
+    A table measured below ``max_bytes`` is broadcast. A larger one is sorted and merged, and
+    adaptive execution splits the tasks that a hot key of ``df`` would make too large.
     """
     if fits_in_memory(table, max_bytes):
         return df.join(F.broadcast(table), on, "left")
-    salt = "__salt"
-    salted = df.withColumn(salt, F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
-    spread = table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    joined = salted.join(spread.hint("shuffle_merge"), [on, salt], "left")
-    return joined.drop(salt)
+    return df.join(table.hint("merge"), on, "left")
+
+
+def lookup_dict(
+    words: DataFrame, table: DataFrame, key: str, value: str, max_bytes: int
+) -> dict | None:
+    """The rows of a settled table as a dict, or None if it is measured too large for that.
+
+    A large table is first cut to the keys that occur in ``words``, a column of the same name.
+    """
+    if not fits_in_memory(table, max_bytes):
+        table = table.join(words.select(key).distinct(), key, "left_semi")
+        if not fits_in_memory(table, max_bytes):
+            return None
+    return {row[key]: row[value] for row in table.collect()}
 
 
 def take_by_hash(
@@ -55,49 +72,69 @@ def take_by_hash(
 ) -> DataFrame:
     """Exactly the ``n`` rows (per stratum) that come first in the seeded hash order.
 
-    Small requests are top-n queries, which Spark prunes before the shuffle. Larger ones count
-    rows per hash prefix, keep whole prefixes below the cut, and rank only the prefix at the cut.
+    The order is the hash of the key, then a hash of the whole row, so null and repeated keys are
+    told apart too. Rows are counted per leading digits until the digits at the cut hold few rows;
+    the last row taken is found among those, and a filter then reads the sample. Only counts and
+    hashes are shuffled, never the rows themselves.
     """
-    digest = seeded_hash(F.col(key), seed)
-    if n <= SMALL_SAMPLE:
-        if strata is None:
-            return df.orderBy(digest, key).limit(n)
-        first = Window.partitionBy(strata).orderBy(digest, key)
-        return df.withColumn("__rank", F.row_number().over(first)).filter(
-            F.col("__rank") <= n
-        ).drop("__rank")
-
-    group = F.lit(0) if strata is None else F.col(strata)
-    marked = df.select(
-        "*",
-        digest.alias("__digest"),
-        hash_number(digest, HASH_DIGITS).alias("__prefix"),
-        group.alias("__group"),
-    )
-    # One row per group and prefix, at most 16 ** HASH_DIGITS prefixes.
-    counts = marked.groupBy("__group", "__prefix").agg(F.count("*").alias("__n"))
-    running = Window.partitionBy("__group").orderBy("__prefix")
-    before = F.coalesce(
-        F.sum("__n").over(running.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-    )
-    cuts = (
-        counts.withColumn("__before", before)
-        .filter(F.col("__before") < n)
-        .groupBy("__group")
-        .agg(F.max(F.struct("__prefix", "__before")).alias("__cut"))
-    )
-    # At most one row per stratum.
-    near = marked.join(
-        F.broadcast(cuts), marked["__group"].eqNullSafe(cuts["__group"])
-    ).drop(cuts["__group"])
-    whole = near.filter(F.col("__prefix") < F.col("__cut.__prefix"))
-    within = Window.partitionBy("__group").orderBy("__digest", key)
-    edge = (
-        near.filter(F.col("__prefix") == F.col("__cut.__prefix"))
-        .withColumn("__rank", F.row_number().over(within))
-        .filter(F.col("__rank") <= n - F.col("__cut.__before"))
+    order = F.concat(
+        seeded_hash(F.col(key), seed), F.lpad(F.hex(F.xxhash64(*df.columns)), 16, "0")
     )
-    return whole.select(df.columns).unionByName(edge.select(df.columns))
+    group = F.lit("") if strata is None else F.col(strata).cast("string")
+    narrow = df.select(group.alias("g"), order.alias("o"))
+    cuts: dict[str | None, tuple[str, int]] = {}
+    left = None
+    for digits in range(HASH_DIGITS, ORDER_DIGITS + HASH_DIGITS, HASH_DIGITS):
+        rows = narrow if left is None else narrow.filter(_any_of(left, lambda p: F.col("o").startswith(p)))
+        need = F.lit(n) if left is None else _by_group(left, lambda g: n - cuts[g][1])
+        found = _cut(rows.select("g", F.substring("o", 1, digits).alias("o")), need)
+        left = {}
+        for row in found:
+            before = row["before"] + (cuts[row["g"]][1] if row["g"] in cuts else 0)
+            cuts[row["g"]] = (row["o"], before)
+            if row["c"] > EDGE_ROWS:
+                left[row["g"]] = row["o"]
+        if not left:
+            break
+    rows = narrow.filter(_any_of({g: p for g, (p, _) in cuts.items()}, lambda p: F.col("o").startswith(p)))
+    last = _cut(rows, _by_group(cuts, lambda g: n - cuts[g][1])) if cuts else []
+    # One row per stratum: its last order, and how many rows of just that order belong to it.
+    edge = {row["g"]: (row["o"], n - cuts[row["g"]][1] - row["before"]) for row in last}
+    if not edge:
+        return df if n > 0 and strata is None else df.limit(0)
+    marked = df.withColumns({"__g": group, "__o": order})
+    limit = _by_group(edge, lambda g: edge[g][0], F.col("__g"))
+    whole = marked.filter(F.col("__o") < limit)
+    within = Window.partitionBy("__g").orderBy("__o")
+    same = marked.filter(F.col("__o") == limit).withColumn("__rank", F.row_number().over(within))
+    same = same.filter(F.col("__rank") <= _by_group(edge, lambda g: edge[g][1], F.col("__g")))
+    return whole.select(df.columns).unionByName(same.select(df.columns))
+
+
+def _by_group(values: dict, of, group: Column | None = None) -> Column:
+    """``of(g)`` of the row's group, one of a few."""
+    group = F.col("g") if group is None else group
+    out = None
+    for g in values:
+        same = group.eqNullSafe(F.lit(g))
+        out = F.when(same, F.lit(of(g))) if out is None else out.when(same, F.lit(of(g)))
+    return out
+
+
+def _any_of(prefixes: dict, test) -> Column:
+    out = F.lit(False)
+    for g, prefix in prefixes.items():
+        out = out | (F.col("g").eqNullSafe(F.lit(g)) & test(F.lit(prefix)))
+    return out
+
+
+def _cut(rows: DataFrame, need: Column) -> list:
+    """Per group, the value of ``o`` at which ``need`` rows are reached (or the last one)."""
+    counts = rows.groupBy("g", "o").agg(F.count("*").alias("c"))
+    running = Window.partitionBy("g").orderBy("o").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.withColumn("before", F.coalesce(F.sum("c").over(running), F.lit(0)))
+    below = placed.filter(F.col("before") < need)
+    return below.groupBy("g").agg(F.max(F.struct("o", "before", "c")).alias("at")).select("g", "at.*").collect()
 
 
 def as_double(df: DataFrame, name: str) -> Column:

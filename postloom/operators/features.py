@@ -2,28 +2,50 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
-import zlib
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, HashingTF, Normalizer
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, SQLTransformer
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import patterns as P
 from ..functions import text as X
+from .bounded import fits_in_memory, lookup_join
 
-MAX_VOCABULARY = 1_000_000
+# A vector model is sent to every task, so its vocabulary is measured first.
+MAX_VOCABULARY_BYTES = 64 * 1024 * 1024
+FEW_FEATURES = 100_000
 
 
 def term_counts(df: DataFrame, key: str, text: str = "clean_text") -> DataFrame:
-    """Rows ``(key, term, tf)``."""
-    words = df.select(key, F.explode(X.terms(F.col(text))).alias("term"))
-    return words.groupBy(key, "term").agg(F.count("*").alias("tf"))
+    """Rows ``(key, term, tf)`` of each document, counted inside its row.
+
+    The sorted terms are cut where they change, so nothing is shuffled, and documents that share a
+    key are never merged.
+    """
+    ordered = df.select(key, F.array_sort(X.terms(F.col(text))).alias("__w"))
+    words, size = F.col("__w"), F.size("__w")
+    starts = F.filter(
+        F.sequence(F.lit(0), size - 1),
+        lambda i: (i == 0) | (F.get(words, i) != F.get(words, i - 1)),
+    )
+    marked = ordered.filter(size > 0).withColumn("__at", starts)
+    runs = F.transform(
+        "__at",
+        lambda at, i: F.struct(
+            F.get(words, at).alias("term"),
+            (F.coalesce(F.get("__at", i + 1), size) - at).cast("bigint").alias("tf"),
+        ),
+    )
+    return marked.select(key, F.inline(runs))
 
 
 def term_totals(df: DataFrame, text: str = "clean_text") -> DataFrame:
@@ -60,23 +82,17 @@ def tfidf(
 ) -> DataFrame:
     """Rows ``(key, term, weight)``: smooth idf ``ln((1+n)/(1+df))+1``, each document scaled to
     length one. ``fit_on`` gives other documents to learn the vocabulary from, such as the train
-    part; by default all rows are used."""
-    # The documents, not their exploded terms, are shuffled once by the unique key; counting per
-    # document and term and scaling per document both reuse that partitioning.
-    counts = term_counts(df.select(key, text).repartition(key), key, text)
-    fitted = df if fit_on is None else fit_on
-    n_docs = fitted.agg(F.count("*")).scalar()
-    idf = vocabulary(term_totals(fitted, text), max_features).select(
-        "term", (F.log((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf")
+    part; by default all rows are used. Weights are made inside the row; no document is shuffled."""
+    model = fit_tfidf(df if fit_on is None else fit_on, text, max_features)
+    vectors = with_tfidf(df.select(key, text), model, text).select(
+        key, F.unwrap_udt("features").alias("__v")
     )
-    # The vocabulary has at most `max_features` rows; only a bounded one is broadcast.
-    if max_features <= MAX_VOCABULARY:
-        joined = counts.join(F.broadcast(idf), "term")
-    else:
-        joined = counts.join(idf, "term")
-    raw = joined.select(key, "term", (F.col("tf") * F.col("idf")).alias("raw"))
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
-    return raw.select(key, "term", (F.col("raw") / norm).alias("weight"))
+    long = vectors.select(
+        key, F.inline(F.arrays_zip("__v.indices", "__v.values")).alias("index", "weight")
+    )
+    terms = list(enumerate(model.stages[0].vocabulary))
+    names = df.sparkSession.createDataFrame(terms, "index int, term string")
+    return lookup_join(long, names, "index").select(key, "term", "weight")
 
 
 def fit_tfidf(
@@ -91,10 +107,15 @@ def fit_tfidf(
     Only the vocabulary, at most ``max_features`` rows, comes to the driver. The input of
     ``transform`` needs the array column made by ``with_terms``.
     """
-    if max_features > MAX_VOCABULARY:
-        raise ValueError(f"a vector model takes at most {MAX_VOCABULARY} features; use tfidf()")
     n_docs = df.count()
-    words = vocabulary(term_totals(df, text), max_features).collect()
+    chosen = vocabulary(term_totals(df, text), max_features)
+    if max_features > FEW_FEATURES:
+        chosen = chosen.persist()
+        if not fits_in_memory(chosen, MAX_VOCABULARY_BYTES):
+            raise ValueError("the vocabulary is too large for a vector model; lower max_features")
+    words = chosen.collect()
+    if max_features > FEW_FEATURES:
+        chosen.unpersist()
     if not words:
         raise ValueError("no term of two or more letters in the corpus")
     idf = [math.log((1 + n_docs) / (1 + row["df"])) + 1 for row in words]
@@ -116,19 +137,53 @@ def with_tfidf(df: DataFrame, model: PipelineModel, text: str = "clean_text") ->
     return model.transform(with_terms(df, text)).drop("terms", "__tf", "__tfidf")
 
 
+def tfidf_stages(model: PipelineModel, text: str = "clean_text") -> list:
+    """The whole way from texts to ``features`` as savable stages: terms, then the fitted model."""
+    pattern = P.TERM.replace("\\", "\\\\")
+    terms = f"regexp_extract_all(lower(`{text}`), '{pattern}', 0) AS terms"
+    return [SQLTransformer(statement=f"SELECT *, {terms} FROM __THIS__"), *model.stages]
+
+
 Encoder = Callable[[DataFrame, str, str], DataFrame]
 
 
+def hash_slot(text: bytes, size: int) -> tuple[int, float]:
+    """The entry of a hashed feature and its sign, from the first and the ninth digit on of its MD5."""
+    digest = hashlib.md5(text).hexdigest()
+    return int(digest[:8], 16) % size, 1.0 if int(digest[8], 16) < 8 else -1.0
+
+
+def hashed_rows(lists: list[list[bytes]], size: int) -> np.ndarray:
+    """Signed counts of hashed features, one row per list, scaled to length one.
+
+    Each distinct feature of the batch is hashed once.
+    """
+    flat = [x for features in lists for x in features]
+    distinct = {x: i for i, x in enumerate(dict.fromkeys(flat))}
+    slots = [hash_slot(x, size) for x in distinct]
+    at = np.array([s for s, _ in slots], np.int64)
+    sign = np.array([s for _, s in slots])
+    which = np.fromiter((distinct[x] for x in flat), np.int64, len(flat))
+    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    if not len(flat):
+        return np.zeros((len(lists), size), np.float32)
+    sums = np.bincount(row * size + at[which], sign[which], len(lists) * size).reshape(-1, size)
+    norms = np.linalg.norm(sums, axis=1, keepdims=True)
+    return (sums / np.where(norms == 0, 1, norms)).astype(np.float32)
+
+
 def hashing_encoder(size: int = 256) -> Encoder:
-    """Built-in encoder: hashed word counts of the whole text, scaled to length one."""
+    """Built-in encoder: signed hashes of the words of the whole text, scaled to length one."""
+
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def encode_words(lists: pa.Array) -> pa.Array:
+        words = [[w.encode() for w in words or ()] for words in lists.to_pylist()]
+        values = hashed_rows(words, size)
+        offsets = pa.array(np.arange(len(values) + 1) * size, pa.int32())
+        return pa.ListArray.from_arrays(offsets, pa.array(values.ravel()))
 
     def encode_with(df: DataFrame, text: str, out: str) -> DataFrame:
-        words = df.withColumn("__words", X.tokens(F.coalesce(F.col(text), F.lit(""))))
-        hashed = HashingTF(numFeatures=size, inputCol="__words", outputCol="__tf").transform(words)
-        scaled = Normalizer(p=2.0, inputCol="__tf", outputCol="__unit").transform(hashed)
-        return scaled.withColumn(out, vector_to_array("__unit", "float32")).drop(
-            "__words", "__tf", "__unit"
-        )
+        return df.withColumn(out, encode_words(X.tokens(F.coalesce(F.col(text), F.lit("")))))
 
     return encode_with
 
@@ -149,14 +204,11 @@ def trigram_model(size: int = 128) -> Callable[[], Callable]:
 
     def load() -> Callable:
         def encode_batch(texts: np.ndarray) -> np.ndarray:
-            vectors = np.zeros((len(texts), size), dtype=np.float32)
-            for row, text in enumerate(texts):
+            lists = []
+            for text in texts:
                 padded = f"  {text} "
-                for i in range(len(padded) - 2):
-                    code = zlib.crc32(padded[i : i + 3].encode("utf-8"))
-                    vectors[row, code % size] += 1.0 if code & 0x80000000 else -1.0
-            norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-            return vectors / np.where(norms == 0, 1, norms)
+                lists.append([padded[i : i + 3].encode() for i in range(len(padded) - 2)])
+            return hashed_rows(lists, size)
 
         return encode_batch
 

@@ -5,6 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,9 +16,10 @@ from pyspark.sql import types as T
 
 from ..config import CLASSES, STRATEGIES
 from ..functions import text as X
-from .bounded import lookup_join
+from .bounded import lookup_dict, lookup_join, row_digest, settled
 from .curate import select_existing
 from .sample import stratified_sample
+from .text import ROW_KEYS, ROW_LOOKUP_BYTES
 
 DEFAULT_LABEL = "neutro"
 # Class names of the two annotators and the corpus labels they stand for.
@@ -117,21 +122,53 @@ def model_scorer(
     return score
 
 
-def lexicon_table_hits(
-    df: DataFrame, lexicon: DataFrame, key: str, text: str = "clean_text", **join_options: int
+def with_table_hits(
+    df: DataFrame,
+    lexicon: DataFrame,
+    text: str = "clean_text",
+    row_bytes: int = ROW_LOOKUP_BYTES,
+    **join_options: int,
 ) -> DataFrame:
-    """As ``lexicon_hits`` for a ``(word, weight)`` table: rows ``(key, pos, neg)``.
+    """As ``lexicon_hits`` for a ``(word, weight)`` table: adds ``pos`` and ``neg``.
 
-    The sums of a document are combined where it was read, so only they are shuffled.
+    Of several weights of a word the smallest counts. Words that occur are looked up inside each row
+    while they are measured below ``row_bytes``; beyond, sums per row are shuffled by its hash.
     """
-    exploded = F.posexplode_outer(X.tokens(F.col(text))).alias("pos_in_text", "word")
-    words = df.select(key, exploded)
-    scored = lookup_join(words, lexicon.select("word", "weight"), "word", **join_options)
+    table = settled(lexicon.select("word", F.col("weight").cast("bigint").alias("weight")), "word", "weight")
+    tokens = X.tokens(F.coalesce(F.col(text), F.lit("")))
+    weights = lookup_dict(df.select(F.explode(tokens).alias("word")), table, "word", "weight", row_bytes)
+    if weights is not None:
+        sums = _weight_function(df.sparkSession.sparkContext.broadcast(weights))
+        summed = df.withColumn("__sums", sums(tokens))
+        return summed.withColumns({"pos": F.col("__sums.pos"), "neg": F.col("__sums.neg")}).drop("__sums")
+    marked = df.withColumns(dict(zip(ROW_KEYS, row_digest(df), strict=True)))
+    once = marked.select(*ROW_KEYS, tokens.alias("__tokens")).dropDuplicates(ROW_KEYS)
+    scored = lookup_join(once.select(*ROW_KEYS, F.explode("__tokens").alias("word")), table, "word", **join_options)
     weight = F.coalesce("weight", F.lit(0))
-    return scored.groupBy(key).agg(
-        F.sum(F.greatest(weight, F.lit(0))).alias("pos"),
-        F.sum(F.greatest(-weight, F.lit(0))).alias("neg"),
+    sums = scored.groupBy(*ROW_KEYS).agg(
+        F.sum(F.greatest(weight, F.lit(0))).alias("__pos"),
+        F.sum(F.greatest(-weight, F.lit(0))).alias("__neg"),
     )
+    found = {"pos": F.coalesce("__pos", F.lit(0)), "neg": F.coalesce("__neg", F.lit(0))}
+    return marked.join(sums, ROW_KEYS, "left").withColumns(found).drop("__pos", "__neg", *ROW_KEYS)
+
+
+def _weight_function(weights: Broadcast):
+    @F.arrow_udf(T.StructType.fromDDL("pos bigint, neg bigint"))
+    def sums(lists: pa.Array) -> pa.Array:
+        # Each distinct word of the batch is looked up once.
+        coded = lists.flatten().dictionary_encode()
+        found = np.array([weights.value.get(w) or 0 for w in coded.dictionary.to_pylist()] + [0])
+        value = found[coded.indices.to_numpy()]
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes)
+        columns = []
+        for part in (np.maximum(value, 0), np.maximum(-value, 0)):
+            running = np.concatenate([[0], part.cumsum()])
+            columns.append(pa.array(running[ends] - running[ends - sizes], pa.int64()))
+        return pa.StructArray.from_arrays(columns, names=["pos", "neg"])
+
+    return sums
 
 
 def map_labels(label: Column, names: Mapping[str, str], default: str = DEFAULT_LABEL) -> Column:
@@ -253,4 +290,4 @@ def validation_sample(
     drawn = stratified_sample(
         select_existing(df, list(dict.fromkeys([key, *wanted]))), n, seed, key, label, classes
     )
-    return select_existing(drawn, wanted).withColumn("label_manual", F.lit(""))
+    return select_existing(drawn, [key, *wanted]).withColumn("label_manual", F.lit(""))

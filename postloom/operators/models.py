@@ -11,13 +11,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CLASSES
+from ..session import shared_dir
 
-# A fit makes many passes over the rows; tasks with fewer rows than this cost more than they work.
-ROWS_PER_TASK = 10_000
 KINDS = ("nb", "lr", "svm")
 NAMES = {"nb": "NaiveBayes", "lr": "LogisticRegression", "svm": "SVM"}
 
 
+def known_labels(df: DataFrame, label: str, classes: Sequence[str] = CLASSES) -> DataFrame:
+    """The rows whose label is one of the classes."""
+    return df.filter(F.col(label).isin(*classes))
+
+
 def train(
     df: DataFrame,
     kind: str,
@@ -25,20 +29,22 @@ def train(
     features: str = "features",
     classes: Sequence[str] = CLASSES,
     n_rows: int | None = None,
+    tol: float = 1e-4,
 ) -> PipelineModel:
     """Fit naive Bayes (``nb``), logistic regression (``lr``) or a linear SVM (``svm``).
 
-    The penalty equals a cost of one per row, so it needs the row count: pass ``n_rows`` if known.
-    Cache the rows before, as every pass reads them.
+    Rows whose label is null or not among ``classes`` teach nothing and do not count. The penalty
+    equals a cost of one per row, so it needs the row count: pass ``n_rows``, counted the same way,
+    if known. Store the rows before, as every pass reads them.
     """
     if kind not in KINDS:
         raise ValueError(f"model {kind!r}; expected one of {KINDS}")
     index = StringIndexerModel.from_labels(
-        list(classes), inputCol=label, outputCol="__label", handleInvalid="skip"
+        list(classes), inputCol=label, outputCol="__label", handleInvalid="error"
     )
-    n_rows = df.count() if n_rows is None else n_rows
-    tasks = -(-max(1, n_rows) // ROWS_PER_TASK)
-    rows = index.transform(df.select(label, features).coalesce(tasks))
+    known = known_labels(df.select(label, features), label, classes)
+    n_rows = known.count() if n_rows is None else n_rows
+    rows = index.transform(known)
     columns = {"featuresCol": features, "labelCol": "__label"}
     if kind == "nb":
         estimator = NaiveBayes(modelType="multinomial", smoothing=1.0, **columns)
@@ -47,7 +53,7 @@ def train(
         if kind == "lr":
             estimator = LogisticRegression(
                 maxIter=1000,
-                tol=1e-4,
+                tol=tol,
                 elasticNetParam=0.0,
                 regParam=penalty,
                 standardization=False,
@@ -55,7 +61,7 @@ def train(
             )
         else:
             svc = LinearSVC(
-                maxIter=100, tol=1e-4, regParam=penalty, standardization=False, **columns
+                maxIter=100, tol=tol, regParam=penalty, standardization=False, **columns
             )
             estimator = OneVsRest(classifier=svc, parallelism=min(8, len(classes)), **columns)
     fitted = estimator.fit(rows)
@@ -124,12 +130,18 @@ def compare_models(
     """Fit every kind of model on every feature set: rows ``(model, precision, recall, f1)``.
 
     ``feature_sets`` maps a suffix to a function that adds the ``features`` column. Features are
-    cached while the models of a set are fitted; ``on_fit`` may save each model.
+    stored once in the shared folder, and all passes of all fits read them there. Rows without a
+    known label are left out of both parts. ``on_fit`` may save each model.
     """
-    result = None
+    spark, result = train_part.sparkSession, None
     for suffix, featurize in feature_sets.items():
-        fit_rows = featurize(train_part).select(label, "features").cache()
-        test_rows = featurize(test_part).select(label, "features").cache()
+        parts = []
+        for part in (train_part, test_part):
+            path = shared_dir(spark, "features")
+            rows = featurize(known_labels(part, label, classes)).select(label, "features")
+            rows.write.parquet(path)
+            parts.append(spark.read.schema(rows.schema).parquet(path))
+        fit_rows, test_rows = parts
         n_rows = fit_rows.count()
         scores = []
         for kind in kinds:
@@ -140,9 +152,7 @@ def compare_models(
             # One row per model comes to the driver.
             row = weighted_prf(predict(model, test_rows), label, "predicted").first()
             scores.append((name, row["precision"], row["recall"], row["f1"]))
-        fit_rows.unpersist()
-        test_rows.unpersist()
-        metrics = train_part.sparkSession.createDataFrame(
+        metrics = spark.createDataFrame(
             scores, "model string, precision double, recall double, f1 double"
         )
         result = metrics if result is None else result.unionByName(metrics)

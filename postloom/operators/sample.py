@@ -39,6 +39,7 @@ def hash_split(
     df: DataFrame, key: str, test: float = 0.2, seed: int = 42
 ) -> tuple[DataFrame, DataFrame]:
     """``(train, test)`` by a hash of the key: two filters, no shuffle, about ``test`` of the rows."""
+    # A null key has a hash as well, so every row is in one of the two.
     bucket = hash_number(seeded_hash(F.col(key), seed)) % BUCKETS
     in_test = bucket < round(test * BUCKETS)
     return df.filter(~in_test), df.filter(in_test)

@@ -12,10 +12,11 @@ from pyspark.sql import types as T
 
 from ..config import PreprocessConfig
 from ..functions import text as X
-from .bounded import fits_in_memory, lookup_join
+from .bounded import lookup_dict, lookup_join, row_digest, settled
 
 # Each Python worker holds its own copy of the table, several times its size as text.
 ROW_LOOKUP_BYTES = 16 * 1024 * 1024
+ROW_KEYS = ["__row_a", "__row_b"]
 
 
 def with_clean_text(
@@ -49,31 +50,32 @@ def with_tokens(df: DataFrame, text: str = "clean_text", out: str = "tokens") ->
 def with_lemmas(
     df: DataFrame,
     lemmas: DataFrame,
-    key: str,
     tokens: str = "tokens",
     out: str = "tokens",
     row_bytes: int = ROW_LOOKUP_BYTES,
     **join_options: int,
 ) -> DataFrame:
-    """Replace each token by its lemma from a ``(form, lemma)`` table with one row per form.
+    """Replace each token by its lemma from a ``(form, lemma)`` table.
 
-    A table measured below ``row_bytes`` is sent to the Python workers and looked up inside each
-    row, in Arrow batches, without a shuffle. With a larger table the tokens are exploded, joined
-    by form as ``lookup_join`` sees fit, and put back in order by the unique ``key``.
+    Of several lemmas of a form the smallest counts. Forms that occur are looked up inside each row,
+    in Arrow batches, while they are measured below ``row_bytes``. Beyond, the tokens are joined by
+    form as ``lookup_join`` sees fit and put back in order by a hash of the whole row.
     """
-    table = lemmas.select("form", "lemma")
-    if fits_in_memory(table, row_bytes):
-        forms = {row["form"]: row["lemma"] for row in table.collect()}
+    table = settled(lemmas.select("form", "lemma").filter(F.col("lemma").isNotNull()), "form", "lemma")
+    words = df.select(F.explode(tokens).alias("form"))
+    forms = lookup_dict(words, table, "form", "lemma", row_bytes)
+    if forms is not None:
         replace = _lemma_function(df.sparkSession.sparkContext.broadcast(forms))
         return df.withColumn(out, replace(tokens))
-    words = df.select(key, F.posexplode(tokens).alias("__pos", "form"))
-    looked = lookup_join(words, table, "form", **join_options)
+    marked = df.withColumns(dict(zip(ROW_KEYS, row_digest(df), strict=True)))
+    once = marked.select(*ROW_KEYS, tokens).dropDuplicates(ROW_KEYS)
+    looked = lookup_join(once.select(*ROW_KEYS, F.posexplode(tokens).alias("__pos", "form")), table, "form", **join_options)
     lemma = F.coalesce("lemma", "form")
-    grouped = looked.groupBy(key).agg(
+    grouped = looked.groupBy(*ROW_KEYS).agg(
         F.array_sort(F.collect_list(F.struct("__pos", lemma.alias("lemma")))).alias("__lemmas")
     )
     fixed = F.coalesce(F.col("__lemmas.lemma"), F.col(tokens))
-    return df.join(grouped, key, "left").withColumn(out, fixed).drop("__lemmas")
+    return marked.join(grouped, ROW_KEYS, "left").withColumn(out, fixed).drop("__lemmas", *ROW_KEYS)
 
 
 def _lemma_function(forms: Broadcast):

@@ -35,7 +35,7 @@ def preprocess(
     if config.lemmatize:
         if lemmas is None:
             raise ValueError("lemmatize needs a (form, lemma) table")
-        out = TX.with_lemmas(out, lemmas, key)
+        out = TX.with_lemmas(out, lemmas)
     return label.label_posts(out, config.label_strategy, annotators)
 
 

@@ -4,18 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 
 from ..config import CLASSES
 from ..operators import features as FE
 from ..operators import models as ML
 from ..operators.sample import hash_split
+from ..sources import delimited, runlog
 
 
-def _saver(folder: str | None):
+def _saver(folder: str | None, before: Sequence = ()):
+    """Saves each fitted model behind the stages that make its features."""
     if folder is None:
         return None
-    return lambda name, model: ML.save_model(model, f"{folder}/{name}")
+    return lambda name, model: ML.save_model(PipelineModel([*before, model]), f"{folder}/{name}")
+
+
+def _recorded(metrics: DataFrame, folder: str | None, **entries: object) -> DataFrame:
+    """Write the metrics as CSV and the settings of the run beside the models."""
+    if folder is not None:
+        delimited.write_table_csv(metrics.coalesce(1), f"{folder}/metrics")
+        log = runlog.experiment_log(metrics.sparkSession, entries)
+        runlog.append_log(log, f"{folder}/experiment_log")
+    return metrics
 
 
 def compare_tfidf(
@@ -31,21 +43,25 @@ def compare_tfidf(
 ) -> DataFrame:
     """Naive Bayes, logistic regression and SVM on TF-IDF.
 
+    With ``folder``, each model is saved with the stages that turn clean texts into its features, and
+    the metrics and the settings of the run are written beside them.
+
     ``fit_on="all"`` learns the vocabulary from all rows, test rows included; ``"train"`` does not.
     """
     if fit_on not in ("all", "train"):
         raise ValueError(f"fit_on={fit_on!r}; expected 'all' or 'train'")
     train_part, test_part = hash_split(df, key, seed=seed)
     model = FE.fit_tfidf(df if fit_on == "all" else train_part, text, max_features)
-    return ML.compare_models(
+    metrics = ML.compare_models(
         train_part,
         test_part,
         {"": lambda part: FE.with_tfidf(part, model, text)},
         ("nb", "lr", "svm"),
         label,
         classes,
-        _saver(folder),
+        _saver(folder, FE.tfidf_stages(model, text)),
     )
+    return _recorded(metrics, folder, Features=max_features, Fitted_on=fit_on, Seed=seed)
 
 
 def compare_encoders(
@@ -69,6 +85,7 @@ def compare_encoders(
         return lambda part: FE.with_vector(FE.encode(part, encoder, text, "__vec"), "__vec")
 
     sets = {name: featurizer(encoder) for name, encoder in encoders.items()}
-    return ML.compare_models(
+    metrics = ML.compare_models(
         train_part, test_part, sets, ("lr", "svm"), label, classes, _saver(folder)
     )
+    return _recorded(metrics, folder, Encoders=", ".join(encoders), Seed=seed)

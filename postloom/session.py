@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -40,11 +38,16 @@ def build_session(
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder that all executors can reach, under ``spark.checkpoint.dir``.
 
-    Only a local master, where driver and executors share one machine, may go without the setting.
+    Only a local master, where driver and executors share one machine, may go without the setting;
+    the folder then lies in the warehouse.
     """
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-        root = tempfile.mkdtemp(prefix="postloom-")
-    return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
+        root = spark.conf.get("spark.sql.warehouse.dir") + "/postloom"
+    return root.rstrip("/")

@@ -1,3 +1,5 @@
+import tempfile
+
 import pytest
 from pyspark.sql import SparkSession
 
@@ -11,6 +13,7 @@ def make_session() -> SparkSession:
             "spark.master": "local[8]",
             "spark.sql.shuffle.partitions": "8",
             "spark.driver.memory": "8g",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="postloom-tests-"),
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
         },

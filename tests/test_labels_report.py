@@ -77,12 +77,15 @@ def test_model_scorer(spark):
     assert rows[1]["label_confidence"] == 0.7
 
 
-@pytest.mark.parametrize("options", [{}, {"max_bytes": 0, "salts": 3}])
+@pytest.mark.parametrize("options", [{}, {"row_bytes": 0}, {"row_bytes": 0, "max_bytes": 0}])
 def test_lexicon_table_equals_fixed_lexicon(spark, options):
     words = {**LB.OPINION_WORDS, **LB.MOOD_WORDS}
     table = spark.createDataFrame(list(words.items()), "word string, weight int")
-    hits = LB.lexicon_table_hits(posts(spark), table, "id", **options).orderBy("id").collect()
-    assert [(r["pos"], r["neg"]) for r in hits] == [(5, 0), (0, 4), (0, 0), (0, 0), (1, 2)]
+    twice = table.unionByName(table.withColumn("weight", F.lit(9)))  # the smallest weight counts
+    rows = posts(spark).unionByName(posts(spark))  # repeated rows each get their sums
+    hits = LB.with_table_hits(rows, twice, **options).orderBy("id").collect()
+    assert [(r["pos"], r["neg"]) for r in hits[::2]] == [(5, 0), (0, 4), (0, 0), (0, 0), (1, 2)]
+    assert hits[::2] == hits[1::2]
 
 
 def test_fixed_lexicon_needs_no_shuffle(spark):

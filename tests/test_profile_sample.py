@@ -70,19 +70,32 @@ def test_nulls_and_patterns(spark):
     assert PR.mean_length(df, "b").first()[0] == 3.0
 
 
-def test_sample_sizes_and_stability(spark, monkeypatch):
+@pytest.mark.parametrize("edge", [0, 100_000])
+def test_sample_sizes_and_stability(spark, monkeypatch, edge):
+    monkeypatch.setattr(B, "EDGE_ROWS", edge)
     df = spark.range(5000).withColumn("k", F.concat(F.lit("c"), (F.col("id") % 3 == 0).cast("int")))
-    small = {r["id"] for r in SA.sample_n(df.repartition(3), 100, 42, "id").collect()}
+    first = {r["id"] for r in SA.sample_n(df.repartition(3), 100, 42, "id").collect()}
     again = {r["id"] for r in SA.sample_n(df.repartition(11), 100, 42, "id").collect()}
-    assert small == again and len(small) == 100
-    monkeypatch.setattr(B, "SMALL_SAMPLE", 0)
-    assert {r["id"] for r in SA.sample_n(df, 100, 42, "id").collect()} == small
+    assert first == again and len(first) == 100
+    assert first == {r[0] for r in df.orderBy(F.md5(F.concat(F.lit("42:"), "id"))).limit(100).collect()}
     assert SA.sample_n(df, 9999, 42, "id").count() == 5000
+    assert SA.sample_n(df, 0, 42, "id").count() == 0
 
 
-@pytest.mark.parametrize("limit", [0, 1000])
-def test_strata(spark, monkeypatch, limit):
-    monkeypatch.setattr(B, "SMALL_SAMPLE", limit)
+@pytest.mark.parametrize("edge", [0, 100_000])
+@pytest.mark.parametrize("n", [1, 900, 1500, 2999])
+def test_samples_keep_null_and_repeated_keys(spark, monkeypatch, n, edge):
+    monkeypatch.setattr(B, "EDGE_ROWS", edge)
+    key = F.when(F.col("id") % 3 != 0, F.col("id") % 50)
+    rows = spark.range(3000).select("id", key.alias("k"), (F.col("id") % 2).cast("string").alias("s"))
+    assert SA.sample_n(rows, n, 42, "k").count() == n
+    same = rows.select(F.lit(1).alias("k"))  # rows that nothing tells apart
+    assert SA.sample_n(same, n, 42, "k").count() == n
+    got = SA.stratified_sample(rows, 2 * n, 42, "k", "s", ("0", "1"))
+    assert {r["s"]: r["count"] for r in got.groupBy("s").count().collect()} == {s: min(n, 1500) for s in "01"}
+
+
+def test_strata(spark):
     labels = ["a"] * 300 + ["b"] * 20 + ["c"] * 80 + [None] * 5 + ["other"] * 9
     df = spark.createDataFrame([(i, k) for i, k in enumerate(labels)], "id int, k string")
     got = SA.stratified_sample(df, 150, 42, "id", "k", ("a", "b", "c"))
@@ -90,10 +103,11 @@ def test_strata(spark, monkeypatch, limit):
     assert sizes == {"a": 50, "b": 20, "c": 50}
 
 
-def test_small_strata_are_pruned_before_the_shuffle(spark):
-    df = spark.range(100).withColumn("k", (F.col("id") % 2).cast("string"))
+def test_samples_shuffle_no_rows(spark):
+    df = spark.range(100).withColumn("k", (F.col("id") % 2).cast("string")).withColumn("wide", F.lit("x"))
     plan = SA.stratified_sample(df, 30, 42, "id", "k", ("0", "1", "2"))
-    assert "WindowGroupLimit" in plan._jdf.queryExecution().executedPlan().toString()
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in text and text.count("Exchange") <= 1
 
 
 def test_sample_too_large(spark):
@@ -106,11 +120,14 @@ def test_split_is_a_partition(spark):
     train, test = SA.hash_split(df, "id")
     assert train.count() + test.count() == 4000 and train.intersect(test).count() == 0
     assert 700 < test.count() < 900
+    nulls = df.select(F.when(F.col("id") % 3 != 0, F.col("id")).alias("id"))
+    train, test = SA.hash_split(nulls, "id")
+    assert train.count() + test.count() == 4000
 
 
 @pytest.mark.parametrize("max_bytes", [0, 1 << 20])
 def test_lookup_join_with_hot_key(spark, max_bytes):
     df = spark.range(3000).withColumn("k", F.when(F.col("id") % 3 == 0, "hot").otherwise("x"))
     table = spark.createDataFrame([("hot", 1), ("cold", 2)], "k string, v int")
-    rows = B.lookup_join(df, table, "k", max_bytes=max_bytes, salts=5)
+    rows = B.lookup_join(df, table, "k", max_bytes=max_bytes)
     assert rows.count() == 3000 and rows.filter("v = 1").count() == 1000

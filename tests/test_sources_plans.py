@@ -121,12 +121,13 @@ def test_epoch_times(spark, tmp_path):
 
 
 def fake_session(master, folder=None):
-    conf = SimpleNamespace(get=lambda key, default: folder if key == "spark.checkpoint.dir" else default)
+    settings = {"spark.checkpoint.dir": folder, "spark.sql.warehouse.dir": "/warehouse"}
+    conf = SimpleNamespace(get=lambda key, default=None: settings.get(key) or default)
     return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
 
 
 def test_shared_dir_follows_the_session(tmp_path):
     assert shared_dir(fake_session("yarn", str(tmp_path)), "x").startswith(str(tmp_path))
-    assert shared_dir(fake_session("local[2]"), "x")
+    assert shared_dir(fake_session("local[2]"), "x").startswith("/warehouse/")
     with pytest.raises(ValueError):
         shared_dir(fake_session("yarn"), "x")

@@ -128,16 +128,27 @@ def test_media_and_display(spark):
     assert column(spark, "a" * 600, X.cap_text) == "a" * 600
 
 
-@pytest.mark.parametrize("options", [{}, {"row_bytes": 0}, {"row_bytes": 0, "max_bytes": 0, "salts": 3}])
+@pytest.mark.parametrize("options", [{}, {"row_bytes": 0}, {"row_bytes": 0, "max_bytes": 0}])
 def test_lemmas(spark, options):
     df = spark.createDataFrame(
         [(1, ["los", "goles", "los"]), (2, []), (3, None), (4, ["x", "ya"])], "id int, tokens array<string>"
     )
     table = spark.createDataFrame([("los", "el"), ("goles", "gol"), ("ya", None)], "form string, lemma string")
-    rows = {r["id"]: r["tokens"] for r in TX.with_lemmas(df, table, "id", **options).collect()}
+    rows = {r["id"]: r["tokens"] for r in TX.with_lemmas(df, table, **options).collect()}
     assert rows == {1: ["el", "gol", "el"], 2: [], 3: None, 4: ["x", "ya"]}
 
 
+@pytest.mark.parametrize("options", [{}, {"row_bytes": 0}, {"row_bytes": 0, "max_bytes": 0}])
+def test_lemmas_of_rows_that_share_a_key(spark, options):
+    rows = [("h", ["gatos", "x"]), ("h", ["perros"]), (None, ["gatos"]), (None, ["gatos"])]
+    df = spark.createDataFrame(rows, "k string, tokens array<string>")
+    table = spark.createDataFrame(
+        [("gatos", "gato"), ("gatos", "felino"), ("perros", "perro"), (None, "y")], "form string, lemma string"
+    )
+    found = sorted(r["tokens"] for r in TX.with_lemmas(df, table, **options).collect())
+    assert found == [["felino"], ["felino"], ["felino", "x"], ["perro"]]
+
+
 def test_word_class_equals_python(spark):
     odd = "a1_éñ\u0301\ufe0f½²Ⅷ٣漢"
     found = column(spark, odd, lambda c: F.regexp_extract_all(c, F.lit(P.WORD), F.lit(0)))
