@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import profile as PR
+from ..operators.curate import dedup_keep_first
 from .registry import POSTS, query
 
-ORDER_COLUMNS = ("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
 
 
 @query(
@@ -39,6 +39,12 @@ def _number_sql(table: str, col: str) -> str:
   max({col})::DOUBLE AS max FROM {table}"""
 
 
+def _time_sql(table: str, col: str) -> str:
+    """A date or time as epoch seconds."""
+    seconds = f"(SELECT epoch({col}::TIMESTAMP) AS {col} FROM {table})"
+    return _number_sql(seconds, col)
+
+
 def _word_sql(table: str, col: str) -> str:
     empty = ", ".join(
         f"NULL::DOUBLE AS {n}" for n in ("mean", "std", "min", "p25", "p50", "p75", "max")
@@ -58,20 +64,23 @@ def _rounded(df):
     " UNION ALL ".join(
         [
             _number_sql("orders", "o_orderkey"),
-            _number_sql("orders", "o_totalprice"),
+            _number_sql("orders", "o_custkey"),
             _word_sql("orders", "o_orderstatus"),
+            _number_sql("orders", "o_totalprice"),
+            _time_sql("orders", "o_orderdate"),
             _word_sql("orders", "o_orderpriority"),
         ]
     ),
 )
 def describe_all(t):
-    return _rounded(PR.describe_all(t.orders, ORDER_COLUMNS))
+    return _rounded(PR.describe_all(t.orders))
 
 
 @query(
     "pr3_describe_posts",
     " UNION ALL ".join(
         [
+            _number_sql("documents", "doc_id"),
             _number_sql("documents", "n_chars"),
             _word_sql("documents", "text"),
             _word_sql("documents", "lang"),
@@ -80,19 +89,19 @@ def describe_all(t):
     ),
 )
 def describe_posts(t):
-    return _rounded(PR.describe_all(t.documents, ["n_chars", "text", "lang", "source"]))
+    return _rounded(PR.describe_all(t.documents))
 
 
 MARKED = """marked AS (
-  SELECT d.doc_id, d.lang, l.quality, l.toxic, nullif(d.source, 'src3') AS source
+  SELECT d.doc_id, d.text, d.lang, d.n_chars, l.quality, l.toxic, nullif(d.source, 'src3') AS source
   FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
-MARKED_COLUMNS = ("doc_id", "lang", "quality", "toxic", "source")
+MARKED_COLUMNS = ("doc_id", "text", "lang", "n_chars", "quality", "toxic", "source")
 
 
 def marked(t):
     source = F.nullif(F.col("source"), F.lit("src3")).alias("source")
     rows = t.documents.join(t.labels, "doc_id", "left")
-    return rows.select("doc_id", "lang", "quality", "toxic", source)
+    return rows.select("doc_id", "text", "lang", "n_chars", "quality", "toxic", source)
 
 
 def _each(measure: str, name: str) -> str:
@@ -135,6 +144,16 @@ def stage_counts(t):
     return PR.stage_counts(t.posts, stages)
 
 
+@query(
+    "pr7_stage_counts_of_tables",
+    """SELECT 'read' AS stage, count(*) AS n FROM documents
+UNION ALL SELECT 'distinct', count(DISTINCT text) FROM documents""",
+)
+def stage_counts_of_tables(t):
+    first = dedup_keep_first(t.documents, "text", ["doc_id"])
+    return PR.counts_of({"read": t.documents, "distinct": first})
+
+
 @query("pr8_value_counts", "SELECT lang, count(*) AS n FROM documents GROUP BY lang")
 def value_counts(t):
     return PR.value_counts(t.documents, "lang")

@@ -8,6 +8,7 @@ from ..config import CLASSES, REPORT_STOPWORDS
 from ..functions import patterns as P
 from ..operators import agreement as A
 from ..operators import report as RP
+from ..operators import text as TX
 from ..operators.curate import filter_posts
 from ..plans.report import load_report_inputs
 from ..session import shared_dir
@@ -102,9 +103,9 @@ def _words_sql(word_class: str, fold: bool) -> str:
     folded = """SELECT CASE WHEN b.word IS NOT NULL THEN b.word ELSE c.word END AS word, c.n FROM c
   LEFT JOIN c b ON c.word LIKE '%s' AND c.word NOT LIKE '%ss'
     AND b.word = left(c.word, length(c.word) - 1)"""
-    return f"""WITH {LABELLED}, w AS (
-  SELECT regexp_replace(unnest(regexp_extract_all(lower(full_text), {S.quote(P.CLOUD_WORD)})),
-    '''s$', '') AS word FROM labelled WHERE label_sentiment = '{word_class}'),
+    return f"""WITH {LABELLED}, {S.cleaned_cte('labelled', 'full_text')}, w AS (
+  SELECT regexp_replace(unnest(regexp_extract_all(lower(clean_text), {S.quote(P.CLOUD_WORD)})),
+    '''s$', '') AS word FROM cleaned WHERE label_sentiment = '{word_class}'),
 c AS (SELECT word, count(*) AS n FROM w WHERE word NOT IN ({stop})
   AND NOT regexp_matches(word, '^\\p{{Nd}}+$') GROUP BY word)
 SELECT word, sum(n)::BIGINT AS n FROM ({folded if fold else 'SELECT * FROM c'}) GROUP BY word
@@ -113,12 +114,12 @@ ORDER BY n DESC, word LIMIT 80"""
 
 @query("rp6_top_words", _words_sql("negativo", True))
 def top_words(t):
-    return RP.top_words(t.labelled, "negativo", text="full_text")
+    return RP.top_words(TX.with_clean_text(t.labelled), "negativo")
 
 
 @query("rp6_top_words_unfolded", _words_sql("positivo", False))
 def top_words_unfolded(t):
-    return RP.top_words(t.labelled, "positivo", text="full_text", fold_plurals=False)
+    return RP.top_words(TX.with_clean_text(t.labelled), "positivo", fold_plurals=False)
 
 
 @query(

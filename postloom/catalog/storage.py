@@ -36,7 +36,7 @@ def read_raw_csv(t):
     path = shared_dir(t.spark, "raw")
     t.documents.select(line.alias("value")).write.text(path)
     return delimited.read_raw_csv(
-        t.spark, path, "doc_id bigint, text string, lang string", header=False
+        t.spark, path, "doc_id bigint, text string, lang string", header=False, multi_line=True
     )
 
 
@@ -109,12 +109,19 @@ def write_table_csv(t):
     return stored.na.fill("", ["label_manual"])
 
 
+DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _cell_sql(column: str) -> str:
+    text = f"CAST({column} AS VARCHAR)"
+    return f"coalesce(length({text}) || '=' || {text}, '-')"
+
+
 @query(
     "io7_dataset_fingerprint",
-    """WITH h AS (SELECT sha256(concat_ws(chr(31), coalesce(doc_id::VARCHAR, '\\N'),
-  coalesce(lang, '\\N'), coalesce(n_chars::VARCHAR, '\\N'), coalesce(source, '\\N'),
-  coalesce(text, '\\N'))) AS d FROM documents)
-SELECT count(*) AS n_rows, sum(('0x' || left(d, 8))::UBIGINT)::VARCHAR AS fingerprint FROM h""",
+    f"""WITH h AS (SELECT sha256({" || ".join(_cell_sql(c) for c in sorted(DOCUMENT_COLUMNS))}) AS d FROM documents)
+SELECT count(*) AS n_rows, sum(('0x' || left(d, 8))::UBIGINT)::VARCHAR || ':' ||
+  sum(('0x' || substr(d, 9, 8))::UBIGINT)::VARCHAR AS fingerprint FROM h""",
 )
 def dataset_fingerprint(t):
     return fingerprint.dataset_fingerprint(t.documents)

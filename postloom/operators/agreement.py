@@ -90,9 +90,8 @@ def agreement_matrix(
     """Every pair of classes with its count and its share of the row, zeros included."""
     known = F.col(a).isin(*classes) & F.col(b).isin(*classes)
     counts = label_pairs(df.filter(known), a, b)
-    grid = df.sparkSession.createDataFrame(
-        [(x, y) for x in classes for y in classes], "a string, b string"
-    )
+    pairs = [F.struct(F.lit(x).alias("a"), F.lit(y).alias("b")) for x in classes for y in classes]
+    grid = df.sparkSession.range(1).select(F.inline(F.array(*pairs)))
     dense = grid.join(counts, ["a", "b"], "left").select(
         "a", "b", F.coalesce("n", F.lit(0)).alias("count")
     )

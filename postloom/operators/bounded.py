@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +15,10 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 HASH_DIGITS = 4
 ORDER_DIGITS = 48
 EDGE_ROWS = 100_000
+# Accuracy of the sketches that bracket a quantile, rows a bracket may hold, and steps to get there.
+SKETCH = 10_000
+BRACKET_ROWS = 100_000
+BRACKET_STEPS = 6
 
 
 def table_bytes(table: DataFrame) -> int:
@@ -147,92 +152,99 @@ def as_double(df: DataFrame, name: str) -> Column:
 
 
 def exact_quantiles(
-    df: DataFrame, cols: Sequence[str], probabilities: Sequence[float], side: int = 16
+    df: DataFrame, cols: Sequence[str], probabilities: Sequence[float]
 ) -> DataFrame:
     """Exact linear-interpolated quantiles, one row per column.
 
-    Approximate quantiles cut the values into ``side * side`` slices of nearly equal size, whose
-    rows are counted where they are read. Only the values of the slices that hold a wanted rank
-    are shuffled and sorted, so no task ever holds a whole column.
+    An approximate sketch brackets each wanted rank between two values; one pass counts the rows
+    below and within each bracket, and brackets that still hold many rows are narrowed the same
+    way. Only the values within the last brackets, a bounded number, are shuffled and ranked.
     """
-    slices = side * side
-    shares = ", ".join(f"{i / slices}D" for i in range(1, slices))
     doubles = df.select([F.nanvl(as_double(df, c), F.lit(None)).alias(c) for c in cols])
-    sketches = doubles.agg(
-        *[
-            F.struct(
-                F.lit(c).alias("column"),
-                F.expr(f"percentile_approx(`{c}`, array({shares}), {10 * slices})").alias("cuts"),
-            ).alias(c)
-            for c in cols
-        ]
-    )
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.lit(side - 1)), lambda i: F.slice("cuts", i * side + 1, side)
-    )
-    # One row per column with `slices` numbers: blocks of bounds, and the last bound of each block.
-    bounds = (
-        sketches.select(F.inline(F.array(*cols)))
-        .select("column", blocks.alias("blocks"))
-        .withColumn(
-            "ends",
-            F.transform(F.slice("blocks", 1, side - 1), lambda block: F.element_at(block, -1)),
+    spots = [(c, i) for c in cols for i in range(len(probabilities))]
+    sizes = doubles.agg(*[F.count(c).alias(c) for c in cols]).first().asDict()
+    spots = [s for s in spots if sizes[s[0]]]
+    position = {(c, i): probabilities[i] * (sizes[c] - 1) for c, i in spots}
+    brackets: dict[tuple[str, int], tuple[float | None, float | None]] = dict.fromkeys(spots, (None, None))
+    below = dict.fromkeys(spots, 0)
+    inside = {s: sizes[s[0]] for s in spots}
+
+    def within(c: str, low: float | None, high: float | None) -> Column:
+        test = F.col(c).isNotNull()
+        test = test if low is None else test & (F.col(c) >= F.lit(float(low)))
+        return test if high is None else test & (F.col(c) <= F.lit(float(high)))
+
+    open_spots = [s for s in spots if inside[s] > BRACKET_ROWS]
+    for _ in range(BRACKET_STEPS):
+        if not open_spots:
+            break
+        picks = []
+        for n, s in enumerate(open_spots):
+            share = (position[s] - below[s]) / inside[s]
+            ends = f"array({max(share - 2 / SKETCH, 0)}D, {min(share + 2 / SKETCH, 1)}D)"
+            value = F.when(within(s[0], *brackets[s]), F.col(s[0])).alias("v")
+            picks.append((n, value, ends))
+        sketch = doubles.select(*[v.alias(f"v{n}") for n, v, _ in picks]).agg(
+            *[F.expr(f"percentile_approx(v{n}, {ends}, {SKETCH})").alias(f"q{n}") for n, _, ends in picks]
+        ).first()
+        tried = {s: (sketch[f"q{n}"][0], sketch[f"q{n}"][1]) for n, s in enumerate(open_spots)}
+        counts = doubles.agg(
+            *[
+                expression
+                for n, s in enumerate(open_spots)
+                for expression in (
+                    F.count_if(F.col(s[0]) < F.lit(float(tried[s][0]))).alias(f"b{n}"),
+                    F.count_if(within(s[0], *tried[s])).alias(f"i{n}"),
+                )
+            ]
+        ).first()
+        still = []
+        for n, s in enumerate(open_spots):
+            low, more = counts[f"b{n}"], counts[f"i{n}"]
+            if low <= math.floor(position[s]) and math.ceil(position[s]) < low + more and more < inside[s]:
+                brackets[s], below[s], inside[s] = tried[s], low, more
+                if more > BRACKET_ROWS and tried[s][0] < tried[s][1]:
+                    still.append(s)
+        open_spots = still
+    parts = [
+        F.struct(
+            F.lit(c).alias("column"), F.lit(i).alias("spot"), F.lit(below[c, i]).alias("before"), F.col(c).alias("value")
         )
-    )
-    long = doubles.unpivot([], list(cols), "column", "value")
-    values = long.filter(F.col("value").isNotNull())
-
-    def below(numbers: Column) -> Column:
-        return F.size(F.filter(numbers, lambda b: b < F.col("value")))
-
-    blocked = values.join(F.broadcast(bounds), "column").withColumn("block", below(F.col("ends")))
-    inner = below(F.element_at("blocks", F.col("block") + 1))
-    sliced = blocked.select(
-        "column", "value", (F.col("block") * side + inner).alias("slice")
-    )
-    sizes = sliced.groupBy("column", "slice").agg(
-        F.count("*").alias("size"), F.min("value").alias("low"), F.max("value").alias("high")
-    )
-    running = Window.partitionBy("column").orderBy("slice")
-    before = F.sum("size").over(running) - F.col("size")
-    total = F.sum("size").over(Window.partitionBy("column"))
-    placed = sizes.withColumns({"before": before, "total": total})
-
-    def position(p: float) -> Column:
-        return F.lit(float(p)) * (F.col("total") - 1)
-
-    def holds(rank: Column) -> Column:
-        return (F.col("before") <= rank) & (rank < F.col("before") + F.col("size"))
-
-    wanted = F.lit(False)
-    for p in probabilities:
-        wanted = wanted | holds(F.floor(position(p))) | holds(F.ceil(position(p)))
-    # At most two slices per column and probability; their value ranges do not overlap.
-    hit = placed.filter(wanted).drop("size")
-    inside = F.col("value").between(F.col("low"), F.col("high"))
+        for c, i in spots
+    ]
+    names = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
+    if not parts:
+        return names.select("column", *[F.lit(None).cast("double").alias(name_of(p)) for p in probabilities])
+    marked = [F.when(within(c, *brackets[c, i]), part) for (c, i), part in zip(spots, parts, strict=True)]
     near = (
-        values.join(F.broadcast(hit), "column")
-        .filter(inside)
-        .groupBy("column", "slice", "value", "before", "total")
+        doubles.select(F.explode(F.array_compact(F.array(*marked))).alias("x"))
+        .select("x.*")
+        .groupBy("column", "spot", "before", "value")
         .agg(F.count("*").alias("n"))
     )
-    in_slice = Window.partitionBy("column", "slice").orderBy("value")
-    ranked = near.withColumn("upto", F.col("before") + F.sum("n").over(in_slice))
+    running = Window.partitionBy("column", "spot").orderBy("value")
+    ranked = near.withColumn("upto", F.col("before") + F.sum("n").over(running))
 
-    def value_at(rank: Column) -> Column:
-        inside = (F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto"))
-        return F.max(F.when(inside, F.col("value")))
+    def value_at(i: int, which) -> Column:
+        rank = F.lit(None).cast("bigint")
+        for c in cols:
+            if (c, i) in position:
+                rank = F.when(F.col("column") == c, F.lit(which(position[c, i]))).otherwise(rank)
+        hit = (F.col("spot") == i) & (F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto"))
+        return F.max(F.when(hit, F.col("value")))
 
     picks = []
-    for i, p in enumerate(probabilities):
-        picks.append(value_at(F.floor(position(p))).alias(f"lo{i}"))
-        picks.append(value_at(F.ceil(position(p))).alias(f"hi{i}"))
-    found = ranked.groupBy("column").agg(F.max("total").alias("total"), *picks)
+    for i in range(len(probabilities)):
+        picks += [value_at(i, math.floor).alias(f"lo{i}"), value_at(i, math.ceil).alias(f"hi{i}")]
+    found = ranked.groupBy("column").agg(*picks)
     out = [F.col("column")]
     for i, p in enumerate(probabilities):
-        part = position(p) - F.floor(position(p))
+        part = F.lit(0.0)
+        for c in cols:
+            if (c, i) in position:
+                part = F.when(F.col("column") == c, F.lit(position[c, i] % 1)).otherwise(part)
         out.append((F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * part).alias(name_of(p)))
-    return found.select(out)
+    return names.join(F.broadcast(found.select(out)), "column", "left")
 
 
 def name_of(p: float) -> str:

@@ -35,12 +35,15 @@ def dedup_keep_first(df: DataFrame, key: str, order_by: Sequence[str]) -> DataFr
     """One row per key: the first by ``order_by``. Nulls in the key count as equal.
 
     A minimum per key combines on the map side, so a key with very many copies costs one row per
-    task in the shuffle. Ties in ``order_by`` are settled by the other columns.
+    task in the shuffle. Two hashes stand for the key, so sorting compares short values. Ties in
+    ``order_by`` are settled by the other columns.
     """
     rest = [c for c in df.columns if c != key and c not in order_by]
     ordered = [c for c in order_by if c != key]
-    first = F.min(F.struct(*ordered, *rest)).alias("__first")
-    return df.groupBy(key).agg(first).select(key, "__first.*").select(df.columns)
+    digest = [F.xxhash64(key), F.xxhash64(F.lit(1), key), F.col(key).isNull()]
+    first = F.min(F.struct(*ordered, *rest, key)).alias("__first")
+    grouped = df.groupBy(*[d.alias(f"__d{i}") for i, d in enumerate(digest)]).agg(first)
+    return grouped.select("__first.*").select(df.columns)
 
 
 def drop_retweets(df: DataFrame, col: str = "retweeted") -> DataFrame:

@@ -61,6 +61,15 @@ def stage_counts(df: DataFrame, stages: Mapping[str, Column]) -> DataFrame:
     return one_row.unpivot([], list(stages), "stage", "n")
 
 
+def counts_of(stages: Mapping[str, DataFrame]) -> DataFrame:
+    """Rows of each stage's own table, for stages that are more than a condition on a row."""
+    parts = [df.agg(F.lit(name).alias("stage"), F.count("*").alias("n")) for name, df in stages.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def value_counts(df: DataFrame, col: str, k: int | None = None) -> DataFrame:
     """Frequency of each non-null value, most frequent first, ties by value."""
     counts = (
@@ -84,17 +93,21 @@ def mean_length(df: DataFrame, text: str = "full_text") -> DataFrame:
 def equal_width_histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
     """Counts in equal bins over [min, max], the last one closed, empty bins included."""
     span = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi"))
-    lo = span.select(F.col("lo").cast("double")).scalar()
-    hi = span.select(F.col("hi").cast("double")).scalar()
+    lo, hi = F.col("lo").cast("double"), F.col("hi").cast("double")
     # With a single value the span is taken as one, half on each side.
-    start = F.when(lo == hi, lo - 0.5).otherwise(lo)
-    width = F.when(lo == hi, F.lit(1.0)).otherwise(hi - lo) / bins
-    place = F.least(F.floor((F.col(col) - start) / width), F.lit(bins - 1)).cast("int")
-    counts = df.filter(F.col(col).isNotNull()).groupBy(place.alias("bin")).agg(
-        F.count("*").alias("n")
+    one_row = F.broadcast(
+        span.select(
+            F.lit(0).alias("__at"),
+            F.when(lo == hi, lo - 0.5).otherwise(lo).alias("__start"),
+            (F.when(lo == hi, F.lit(1.0)).otherwise(hi - lo) / bins).alias("__width"),
+        )
     )
-    grid = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-    return grid.join(counts, "bin", "left").select(
+    start, width = F.col("__start"), F.col("__width")
+    values = df.filter(F.col(col).isNotNull()).select(F.lit(0).alias("__at"), F.col(col).alias("__x"))
+    place = F.least(F.floor((F.col("__x") - start) / width), F.lit(bins - 1)).cast("int")
+    counts = values.join(one_row, "__at").groupBy(place.alias("bin")).agg(F.count("*").alias("n"))
+    grid = df.sparkSession.range(bins).select(F.lit(0).alias("__at"), F.col("id").cast("int").alias("bin"))
+    return grid.join(one_row, "__at").join(counts, "bin", "left").select(
         "bin",
         (start + F.col("bin") * width).alias("left_edge"),
         (start + (F.col("bin") + 1) * width).alias("right_edge"),
@@ -148,10 +161,12 @@ def _describe_numbers(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def _describe_categories(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     strings = df.select([F.col(c).cast("string").alias(c) for c in cols])
+    # Two hashes stand for the value, so that long texts are neither sorted nor compared.
+    digest = [F.xxhash64("value"), F.xxhash64(F.lit(1), "value"), F.col("value").isNull()]
     counts = (
         strings.unpivot([], cols, "column", "value")
-        .groupBy("column", "value")
-        .agg(F.count("*").alias("n"))
+        .groupBy("column", *[d.alias(f"__d{i}") for i, d in enumerate(digest)])
+        .agg(F.count("*").alias("n"), F.min("value").alias("value"))
     )
     # Nulls stay as rows up to here, so that an all-null column still yields its row.
     seen = F.when(F.col("value").isNotNull(), F.col("n"))

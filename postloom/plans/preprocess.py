@@ -6,10 +6,12 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..config import PreprocessConfig
 from ..operators import agreement, label, sample
 from ..operators import text as TX
+from ..session import shared_dir
 from ..sources import corpus, delimited, runlog
 
 
@@ -21,6 +23,19 @@ class Outputs:
     sample: str
     validation: str
     log: str
+    kappa: str | None = None
+
+
+def human_agreement(
+    posts: DataFrame, sheet: DataFrame, key: str = "tweet_id_hashed", label: str = "label_sentiment", seed: int = 42
+) -> DataFrame:
+    """Kappa of the automatic labels against a sheet that came back with ``label_manual`` filled in.
+
+    Rows left empty do not count. Only the sheet's rows of the corpus are read.
+    """
+    filled = sheet.select(key, F.trim("label_manual").alias("label_manual")).filter("label_manual <> ''")
+    both = posts.select(key, label).join(filled, key)
+    return agreement.kappa_report(both, label, "label_manual", seed)
 
 
 def preprocess(
@@ -47,11 +62,14 @@ def run(
     key: str = "tweet_id_hashed",
     annotators: Mapping[str, label.Annotator] | None = None,
 ) -> DataFrame:
-    """Write the processed corpus once, then its log, samples and agreement from the stored rows."""
+    """Store the processed corpus once as Parquet; the JSON Lines corpus, the log, the samples and the
+    agreement come from the stored rows. Returns those."""
     spark = df.sparkSession
+    path = shared_dir(spark, "processed")
     planned = preprocess(df, config, lemmas, key, annotators)
-    corpus.write_corpus(planned, outputs.corpus)
-    stored = corpus.read_corpus(spark, outputs.corpus, planned.schema)
+    planned.write.parquet(path)
+    stored = spark.read.schema(planned.schema).parquet(path)
+    corpus.write_corpus(stored, outputs.corpus)
     runlog.append_log(runlog.run_log(stored, config), outputs.log)
     drawn = sample.sample_n(stored, config.sample_size, config.seed, key)
     delimited.write_table_csv(drawn, outputs.sample)
@@ -63,4 +81,6 @@ def run(
             stored, "label_sentiment", "label_secondary", config.seed, note=True
         )
         runlog.append_log(runlog.kappa_log(report), outputs.log)
+        if outputs.kappa is not None:
+            delimited.write_table_csv(report, outputs.kappa)
     return stored

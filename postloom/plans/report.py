@@ -26,12 +26,12 @@ def load_report_inputs(
     embedding_path: str,
     schema: T.StructType | str | None = None,
 ) -> ReportInputs:
-    """Labelled corpus with parsed dates, kept for the many aggregates of a report, and metrics.
+    """Labelled corpus with parsed dates, and metrics.
 
-    Only the columns that a report reads are kept.
+    Only the columns that a report reads are kept. Store the corpus as Parquet for many aggregates.
     """
     read = select_existing(read_corpus(spark, corpus_path, schema), EXPLORER_COLUMNS)
-    posts = with_timestamp(read).cache()
+    posts = with_timestamp(read)
     return ReportInputs(
         posts, read_metrics(spark, base_path), read_metrics(spark, embedding_path)
     )

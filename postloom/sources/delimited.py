@@ -31,15 +31,16 @@ def read_raw_csv(
     path: str,
     schema: T.StructType | str,
     sep: str = ",",
-    multi_line: bool = True,
+    multi_line: bool = False,
     header: bool = True,
 ) -> DataFrame:
     """Read a UTF-8 export with a header: short rows are padded, rows with too many fields dropped.
 
     Fields are read as text, missing-value spellings become nulls, and each column is then cast to
     its declared type (a value that does not fit becomes null). A quoted field may hold line
-    breaks only with ``multi_line``, which keeps Spark from splitting a file; turn it off for
-    large files without such fields, or store the result as Parquet once.
+    breaks only with ``multi_line``, which makes each file one task: turn it on for files with such
+    fields, and store the result as Parquet once. Without it, a quote that is open at the end of
+    a line shows up as rows cut short.
     """
     declared = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     bad = "__malformed"

@@ -107,7 +107,7 @@ def test_validation_sample(spark):
         F.lit(0.5).alias("label_confidence"),
     )
     sheet = LB.validation_sample(df, 60)
-    assert sheet.columns == ["clean_text", "label_sentiment", "label_confidence", "label_manual"]
+    assert sheet.columns == ["tweet_id_hashed", "clean_text", "label_sentiment", "label_confidence", "label_manual"]
     counts = {r["label_sentiment"]: r["count"] for r in sheet.groupBy("label_sentiment").count().collect()}
     assert counts == {"positivo": 20, "neutro": 10}
     assert {r["label_manual"] for r in sheet.collect()} == {""}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from postloom.operators import features as FE
 from postloom.operators import models as ML
 from postloom.plans import train as TR
+from postloom.sources.delimited import read_metrics
 
 WORDS = {"positivo": ["gol", "feliz", "gana"], "negativo": ["robo", "mal", "asco"], "neutro": ["hoy", "partido", "sede"]}
 
@@ -57,9 +58,41 @@ def test_fit_on_train_leaves_test_words_out(spark):
     assert {r["term"] for r in FE.tfidf(test, "id", fit_on=train).collect()} == {"aa"}
 
 
-def test_vocabulary_limit(spark, posts):
+def test_vocabulary_limit(spark, posts, monkeypatch):
+    monkeypatch.setattr(FE, "FEW_FEATURES", 0)
+    assert FE.fit_tfidf(posts).stages
+    monkeypatch.setattr(FE, "MAX_VOCABULARY_BYTES", 1)
     with pytest.raises(ValueError):
-        FE.fit_tfidf(posts, max_features=FE.MAX_VOCABULARY + 1)
+        FE.fit_tfidf(posts)
+
+
+def test_documents_that_share_a_key_stay_apart(spark):
+    rows = [("h", "uno dos dos"), ("h", "dos tres"), (None, "tres"), (None, "")]
+    df = spark.createDataFrame(rows, "k string, clean_text string")
+    counts = sorted(tuple(r)[1:] for r in FE.term_counts(df, "k").collect())
+    assert counts == [("dos", 1), ("dos", 2), ("tres", 1), ("tres", 1), ("uno", 1)]
+    assert FE.tfidf(df, "k").count() == 5
+    plan = FE.term_counts(df, "k")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_unknown_labels_teach_nothing(spark, posts):
+    rows = FE.with_tfidf(posts, FE.fit_tfidf(posts)).select("label_sentiment", "features")
+    odd = rows.limit(9).withColumn("label_sentiment", F.lit("other"))
+    nulls = rows.limit(9).withColumn("label_sentiment", F.lit(None).cast("string"))
+    more = ML.train(rows.unionByName(odd).unionByName(nulls), "lr").stages[0].coefficientMatrix
+    assert abs(more.toArray() - ML.train(rows, "lr").stages[0].coefficientMatrix.toArray()).max() < 1e-3
+
+
+def test_saved_models_score_raw_texts(spark, posts, tmp_path):
+    metrics = TR.compare_tfidf(posts, "id", folder=str(tmp_path))
+    found = ML.predict(ML.load_model(str(tmp_path / "NaiveBayes")), posts)
+    right = found.filter("predicted = label_sentiment").count()
+    assert right > 0.9 * posts.count()
+    stored = read_metrics(spark, str(tmp_path / "metrics"))
+    assert sorted(r["model"] for r in stored.collect()) == sorted(r["model"] for r in metrics.collect())
+    lines = {r[0] for r in spark.read.text(str(tmp_path / "experiment_log")).collect()}
+    assert "Features: 5000" in lines
 
 
 @pytest.mark.parametrize("kind", ML.KINDS)

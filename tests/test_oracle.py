@@ -5,10 +5,8 @@ import pytest
 import __spark_entry__ as entry_points
 from tests.oracle import ROOT, connect, difference
 
-FOLDER = f"{ROOT}/sf0.001"
+FOLDER = f"{ROOT}/sf0.01"
 QUERIES, SQL = entry_points.queries(), entry_points.oracle_sql()
-# Model fits take many passes; the fits are tested on small vectors in test_models.
-SLOW = ("ml3", "ml4", "ml6")
 
 
 @pytest.fixture(scope="module")
@@ -26,9 +24,12 @@ def test_matches_sql(spark, con, name):
     spark.catalog.clearCache()
 
 
-@pytest.mark.parametrize("name", sorted(q for q in set(QUERIES) - set(SQL) if q[:3] not in SLOW))
-def test_gives_rows(spark, name):
-    assert QUERIES[name](spark, FOLDER).limit(1).count() == 1
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
+def test_reads_the_whole_table(spark, name):
+    """Queries beyond SQL have tests of their own; here each gives at least a row per document."""
+    rows = QUERIES[name](spark, FOLDER)
+    documents = spark.read.parquet(f"{FOLDER}/documents.parquet").count()
+    assert rows.select(rows.columns[0]).count() >= (1 if name == "pipeline" else documents)
     spark.catalog.clearCache()
 
 

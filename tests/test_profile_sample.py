@@ -8,14 +8,17 @@ from postloom.operators import profile as PR
 from postloom.operators import sample as SA
 
 
-def test_quantiles_equal_numpy(spark):
+@pytest.mark.parametrize("rows_held", [3, 100_000])
+def test_quantiles_equal_numpy(spark, monkeypatch, rows_held):
+    monkeypatch.setattr(B, "BRACKET_ROWS", rows_held)
+    monkeypatch.setattr(B, "SKETCH", 40)
     rng = np.random.default_rng(1)
     # A third of all rows share one value.
     values = np.where(rng.random(5000) < 0.33, 7.0, rng.normal(size=5000))
     frame = pd.DataFrame({"x": values, "one": 3, "few": rng.integers(0, 3, 5000)})
     df = spark.createDataFrame(frame)
     probabilities = (0.0, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0)
-    rows = B.exact_quantiles(df, ["x", "one", "few"], probabilities, side=6).collect()
+    rows = B.exact_quantiles(df, ["x", "one", "few"], probabilities).collect()
     got = {r["column"]: r for r in rows}
     for name in frame:
         want = np.quantile(frame[name], probabilities)

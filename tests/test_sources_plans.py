@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from postloom.config import PreprocessConfig
 from postloom.operators.report import activity
-from postloom.plans.preprocess import Outputs, run
+from postloom.plans.preprocess import Outputs, human_agreement, run
 from postloom.plans.report import load_report_inputs
 from postloom.session import shared_dir
 from postloom.sources import corpus, delimited
@@ -28,7 +28,7 @@ def test_raw_csv(spark, tmp_path):
         "8,ñ,maybe\n"
     )
     (tmp_path / "raw.csv").write_text(text, encoding="utf-8")
-    df = delimited.read_raw_csv(spark, str(tmp_path / "raw.csv"), "a int, b string, c boolean")
+    df = delimited.read_raw_csv(spark, str(tmp_path / "raw.csv"), "a int, b string, c boolean", multi_line=True)
     assert [tuple(r) for r in df.orderBy("a").collect()] == [
         (1, "x", None), (2, "x", True), (5, 'p, "q"\nr', False), (6, "a,b,c,d", None), (8, "ñ", None),
     ]
@@ -131,3 +131,16 @@ def test_shared_dir_follows_the_session(tmp_path):
     assert shared_dir(fake_session("local[2]"), "x").startswith("/warehouse/")
     with pytest.raises(ValueError):
         shared_dir(fake_session("yarn"), "x")
+
+
+def test_agreement_with_people(spark):
+    posts = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(40)], "id int, label_sentiment string")
+    sheet = posts.withColumn("label_manual", F.when(F.col("id") < 30, F.col("label_sentiment")).otherwise(" "))
+    row = human_agreement(posts, sheet.drop("label_sentiment"), "id").first()
+    assert row["kappa"] == 1.0 and row["n"] == 30
+
+
+def test_fingerprint_tells_cells_apart(spark):
+    a = spark.createDataFrame([("x", "yz")], "a string, b string")
+    b = spark.createDataFrame([("xy", "z")], "a string, b string")
+    assert dataset_fingerprint(a).first() != dataset_fingerprint(b).first()
