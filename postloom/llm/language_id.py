@@ -84,7 +84,7 @@ def slot_counts(rows: DataFrame, lang_col: str, text_col: str, slots: int) -> Da
 
         for batch in batches:
             langs = np.array(batch.column(0).to_pylist(), object)
-            for first, data, offsets in slices(batch.column(1), 4 << 20):
+            for first, data, offsets in slices(batch.column(1)):
                 a, b, bounds = grams(data, offsets, slots)
                 own = langs[first : first + len(offsets) - 1]
                 each = np.repeat(np.unique(own, return_inverse=True)[1], np.diff(bounds))

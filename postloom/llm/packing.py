@@ -32,7 +32,7 @@ from .flat import expand, process_pool
 CAPACITY = 4096
 END_TOKEN = 2
 BLOCK_TOKENS = 1_000_000
-KEPT_PIECES = 800_000
+KEPT_PIECES = 500_000
 _SEQUENCES_PER_TASK = 1 << 32
 _ENCODED_AT_ONCE = 4096
 #: Letters, digits and blanks among the first 256 characters, after lower-casing.
@@ -100,10 +100,10 @@ class WordTokenizer:
                 # Lower-casing and composing cannot interact in this range of characters.
                 text.encode("latin-1")
                 cut.append(_PIECES.findall(text.lower()))
-                plain.update(p for p in cut[-1] if p not in place)
+                plain |= set(cut[-1]).difference(place)
             except UnicodeEncodeError:
                 cut.append(text.replace("\n", " ").split(" "))
-                other.update(p for p in cut[-1] if p not in place)
+                other |= set(cut[-1]).difference(place)
         if plain or other:
             self._learn(sorted(plain), sorted(other - plain))
         for pieces in cut:

@@ -42,9 +42,9 @@ _DIGIT = byte_class((0x30, 0x39))
 _PUNCTUATION = ~(PLAIN_WORD | _UPPER)
 
 
-def _tokens(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _tokens(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Word tokens and shape tokens (numbered after the words) of rows, and where rows begin."""
-    for _, data, offsets in slices(texts, limit):
+    for _, data, offsets in slices(texts):
         words = Words(data, offsets, NOT_SPACE)
         start, end = words.start, words.end
         low = LOWER[data]
@@ -88,7 +88,7 @@ def context_table(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarra
         places, signs = index_vectors()
         out, seen = np.zeros(length), np.zeros(2 * TOKENS)
         for batch in batches:
-            for words, shapes, rows in _tokens(batch.column(0), 4 << 20):
+            for words, shapes, rows in _tokens(batch.column(0)):
                 begins = np.zeros(len(words) + 1, bool)
                 begins[rows] = True
                 near = ~begins[1 : len(words)]  # a token and the next one are of one row
