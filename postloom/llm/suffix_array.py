@@ -17,13 +17,12 @@ def _types(text: np.ndarray) -> np.ndarray:
     n = len(text)
     smaller = np.zeros(n, bool)
     if n > 1:
-        step = np.sign(text[1:].astype(np.int64) - text[:-1].astype(np.int64))
+        up = text[1:] > text[:-1]
         # Equal neighbours take the type of the next unequal pair to their right.
-        unequal = np.flatnonzero(step)
+        unequal = np.flatnonzero(text[1:] != text[:-1])
         if len(unequal):
-            nxt = np.searchsorted(unequal, np.arange(n - 1))
-            some = nxt < len(unequal)
-            smaller[:-1][some] = step[unequal[nxt[some]]] > 0
+            runs = np.diff(unequal, prepend=-1)
+            smaller[: unequal[-1] + 1] = np.repeat(up[unequal], runs)
     return smaller
 
 
@@ -109,7 +108,6 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     n = len(text)
     if n < 2:
         return np.arange(n)
-    text = text.astype(np.int64)
     smaller = _types(text)
     seeds = _leftmost(smaller)
     if len(seeds) > 1:
@@ -121,7 +119,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         number[seeds] = np.arange(len(seeds))
         # Substrings run from one leftmost smaller suffix to the next, both ends included.
         last = np.append(seeds[1:] + 1, n)
-        key = byte_sums(text.astype(np.uint8)).spans(seeds, last)
+        key = byte_sums(text).spans(seeds, last)
         by_rank = number[order]
         length = last - seeds
         length[-1] += n  # the last one reaches the end and equals no other
@@ -129,28 +127,22 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         name[by_rank] = _names(by_rank, length, key)
         top = int(name.max()) + 1
         if top < len(seeds):
-            seeds = seeds[np.array(_sorted_items(name.tolist(), top), np.int64)]
+            seeds = seeds[np.array(_sorted_items(name, top), np.int64)]
         else:
             seeds = order
     return _induce(text, smaller, seeds, 256)
 
 
-def _sorted_items(text: list[int], alphabet: int) -> list[int]:
-    """Suffix array of a list of numbers below ``alphabet``, by the same method item by item."""
-    n = len(text)
+def _sorted_items(numbers: np.ndarray, alphabet: int) -> list[int]:
+    """Suffix array of an array of numbers below ``alphabet``, by the same method item by item."""
+    n = len(numbers)
     if n < 2:
         return list(range(n))
-    smaller = [False] * n
-    for i in range(n - 2, -1, -1):
-        a, b = text[i], text[i + 1]
-        smaller[i] = a < b or (a == b and smaller[i + 1])
-    seeds = [i for i in range(1, n) if smaller[i] and not smaller[i - 1]]
-    sizes = [0] * (alphabet + 1)
-    for c in text:
-        sizes[c + 1] += 1
-    for c in range(alphabet):
-        sizes[c + 1] += sizes[c]
-    begin, end = sizes[:-1], sizes[1:]
+    flags = _types(numbers)
+    seeds = _leftmost(flags).tolist()
+    ends = np.bincount(numbers, minlength=alphabet).cumsum()
+    text, smaller, end = numbers.tolist(), flags.tolist(), ends.tolist()
+    begin = [0, *end[:-1]]
 
     def induce(ordered: list[int]) -> list[int]:
         out, tail = [-1] * n, end.copy()
@@ -188,7 +180,7 @@ def _sorted_items(text: list[int], alphabet: int) -> list[int]:
                     top += 1
                 name[i], before = top, None if i == seeds[-1] else own
         if top + 1 < len(seeds):
-            seeds = [seeds[k] for k in _sorted_items([name[i] for i in seeds], top + 1)]
+            seeds = [seeds[k] for k in _sorted_items(np.array([name[i] for i in seeds]), top + 1)]
         else:
             seeds = sorted(seeds, key=name.__getitem__)
     return induce(seeds)

@@ -1,6 +1,6 @@
 """Byte strings that occur more than once, by suffix arrays over shards.
 
-1. Every 400-byte window has an anchor, the 64-byte run in it that comes first by rarity and hash.
+1. Every 400-byte window has an anchor, the 160-byte run in it that comes first by rarity and hash.
    Runs of windows with the same anchor give one small row: anchor hash, document, place. Equal
    windows have equal anchors, so only anchors that occur twice can hold repeats.
 2. The segments around those anchors go to the shard of the anchor's hash. A shard sorts the suffixes
@@ -33,7 +33,7 @@ from .substring_dedup import NO_ID, keyed
 from .suffix_array import permuted_prefixes, suffix_array
 
 LENGTH = 400
-ANCHOR = 64
+ANCHOR = 160
 SHARD_BYTES = 1 << 20
 BLOCK_BYTES = 8 << 20
 _SEPARATOR = b"\xff"  # in no UTF-8 text
