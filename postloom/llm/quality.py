@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .flat import LOWER, NOT_SPACE, PLAIN_WORD, Sums, Words, add_columns, byte_class, byte_values, mixed, slices
+from .flat import LOWER, NOT_SPACE, PLAIN_WORD, Sums, Words, add_columns, byte_class, byte_values, fresh_name, mixed, slices
 
 from .tables import summed
 
@@ -221,14 +221,17 @@ def fit(
 
 
 def score(docs: DataFrame, model: tuple[Vectors, Classifier], text_col: str = "text") -> DataFrame:
-    """The documents with ``score``, the probability of label 1."""
+    """The documents with ``score``, the probability of label 1, as the last column.
+
+    The name gets underscores in front if the documents have a column of that name.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
         vectors, classifier = shared.value
         return lambda texts: [classifier.probability(vectors.pooled(texts))]
 
-    return add_columns(docs, text_col, "score double", make)
+    return add_columns(docs, text_col, f"`{fresh_name('score', docs.columns)}` double", make)
 
 
 def report(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
