@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+# The labels of the corpus.
 CLASSES = ("positivo", "negativo", "neutro")
 
+# Columns that identify a person.
 SENSITIVE = ("id", "name", "screen_name", "location")
 # Reply columns also identify a person; pass SENSITIVE + REPLY_COLUMNS to drop them too.
 REPLY_COLUMNS = ("in_reply_to_user_id", "in_reply_to_screen_name")

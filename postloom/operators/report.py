@@ -14,6 +14,7 @@ from ..functions.text import truncate_text
 from .curate import select_existing
 from .profile import value_counts
 
+# The columns that the report's explorer shows.
 EXPLORER_COLUMNS = (
     "created_at", "full_text", "clean_text", "label_sentiment", "label_confidence",
     "label_secondary", "label_conf_secondary", "retweet_count", "favorite_count",

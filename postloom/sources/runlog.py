@@ -12,6 +12,7 @@ from ..config import PreprocessConfig
 
 def run_log(df: DataFrame, config: PreprocessConfig) -> DataFrame:
     """Rows ``(key, value)``: the row count and the settings of a run."""
+    # The keys of a run log, here and in kappa_log.
     settings = {
         "Sample size": config.sample_size,
         "Random seed": config.seed,
