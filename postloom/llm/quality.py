@@ -1,7 +1,7 @@
 """Quality scores: random-indexing word vectors pooled per document, and a small calibrated network.
 
 Every word gives two tokens: its letters and digits in lower case, and its shape (capitals, digits,
-punctuation, length). A token's index vector is random, sparse and fixed; its context vector is the
+punctuation, length, whether it repeats one of the last four words). A token's index vector is random, sparse and fixed; its context vector is the
 sum of the index vectors of its neighbours over the whole corpus. A document is the weighted mean
 of its tokens' vectors, words and shapes apart. A network of two layers learns the label from the
 pooled vectors of a bounded sample of labelled rows; a temperature, fitted on rows it did not
@@ -37,6 +37,7 @@ HIDDEN = 32
 EPOCHS = 40
 LEAST_STEPS = 2000
 THRESHOLD = 0.3
+NEAR = 4
 _UPPER = byte_class((0x41, 0x5A))
 _DIGIT = byte_class((0x30, 0x39))
 _PUNCTUATION = ~(PLAIN_WORD | _UPPER)
@@ -57,6 +58,10 @@ def _tokens(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
         mark = _PUNCTUATION[data]
         first = np.where(mark[start], data[start], 0) if len(start) else np.zeros(0, np.int64)
         last = np.where(mark[end - 1], data[end - 1], 0) if len(start) else np.zeros(0, np.int64)
+        again = np.zeros(len(start), np.int64)
+        row = words.row_of()
+        for back in range(1, NEAR + 1):
+            again[back:] += (core[back:] == core[:-back]) & (row[back:] == row[:-back])
         shape = np.zeros(len(start), np.uint64)
         for part, most in (
             (count(_UPPER[data]), 3),
@@ -65,6 +70,7 @@ def _tokens(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
             ((end - start) // 4, 6),
             (first, 255),
             (last, 255),
+            (again, 2),
         ):
             shape = shape * np.uint64(257) + np.minimum(part, most).astype(np.uint64)
         yield (
