@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable, Iterator, Sequence
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +35,12 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 PLAIN_WORD = byte_class((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
 
 
-@lru_cache(maxsize=4)
 def byte_values(which: int) -> np.ndarray:
-    return np.random.default_rng(7 + which).integers(1, 2**64, 256, np.uint64)
+    """A random value for each byte."""
+    pool = process_pool()
+    if ("bytes", which) not in pool:
+        pool["bytes", which] = np.random.default_rng(7 + which).integers(1, 2**64, 256, np.uint64)
+    return pool["bytes", which]
 
 
 def process_pool() -> dict:

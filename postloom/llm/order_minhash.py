@@ -142,7 +142,7 @@ def by_range(docs: DataFrame, id_col: str, text_col: str, range_bytes: int = RAN
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = np.searchsorted(edges.value, batch.column(0).to_numpy(), "left")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int32())], names=["id", "text", "range"][: batch.num_columns] + ["range"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int32())], names=["id", "range"])
 
     ids = rows.select("id").mapInArrow(number, "id bigint, range int")
     heads = ids.groupBy("range").agg(F.min("id").alias("id")).orderBy("range").collect()  # one row per range
