@@ -174,10 +174,11 @@ def fit(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", slots:
 
 def predict(docs: DataFrame, model: LanguageFilter, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """The documents with the predicted language and its share among all languages' counts."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # Broadcasts hold plain values, as they are read where the package need not be installed.
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.masks, model.slots))
 
     def make():
-        held = shared.value
+        held = LanguageFilter(*shared.value)
 
         def compute(texts: pa.Array) -> list:
             langs, scores = [], []

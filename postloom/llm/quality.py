@@ -208,10 +208,11 @@ def fit(
     chosen = known.filter(order < int(share * (1 << 30)) + 1)
     # About ``sample`` rows, whatever the number of labels.
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), "__id")
-    shared = docs.sparkSession.sparkContext.broadcast(vectors)
+    # Broadcasts hold plain values, as they are read where the package need not be installed.
+    shared = docs.sparkSession.sparkContext.broadcast((vectors.table, vectors.weight))
 
     def make():
-        held = shared.value
+        held = Vectors(*shared.value)
 
         def compute(texts: pa.Array) -> list:
             pooled = held.pooled(texts)
@@ -231,10 +232,13 @@ def score(docs: DataFrame, model: tuple[Vectors, Classifier], text_col: str = "t
 
     The name gets underscores in front if the documents have a column of that name.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    vectors, classifier = model
+    shared = docs.sparkSession.sparkContext.broadcast((vectors.table, vectors.weight, vars(classifier)))
 
     def make():
-        vectors, classifier = shared.value
+        table, weight, state = shared.value
+        vectors, classifier = Vectors(table, weight), Classifier.__new__(Classifier)
+        vars(classifier).update(state)
         return lambda texts: [classifier.probability(vectors.pooled(texts))]
 
     return add_columns(docs, text_col, f"`{fresh_name('score', docs.columns)}` double", make)
