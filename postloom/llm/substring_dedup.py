@@ -32,6 +32,7 @@ WINDOW = 13
 ITEM = 2
 BLOCK_BYTES = 8 << 20
 BUCKET_WORDS = 500_000
+LEVEL = 3  # of compression
 NO_ID = 2**63 - 1
 MARK = "id bigint, part bigint, start int, windows int"
 
@@ -138,7 +139,7 @@ def _super_kmers(docs: DataFrame, levels: np.ndarray, buckets: int, window: int,
                         _squeezed(count[own].astype(np.uint8)),
                         _squeezed(done[own]),
                         len(text),
-                        pa.compress(text, "zstd", asbytes=True),
+                        pa.Codec("zstd", compression_level=LEVEL).compress(text, asbytes=True),
                     )
                 )
             kinds = [pa.int32()] * 3 + [pa.binary()] * 6 + [pa.int64(), pa.binary()]
