@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..config import CLASSES, REPORT_STOPWORDS
 from ..functions import patterns as P
 from ..operators import agreement as A
+from ..operators import models as ML
 from ..operators import report as RP
 from ..operators import text as TX
 from ..operators.curate import filter_posts
@@ -144,25 +145,36 @@ def top_posts(t):
     return RP.top_posts(t.labelled, "negativo")
 
 
-# Metrics of two "models" per language: the share of long, and of short, documents.
-METRICS = """metrics AS (
-  SELECT lang || '_' || k AS model, round(avg((n_chars > 800)::INT), 6) AS precision,
-         round(avg((n_chars > 400)::INT), 6) AS recall, round(avg((n_chars > 600)::INT), 6) AS f1, k
-  FROM documents, (SELECT unnest(['x', 'y']) AS k) GROUP BY lang, k)"""
+# Metrics of two predictions per language: either annotator judged by the other one.
+LANGUAGES = ("de", "en", "es", "fr")
+METRICS = """pairs AS (SELECT lang, k, y, p, count(*) AS n FROM (
+  SELECT lang, 'x' AS k, label_sentiment AS y, label_secondary AS p FROM labelled UNION ALL
+  SELECT lang, 'y', label_secondary, label_sentiment FROM labelled) GROUP BY ALL),
+kinds AS (SELECT lang, k, y AS c FROM pairs UNION SELECT lang, k, p FROM pairs),
+scores AS (SELECT lang, k, c, coalesce(sum(n) FILTER (y = c), 0) AS support,
+  coalesce(sum(n) FILTER (p = c), 0) AS given, coalesce(sum(n) FILTER (y = c AND p = c), 0) AS hits
+  FROM kinds JOIN pairs USING (lang, k) GROUP BY ALL),
+metrics AS (SELECT lang || '_' || k AS model, k,
+  round(sum(CASE WHEN given = 0 THEN 0 ELSE support * hits / given END) / sum(support), 6) AS precision,
+  round(sum(hits) / sum(support), 6) AS recall,
+  round(sum(CASE WHEN given + support = 0 THEN 0 ELSE 2 * support * hits / (given + support) END)
+    / sum(support), 6) AS f1 FROM scores GROUP BY lang, k)"""
 
 
 def language_metrics(t, tag: str):
-    def share(limit: int, name: str):
-        return F.round(F.avg((F.col("n_chars") > limit).cast("int")), 6).alias(name)
-
-    return t.documents.groupBy(F.concat("lang", F.lit(f"_{tag}")).alias("model")).agg(
-        share(800, "precision"), share(400, "recall"), share(600, "f1")
-    )
+    y, p = ("label_sentiment", "label_secondary") if tag == "x" else ("label_secondary", "label_sentiment")
+    out = None
+    for lang in LANGUAGES:
+        row = ML.weighted_prf(t.labelled.filter(F.col("lang") == lang), y, p)
+        scores = [F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")]
+        row = row.filter("f1 IS NOT NULL").select(F.lit(f"{lang}_{tag}").alias("model"), *scores)
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query(
     "rp9_compare_metrics",
-    f"""WITH {METRICS} SELECT model, precision, recall, f1,
+    f"""WITH {LABELLED}, {METRICS} SELECT model, precision, recall, f1,
   CASE k WHEN 'x' THEN 'TF-IDF' ELSE 'Embeddings' END AS tipo FROM metrics""",
 )
 def compare_metrics(t):
@@ -171,7 +183,7 @@ def compare_metrics(t):
 
 @query(
     "rp10_format_metrics",
-    f"""WITH {METRICS} SELECT model, printf('%.3f', precision) AS precision,
+    f"""WITH {LABELLED}, {METRICS} SELECT model, printf('%.3f', precision) AS precision,
   printf('%.3f', recall) AS recall, printf('%.3f', f1) AS f1 FROM metrics WHERE k = 'x'""",
 )
 def format_metrics(t):

@@ -9,7 +9,7 @@ from ..session import shared_dir
 from ..sources import corpus, delimited, fingerprint, runlog
 from ..sources.delimited import NULL_WORDS
 from . import sqltext as S
-from .registry import POSTS, query
+from .registry import LABELLED, POSTS, query
 from .reports import METRICS, language_metrics
 
 NULL_LIST = ", ".join(S.quote(w) for w in NULL_WORDS)
@@ -67,7 +67,7 @@ def read_corpus(t):
     return corpus.read_corpus(t.spark, path, rows.schema)
 
 
-@query("io4_read_metrics", f"WITH {METRICS} SELECT model, precision, recall, f1 FROM metrics"
+@query("io4_read_metrics", f"WITH {LABELLED}, {METRICS} SELECT model, precision, recall, f1 FROM metrics"
        " WHERE k = 'x'")
 def read_metrics(t):
     path = shared_dir(t.spark, "metrics")
