@@ -31,6 +31,8 @@ KEEP = 2
 BINS = 64
 PART_BYTES = 16
 RANGE_BYTES = 16 << 20
+#: Quantiles that one sketch gives well; with more bytes the ranges grow, and are sorted and streamed.
+MAX_RANGES = 20_000
 NO_ID = 2**63 - 1
 _EMPTY = 0
 
@@ -132,7 +134,7 @@ def by_range(docs: DataFrame, id_col: str, text_col: str, range_bytes: int = RAN
         F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(1, -(-total // range_bytes))
+    ranges = min(max(1, -(-total // range_bytes)), MAX_RANGES)
     cuts = []
     if ranges > 1:
         shares = [i / ranges for i in range(1, ranges)]
