@@ -6,12 +6,18 @@ import __spark_entry__ as entry_points
 from tests.oracle import ROOT, connect, difference
 
 FOLDER = f"{ROOT}/sf0.01"
+# Many passes, or tested on their own: these run at the smallest scale here.
+SLOW, SMALLEST = ("ml3", "ml6", "op", "pipeline"), f"{ROOT}/sf0.001"
 QUERIES, SQL = entry_points.queries(), entry_points.oracle_sql()
 
 
+def folder_of(name):
+    return SMALLEST if name.startswith(SLOW) else FOLDER
+
+
 @pytest.fixture(scope="module")
 def con():
-    return connect(FOLDER)
+    return {folder: connect(folder) for folder in (FOLDER, SMALLEST)}
 
 
 def test_sql_only_for_known_queries():
@@ -20,15 +26,16 @@ def test_sql_only_for_known_queries():
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_matches_sql(spark, con, name):
-    assert difference(QUERIES[name](spark, FOLDER), SQL[name], con) is None
+    folder = folder_of(name)
+    assert difference(QUERIES[name](spark, folder), SQL[name], con[folder]) is None
     spark.catalog.clearCache()
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_reads_the_whole_table(spark, name):
     """Queries beyond SQL have tests of their own; here each gives at least a row per document."""
-    rows = QUERIES[name](spark, FOLDER)
-    documents = spark.read.parquet(f"{FOLDER}/documents.parquet").count()
+    rows = QUERIES[name](spark, folder_of(name))
+    documents = spark.read.parquet(f"{folder_of(name)}/documents.parquet").count()
     assert rows.select(rows.columns[0]).count() >= (1 if name == "pipeline" else documents)
     spark.catalog.clearCache()
 
