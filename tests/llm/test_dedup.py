@@ -10,6 +10,8 @@ from postloom.llm import near_dedup, substring_dedup, suffix_dedup
 from postloom.llm.components import components
 from postloom.llm.suffix_array import permuted_prefixes, suffix_array
 
+from .conftest import prose
+
 LAST = 2**63
 
 
@@ -50,6 +52,21 @@ def test_one_of_each_group_stays(corpus):
     assert 0 in ids and 1 not in ids and 2 not in ids and 9 not in ids and ids[3] == 1
 
 
+def test_rows_without_an_id_of_their_own(spark):
+    texts = [prose(20 + k, 60) for k in range(6)]
+    near = lambda k: " ".join([*texts[k][:-1], "edited"])
+    whole = [" ".join(t) for t in texts]
+    rows = [(3, whole[0]), (7, whole[1]), (None, near(0)), (None, near(1)), (None, whole[2]), (None, whole[3]), (None, near(3))]
+    rows += [(9, whole[4]), (9, whole[5]), (8, near(5)), (None, None), (None, ""), (None, whole[2])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = Counter((r.doc_id, r.component_id) for r in near_dedup.link(docs, small=0).collect())
+    assert got == Counter([(3, 3), (7, 7), (None, 3), (None, 7), (9, 9), (9, 8), (8, 8)] + [(None, None)] * 6)
+    kept = Counter((r.doc_id, r.text) for r in near_dedup.keep_one(docs).collect())
+    either = [(None, t) for t in (whole[3], near(3)) if (None, t) in kept]
+    assert len(either) == 1
+    assert kept == Counter(either + [(3, whole[0]), (7, whole[1]), (None, whole[2]), (9, whole[4]), (8, near(5)), (None, None), (None, "")])
+
+
 def test_hot_group_of_near_copies(spark):
     base = [f"w{i}" for i in range(200)]
     rows = []
