@@ -3,14 +3,15 @@
 A scan of each text finds spans of three base kinds (assignments, access keys, long hex runs) and of
 one weaker kind, ``opaque``: mixed runs of letters and digits of high entropy. Every candidate's
 value is hashed, and the hashes are aggregated over the whole corpus by distinct repositories and
-owners. A value of ``example_owners`` or more owners is a widely copied example; one of fewer owners
-looks live. Base spans always stand; an opaque span is added only if its value looks live.
+owners. A value of ``example_owners`` or more owners, or in ``example_repos`` or more repositories of
+one owner, is a widely copied example; others look live. Base spans always stand; an opaque span is added only if its value looks live.
 
 Counting takes three aggregations that all combine before their shuffle, so a value that occurs in
 a third of all rows costs one row per task and owner. Values never leave the scan in clear.
 
-Defined cases: a null or empty text has no spans; null owners and repositories count as one owner
-and one repository each; repeated rows each get their row; an empty table gives no rows.
+Defined cases: a null or empty text has no spans; null owners count as one owner; a row without a
+repository counts as a repository of its own, its exact copies as the same one; repeated rows each
+get their row; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from .shared import stored
 KINDS = ("assign", "access", "hex")
 OPAQUE = "opaque"
 EXAMPLE_OWNERS = 3
+#: Repositories of one owner from which on a value is an example.
+EXAMPLE_REPOS = 10
 REDACTED = "[secret]"
 
 _ASSIGN = re.compile(
@@ -104,16 +107,17 @@ def _scan() -> callable:
     return compute
 
 
-def ownership(found: DataFrame, owner_col: str, repo_col: str, spans_col: str) -> DataFrame:
-    """``(hash, n_owners, n_repos)`` of every candidate value."""
+def ownership(found: DataFrame, owner_col: str, repo_col: str, spans_col: str, keys: list[str]) -> DataFrame:
+    """``(hash, n_owners, n_repos, most_repos)`` of every candidate value; the last is of one owner."""
     seen = found.select(
         F.explode(F.array_distinct(F.col(f"{spans_col}.hash"))).alias("hash"),
         F.col(owner_col).cast("string").alias("owner"),
         F.col(repo_col).cast("string").alias("repo"),
+        F.when(F.col(repo_col).isNull(), F.struct(*keys)).alias("row"),
     ).distinct()
     by_owner = seen.groupBy("hash", "owner").agg(F.count("*").alias("repos"))
     return by_owner.groupBy("hash").agg(
-        F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos")
+        F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"), F.max("repos").alias("most_repos")
     )
 
 
@@ -123,11 +127,13 @@ def find(
     owner_col: str = "source",
     repo_col: str = "doc_id",
     example_owners: int = EXAMPLE_OWNERS,
+    example_repos: int = EXAMPLE_REPOS,
 ) -> tuple[DataFrame, list[str]]:
     """Scanned rows and the names of their key columns.
 
     Rows hold two key columns (hashes of the whole row), owner and repository, ``base`` and
-    ``added`` (arrays of spans by start), ``n_live`` and ``n_examples``.
+    ``added`` (arrays of spans by start), ``counted`` (these spans with ``n_owners`` and ``n_repos``),
+    ``n_live`` and ``n_examples``.
     """
     keys = [fresh_name("row_key_a", docs.columns), fresh_name("row_key_b", docs.columns)]
     whole = [F.xxhash64(*docs.columns), F.xxhash64(F.lit(1), *docs.columns)]
@@ -138,14 +144,16 @@ def find(
         F.col(text_col).alias("scanned_text"),
     )
     scanned = stored(add_columns(inner, "scanned_text", f"found array<{SPAN}>", _scan).drop("scanned_text"), "secret-spans")
-    counts = ownership(scanned, "owner", "repo", "found")
+    counts = ownership(scanned, "owner", "repo", "found", keys)
     each = scanned.select(*keys, F.explode("found").alias("span")).withColumn("hash", F.col("span.hash"))
-    live = F.col("n_owners") < example_owners
+    live = (F.col("n_owners") < example_owners) & (F.col("most_repos") < example_repos)
+    shown = F.struct("span.*", "n_owners", "n_repos")
     judged = (
         each.join(counts, "hash")
         .groupBy(*keys)
         .agg(
             F.array_sort(F.collect_set(F.when(live & (F.col("span.kind") == OPAQUE), F.col("span")))).alias("added"),
+            F.array_sort(F.collect_set(F.when(live | (F.col("span.kind") != OPAQUE), shown))).alias("counted"),
             F.size(F.collect_set(F.when(live, F.col("span")))).cast("bigint").alias("n_live"),
             F.size(F.collect_set(F.when(~live, F.col("span")))).cast("bigint").alias("n_examples"),
         )
@@ -158,6 +166,7 @@ def find(
         "repo",
         base.alias("base"),
         F.coalesce("added", nothing).alias("added"),
+        "counted",
         F.coalesce("n_live", F.lit(0)).alias("n_live"),
         F.coalesce("n_examples", F.lit(0)).alias("n_examples"),
     )
@@ -169,7 +178,10 @@ def _joined(spans: Column) -> Column:
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", owner_col: str = "source") -> DataFrame:
-    """One row per document: base spans by kind, their digest, and all spans as text."""
+    """One row per document: base spans by kind, their digest, and all spans as text.
+
+    ``n_owners`` and ``n_repos`` have a figure for each of ``spans``, in the same order.
+    """
     rows, _ = find(docs.select(id_col, "text", owner_col), owner_col=owner_col, repo_col=id_col)
 
     def count(kind: str) -> Column:
@@ -182,6 +194,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", owner_col: str = "source") -
         _joined(F.array_sort(F.concat("base", "added"))).alias("spans"),
         "n_live",
         "n_examples",
+        *[F.coalesce(F.array_join(F.col(f"counted.{c}").cast("array<string>"), ","), F.lit("")).alias(c) for c in ("n_owners", "n_repos")],
     )
 
 

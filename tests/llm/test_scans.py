@@ -127,6 +127,22 @@ def test_secrets(spark, corpus):
     assert texts[0] == corpus.filter("doc_id = 0").first().text and texts[5] is None
 
 
+def test_widely_copied_values(spark):
+    live, many, bare, lost = "Zk3vQ9xLw0Tb7RnY2mHc", "Qw4rTy8uIo1pAs6dFg3h", "Nb5vCx7zLk2jHg9fDs1a", "Mp8oIu6yTr4eWq2zXc3v"
+    rows = [(1, f"x {live}", "s1"), (2, f"y {live}", "s1")]
+    rows += [(100 + i, f"n {i} {many}", "s1") for i in range(40)]
+    rows += [(200 + i, f"n {i} {bare}", None) for i in range(40)]
+    rows += [(None, f"n {i} {lost}", None) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    for r in secrets.report(docs).collect():
+        if r.doc_id in (1, 2):
+            assert (r.spans, r.n_owners, r.n_repos, r.n_live) == ("opaque:2:22", "1", "2", 1)
+        else:
+            assert (r.spans, r.n_live, r.n_examples) == ("", 0, 1)
+    texts = [r.text for r in secrets.redact(docs).collect()]
+    assert sum("[secret]" in t for t in texts) == 2 and not any(live in t for t in texts)
+
+
 def test_fingerprints(spark, corpus):
     rows = [r for r in corpus.collect() if r.doc_id is not None]
     docs = spark.createDataFrame([(r.doc_id, r.text) for r in rows], "doc_id bigint, text string").dropDuplicates(["doc_id"])
