@@ -43,10 +43,18 @@ _BLANKS = "\t\n\v\f\r \u0085\u00a0"
 _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_BLANKS}{_LETTERS}{_NUMBERS}]+")
 
 
+def _is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class WordTokenizer:
     """Ids of texts, equal to the tokenizer's own, with its work done once per distinct piece.
 
-    The vocabulary cuts a text into pieces before it merges, so the ids of a text are those of its
+    Texts are cut at the added tokens first, as the tokenizer does. The vocabulary cuts a text into pieces before it merges, so the ids of a text are those of its
     pieces, one after another. Texts of the first 256 characters are cut here; others between
     blanks, which is a coarser cut. Kept pieces are dropped when ``kept`` is reached.
     """
@@ -55,7 +63,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.added = {t.content for t in self.model.get_added_tokens_decoder().values()}
+        self.at_added = re.compile(f"({'|'.join(map(re.escape, sorted(self.added)))})")
         self.kept = kept
         vocabulary = self.model.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -96,14 +105,19 @@ class WordTokenizer:
         cut, place, plain, other = [], self.place, set(), set()
         for text in texts:
             text = text or ""
-            try:
-                # Lower-casing and composing cannot interact in this range of characters.
-                text.encode("latin-1")
-                cut.append(_PIECES.findall(text.lower()))
-                plain |= set(cut[-1]).difference(place)
-            except UnicodeEncodeError:
-                cut.append(text.replace("\n", " ").split(" "))
-                other |= set(cut[-1]).difference(place)
+            cut.append([])
+            for part in self.at_added.split(text) if any(t in text for t in self.added) else [text]:
+                if part in self.added:
+                    pieces = [part]
+                    other |= {part}.difference(place)
+                elif _is_latin(part):
+                    # Lower-casing and composing cannot interact in this range of characters.
+                    pieces = _PIECES.findall(part.lower())
+                    plain |= set(pieces).difference(place)
+                else:
+                    pieces = part.replace("\n", " ").split(" ")
+                    other |= set(pieces).difference(place)
+                cut[-1] += pieces
         if plain or other:
             self._learn(sorted(plain), sorted(other - plain))
         for pieces in cut:

@@ -205,6 +205,21 @@ def test_packing(corpus, block):
         assert sum(len(i) for _, i in own) == n * len(ids)
 
 
+def test_added_tokens():
+    from tokenizers import Tokenizer
+
+    path = packing.vocabulary_path()
+    model = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "<|startoftext|>Ab<|endoftext|><|endoftext|>", "<|ENDOFTEXT|> <|endoftext|", "日本語 É<|endoftext|>e\u0301x"]
+    texts += ["don<|endoftext|>'t", "<|endoftext|>", "", "a  b\n<|startoftext|>\n", "<|<|endoftext|>|>"]
+    want = [model.encode(t, add_special_tokens=False).ids + [packing.END_TOKEN] for t in texts]
+    assert want[0] == [320, 49407, 321, packing.END_TOKEN]
+    for _ in range(2):
+        assert [x.tolist() for x in packing.WordTokenizer(path).encode(texts)] == want
+    words = packing.WordTokenizer(path)
+    assert [x.tolist() for t in texts for x in words.encode([t])] == want
+
+
 def test_costs_are_balanced():
     lengths = np.random.default_rng(2).integers(10, 900, 800)
     pieces = packing.plan_sequences(lengths)
