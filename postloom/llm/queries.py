@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, lm_score, near_dedup, order_minhash, packing, quality, secrets, substring_dedup, suffix_dedup
+from . import (
+    bpe, decontaminate, filter_audit, language_id, lm_score, near_dedup, order_minhash, packing, quality, resample,
+    secrets, substring_dedup, suffix_dedup,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +56,18 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.report(table(spark, sf_dir, "documents"))
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_masked_lm": op1,
     "op2_decontaminate": op2,
@@ -64,11 +79,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8,
     "op9_substring_dedup": op9,
     "op10_suffix_array_dedup": op10,
+    "op11_resample": op11,
+    "op12_bpe": op12,
+    "op13_filter_audit": op13,
 }
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PLAIN_WORDS = f"regexp_extract_all(coalesce({_LOWER}, ''), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
+#: The bits of one byte in a CRC-32: its polynomial, lowest bit first.
+_CRC_BITS = "list_reduce(repeat([0::UBIGINT], 8), lambda s, k: xor(s >> 1, 3988292384::UBIGINT * (s & 1)), xor(c, x))"
+_UPPER = "length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))"
+
 SQL: dict[str, str] = {
     "op2_decontaminate": f"""
 WITH d AS (SELECT doc_id, {_PLAIN_WORDS} AS w FROM documents),
@@ -122,4 +144,63 @@ n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n.n, 0) AS BIGINT) AS n_removed,
        sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op11_resample": f"""
+WITH d AS (SELECT doc_id, {_PLAIN_WORDS} AS w FROM documents),
+b AS (SELECT {_PLAIN_WORDS} AS w FROM benchmark),
+found AS (
+  SELECT word, sum(s)::BIGINT AS s, sum(t)::BIGINT AS t FROM (
+    SELECT unnest(w) AS word, 1 AS s, 0 AS t FROM d UNION ALL SELECT unnest(w), 0, 1 FROM b) GROUP BY word),
+bytes AS (
+  SELECT *, list_transform(range(0, strlen(word)),
+    lambda i: ('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::UBIGINT) AS l FROM found),
+hashed AS (
+  SELECT *, xor(list_reduce(l, lambda c, x: {_CRC_BITS}, 4294967295::UBIGINT), 4294967295::UBIGINT) % 10000 AS bucket
+  FROM bytes),
+total AS (SELECT sum(s)::DOUBLE AS all_s, sum(t)::DOUBLE AS all_t FROM hashed),
+gains AS (
+  SELECT bucket, floor(1000 * ln((sum(t) + 1) * (any_value(all_s) + 10000)
+    / ((sum(s) + 1) * (any_value(all_t) + 10000))))::BIGINT AS gain FROM hashed, total GROUP BY bucket),
+weights AS (
+  SELECT doc_id, count(*) AS n, floor(sum(gain) / count(*))::BIGINT AS weight
+  FROM (SELECT doc_id, unnest(w) AS word FROM d) JOIN hashed USING (word) JOIN gains USING (bucket) GROUP BY doc_id),
+scored AS (
+  SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 *
+    ln(-ln((('0x' || left(sha256('2024:' || doc_id), 8))::UBIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM d LEFT JOIN weights USING (doc_id)),
+ranked AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n
+  FROM scored WHERE n_features >= 20)
+SELECT s.doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank
+FROM scored s LEFT JOIN ranked USING (doc_id)""",
+    "op13_filter_audit": f"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+masks AS (
+  SELECT doc_id, part, (len(w) < 100)::INT + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT
+    + 4 * (100 * ({_UPPER}) > 10 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT
+    + 16 * (doc_id > min(doc_id) OVER (PARTITION BY t))::INT AS mask FROM d),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+counts AS (
+  SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+  FROM masks LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+letters AS (SELECT substr('ABCDE', i + 1, 1) AS f, 1 << i AS bit FROM range(5) AS r(i)),
+orders AS (
+  SELECT a.f || b.f || c.f || e.f || g.f AS filter_order
+  FROM letters a, letters b, letters c, letters e, letters g
+  WHERE a.bit | b.bit | c.bit | e.bit | g.bit = 31),
+steps AS (
+  SELECT filter_order, CAST(s AS INTEGER) AS step, bit,
+         (SELECT coalesce(sum(p.bit), 0)::INT FROM letters p WHERE instr(left(filter_order, s - 1), p.f) > 0) AS before
+  FROM orders, range(1, 6) AS r(s), letters WHERE f = substr(filter_order, s, 1)),
+sums AS (
+  SELECT part, filter_order, step, bit,
+    coalesce(sum(n) FILTER (mask & (before | bit) = 0), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (mask & before = 0 AND mask & bit <> 0), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (mask & before <> 0 AND mask & bit <> 0), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (mask & before = 0 AND mask & bit <> 0), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER (mask & before = 0 AND mask & bit <> 0), 0)::BIGINT AS toxic_lost
+  FROM counts, steps GROUP BY part, filter_order, step, bit)
+SELECT * EXCLUDE (bit), (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM sums""",
 }
