@@ -24,7 +24,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 FILTERS = "ABCDE"
@@ -88,9 +88,9 @@ def mask_counts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     texts = texts.groupBy(*digest, "part", "mask", "good", "toxic").agg(
         F.sum("n").alias("n"), F.min("rank").alias("least"), F.min_by("n", "rank").alias("at_least")
     )
-    # A text has a row per part and label here, and of each only its first id can be the first of all.
-    first = texts.groupBy(*digest).agg(F.min("least").alias("first"))
-    texts = texts.join(first, digest)
+    # A text has a row per part and kind of label here, however many documents have it.
+    first = F.min("least").over(Window.partitionBy(*digest))
+    texts = texts.withColumn("first", first)
     alone = F.when(F.col("least") == F.col("first"), F.col("at_least")).otherwise(0)
     copies = F.lit(1 << FILTERS.index("E"))
     both = F.array(
