@@ -26,13 +26,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .flat import add_columns, expand, fresh_name, process_pool
 from .packing import _PIECES as LATIN_PIECES
 from .packing import _is_latin, vocabulary_path
 
-KEPT_PIECES = 500_000
-SLICE_CHARS = 1 << 21
+KEPT_PIECES = 300_000
+SLICE_CHARS = 1 << 20
 _NONE = -1
 
 
@@ -204,50 +205,65 @@ def encoder(path: str) -> Encoder:
     return pool["bpe", path]
 
 
-def _groups(texts: pa.Array) -> Iterator[list[str | None]]:
-    """Texts of about ``SLICE_CHARS`` characters at a time."""
-    held, size = [], 0
-    for text in texts:
+def _groups(batch: pa.RecordBatch, place: int) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Rows whose texts have about ``SLICE_CHARS`` characters together, and these texts."""
+    held, size, first = [], 0, 0
+    for text in batch.column(place):
         held.append(text.as_py())
         size += len(held[-1] or "")
         if size >= SLICE_CHARS:
-            yield held
-            held, size = [], 0
+            yield batch.slice(first, len(held)), held
+            first, held, size = first + len(held), [], 0
     if held:
-        yield held
+        yield batch.slice(first, len(held)), held
 
 
-def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", out: str = "ids") -> DataFrame:
-    """Add the ids of each text, an ``array<int>``; a clashing name gets underscores before it."""
+def _joined(words: Vocabulary, ids: np.ndarray) -> str:
+    token = words.token
+    return " ".join([token[i] for i in ids.tolist() if i in token])
 
-    def make():
-        words = encoder(vocabulary)
 
-        def compute(texts: pa.Array) -> list[pa.Array]:
-            found = [ids for group in _groups(texts) for ids in words.encode(group)]
-            bounds = np.concatenate([[0], np.cumsum([len(i) for i in found], dtype=np.int64)])
-            flat = np.concatenate(found) if found else np.zeros(0, np.int32)
-            return [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int32()))]
+def encode(
+    docs: DataFrame, vocabulary: str, text_col: str = "text", out: str = "ids", decoded: str | None = None, keep_text: bool = True
+) -> DataFrame:
+    """Add the ids of each text, an ``array<int>``; a clashing name gets underscores before it.
 
-        return compute
+    With ``decoded`` a column of that name has what the ids decode to, made from them in the same
+    pass; without ``keep_text`` the text column does not leave it.
+    """
+    place = docs.columns.index(text_col)
+    kept = [i for i in range(len(docs.columns)) if keep_text or i != place]
+    fields = [docs.schema.fields[i] for i in kept]
+    names = [f.name for f in fields]
+    added = [T.StructField(fresh_name(out, names), T.ArrayType(T.IntegerType()))]
+    if decoded is not None:
+        added.append(T.StructField(fresh_name(decoded, [*names, added[0].name]), T.StringType()))
+    schema = T.StructType(fields + added)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = encoder(vocabulary)
+        for batch in batches:
+            for rows, texts in _groups(batch, place):
+                found = words.encode(texts)
+                ends = np.cumsum([0, *map(len, found)], dtype=np.int64)
+                new = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found), pa.int32()))]
+                if decoded is not None:
+                    new.append(pa.array([_joined(words.words, ids) for ids in found], pa.string()))
+                yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in kept), *new], names=schema.names)
 
-    return add_columns(docs, text_col, f"`{fresh_name(out, docs.columns)}` array<int>", make)
+    return docs.mapInArrow(run, schema)
 
 
 def decode(docs: DataFrame, vocabulary: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """Add the text of each list of ids: their tokens, added ones too, joined by blanks."""
 
     def make():
-        token = encoder(vocabulary).words.token
+        words = encoder(vocabulary).words
 
         def compute(lists: pa.Array) -> list[pa.Array]:
             flat = lists.flatten().to_numpy(zero_copy_only=False)
-            ends = lists.value_lengths().fill_null(0).to_numpy().cumsum()
-            texts, at = [], 0
-            for end in ends.tolist():
-                texts.append(" ".join([token[i] for i in flat[at:end].tolist() if i in token]))
-                at = end
-            return [pa.array(texts, pa.string())]
+            ends = lists.value_lengths().fill_null(0).to_numpy().cumsum().tolist()
+            return [pa.array([_joined(words, flat[a:b]) for a, b in zip([0, *ends], ends)], pa.string())]
 
         return compute
 
@@ -258,7 +274,7 @@ def report(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id
     """One row per document: ``n_tokens``, and digests of its ids and of the text they decode to."""
     path = vocabulary or vocabulary_path()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = decode(encode(rows, path).drop("text"), path)
+    rows = encode(rows, path, decoded="decoded", keep_text=False)
     numbers = F.array_join(F.col("ids").cast("array<string>"), " ")
     return rows.select(
         F.col("id").alias(id_col),

@@ -37,11 +37,12 @@ def judged(model, text):
 def test_equals_the_library(spark, corpus, path, model):
     texts = ODD + [r.text for r in corpus.collect()]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("ids", F.lit("mine")).repartition(3)
-    encoded = bpe.encode(docs, path)
+    encoded = bpe.encode(docs, path, decoded="at_once")
     got = {r.doc_id: r for r in bpe.decode(encoded, path, "_ids").collect()}
+    assert encoded.columns == [*docs.columns, "_ids", "at_once"]
     for i, text in enumerate(texts):
         ids, decoded = judged(model, text)
-        assert (got[i]["_ids"], got[i].decoded, got[i].ids) == (ids, decoded, "mine")
+        assert (got[i]["_ids"], got[i].decoded, got[i].at_once, got[i].ids) == (ids, decoded, decoded, "mine")
 
 
 def test_random_texts(path, model):
