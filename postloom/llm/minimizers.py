@@ -9,24 +9,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEVEL_BITS = 16
+#: The rarity table has 2 ** 16 buckets up to a gigabyte of text, twice as many for each doubling of it, and at
+#: most 2 ** 22, four megabytes.
+LEVEL_BITS = (16, 22)
+LEVEL_BYTES = 1 << 30
 _PLACE = np.uint64(0xFFFFFFFF)
 
 
 def count_levels(docs: DataFrame, text_col: str, hashes: Callable[[pa.Array], Iterator[np.ndarray]]) -> tuple[np.ndarray, int]:
     """How frequent items are, over the whole corpus, and how many there are.
 
-    Items are counted in ``2 ** LEVEL_BITS`` hash buckets. A bucket's level is 0 up to twice the
-    mean and one more for each doubling. Windows prefer items of low level, so passages that many
-    documents share seldom lend their items to the windows around them. The table's size is fixed.
+    Items are counted in hash buckets, whose number grows with the corpus. A bucket's level is 0 up to
+    twice the mean and one more for each doubling. Windows prefer items of low level, so passages that
+    many documents share seldom lend their items to the windows around them. Levels change which
+    windows travel together, never which are found equal.
     """
-    size = 1 << LEVEL_BITS
+    least, most = LEVEL_BITS
+    n_bytes = docs.agg(F.sum(F.octet_length(text_col).cast("bigint"))).first()[0] or 0
+    bits = min(most, least + max(0, n_bytes // LEVEL_BYTES).bit_length())
+    size = 1 << bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(size, np.int64)
         for batch in batches:
             for items in hashes(batch.column(0)):
-                table += np.bincount((items >> np.uint64(64 - LEVEL_BITS)).astype(np.int64), minlength=size)
+                table += np.bincount((items >> np.uint64(64 - bits)).astype(np.int64), minlength=size)
         at = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(table[at])], names=["bucket", "n"])
 
@@ -35,7 +42,7 @@ def count_levels(docs: DataFrame, text_col: str, hashes: Callable[[pa.Array], It
     table = np.zeros(size)
     table[got.column(0).to_numpy()] = got.column(1).to_numpy()
     mean = max(table.mean(), 1.0)
-    return np.floor(np.log2(np.maximum(table / mean, 1))).astype(np.uint64), int(table.sum())
+    return np.floor(np.log2(np.maximum(table / mean, 1))).astype(np.uint8), int(table.sum())
 
 
 def shared_runs(items: np.ndarray, rows: np.ndarray, width: int, levels: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -48,9 +55,10 @@ def shared_runs(items: np.ndarray, rows: np.ndarray, width: int, levels: np.ndar
     n = len(items)
     if n < width:
         return (np.zeros(0, np.int64),) * 3
-    level = levels[(items >> np.uint64(64 - LEVEL_BITS)).astype(np.int64)]
+    bits = np.uint64(len(levels).bit_length() - 1)
+    level = levels[(items >> (np.uint64(64) - bits)).astype(np.int64)].astype(np.uint64)
     # The bucket's bits stay out of the order: frequent and rare buckets hold any hash.
-    least = (level << np.uint64(56)) | ((items << np.uint64(LEVEL_BITS)) >> np.uint64(8)) & ~_PLACE | np.arange(n, dtype=np.uint64)
+    least = (level << np.uint64(56)) | ((items << bits) >> np.uint64(8)) & ~_PLACE | np.arange(n, dtype=np.uint64)
     reach = 1
     while 2 * reach <= width:
         least = np.minimum(least[:-reach], least[reach:])

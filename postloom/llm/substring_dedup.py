@@ -7,13 +7,14 @@ meet in one bucket, where the windows are sorted, compared word by word, and eac
 that also starts in a document of a smaller id. The marks go back to the documents.
 
 A task compares the super-k-mers of each block of its texts first: of equal ones only the smallest
-document's is sent, the others are marked at once. So a passage in a third of all documents reaches
-its bucket once per block. Minimisers avoid frequent items, counted over all documents, so what
-stands around such a passage spreads over other buckets.
+document's is sent, the others are marked at once, and their marks are dealt by document. So a passage
+in a third of all documents reaches its bucket once per block. Minimisers avoid frequent items,
+counted over all documents, so what stands around such a passage spreads over other buckets. Rows that
+repeat an id and a text share their marks, so a block sends one of them.
 
 Defined cases: null and empty texts have no words; texts shorter than a window lose nothing; a null
 id is larger than all others and stays null; rows of equal ids never mark each other, and rows that
-repeat an id are told apart by a hash of their texts; an empty table gives no rows.
+repeat an id are told apart by 128 bits of their texts' hashes; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .flat import NOT_SPACE, SLICE_BYTES, Sums, Words, expand, slices
+from .flat import NOT_SPACE, SLICE_BYTES, Sums, Words, expand, mixed, slices
 from .minimizers import count_levels, shared_runs
+from .shared import stored
 
 WINDOW = 13
 ITEM = 2
@@ -34,7 +36,10 @@ BLOCK_BYTES = 8 << 20
 BUCKET_WORDS = 500_000
 LEVEL = 3  # of compression
 NO_ID = 2**63 - 1
-MARK = "id bigint, part bigint, start int, windows int"
+ROW = ["id", "p1", "p2"]
+#: Repeated ids up to this number, 8 bytes each, are sent to all tasks.
+BROADCAST_IDS = 500_000
+MARK = "id bigint, p1 bigint, p2 bigint, start int, windows int"
 
 
 def _items(item: int):
@@ -46,12 +51,23 @@ def _items(item: int):
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id`` and ``part`` name a row: its id, and 32 bits of its text's hash."""
-    return docs.select(
+    """``id``, ``p1`` and ``p2`` name a row: its id, and two hashes of its text.
+
+    An id that one row alone has needs no hashes, so both are 0 there. Repeated ids are counted; up to
+    ``BROADCAST_IDS`` of them are sent to the rows, with more all rows get their hashes.
+    """
+    rows = docs.select(
         F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id"),
-        F.xxhash64(text_col).bitwiseAND(F.lit(2**32 - 1)).alias("part"),
         F.col(text_col).alias("text"),
     )
+    repeated = rows.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
+    repeated = stored(repeated, "repeated")
+    doubtful = F.lit(True)
+    if repeated.count() <= BROADCAST_IDS:
+        rows = rows.join(F.broadcast(repeated.withColumn("doubtful", F.lit(True))), "id", "left")
+        doubtful = F.col("doubtful").isNotNull()
+    parts = {"p1": F.xxhash64("text"), "p2": F.xxhash64(F.lit(1), "text")}
+    return rows.select("id", *[F.when(doubtful, h).otherwise(0).alias(p) for p, h in parts.items()], "text")
 
 
 def _squeezed(array: np.ndarray) -> bytes:
@@ -101,14 +117,14 @@ class Pieces:
 def _super_kmers(docs: DataFrame, levels: np.ndarray, buckets: int, window: int, item: int) -> DataFrame:
     """Packed super-k-mers and marks by bucket, one row per block and bucket."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
-    names = ["bucket", "n", "docs", "ids", "parts", "doc", "start", "count", "done", "size", "text"]
+    names = ["bucket", "n", "docs", "ids", "p1", "p2", "doc", "start", "count", "done", "size", "text"]
     schema = (
-        "bucket int, n int, docs int, ids binary, parts binary, doc binary, start binary, count binary, "
+        "bucket int, n int, docs int, ids binary, p1 binary, p2 binary, doc binary, start binary, count binary, "
         "done binary, size bigint, text binary"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def packed(pieces: Pieces, ids: np.ndarray, parts: np.ndarray) -> pa.RecordBatch:
+        def packed(pieces: Pieces, ids: np.ndarray, p1: np.ndarray, p2: np.ndarray) -> pa.RecordBatch:
             content, bucket, doc, start, count = pieces.joined()
             bucket = (bucket % np.uint64(buckets)).astype(np.int64)
             order = np.lexsort((start, ids[doc], content))
@@ -120,6 +136,8 @@ def _super_kmers(docs: DataFrame, levels: np.ndarray, buckets: int, window: int,
             texts, done = pieces.text, np.zeros(len(order), bool)
             for i, j in zip(order[later].tolist(), order[group[later]].tolist(), strict=True):
                 done[i] = texts[i] == texts[j] or texts[i].split() == texts[j].split()
+            by_doc = mixed(ids.astype(np.uint64) ^ p1.astype(np.uint64)) % np.uint64(buckets)
+            bucket = np.where(done, by_doc.astype(np.int64)[doc], bucket)
             rows = []
             turn = np.lexsort((start, doc, bucket))
             edges = np.searchsorted(bucket[turn], np.arange(buckets + 1))
@@ -133,7 +151,8 @@ def _super_kmers(docs: DataFrame, levels: np.ndarray, buckets: int, window: int,
                         len(own),
                         len(used),
                         _squeezed(np.diff(ids[used], prepend=0)),
-                        _squeezed(parts[used].astype(np.uint32)),
+                        _squeezed(p1[used]),
+                        _squeezed(p2[used]),
                         _squeezed(np.diff(local, prepend=0).astype(np.int32)),
                         _squeezed(start[own].astype(np.int32)),
                         _squeezed(count[own].astype(np.uint8)),
@@ -142,26 +161,35 @@ def _super_kmers(docs: DataFrame, levels: np.ndarray, buckets: int, window: int,
                         pa.Codec("zstd", compression_level=LEVEL).compress(text, asbytes=True),
                     )
                 )
-            kinds = [pa.int32()] * 3 + [pa.binary()] * 6 + [pa.int64(), pa.binary()]
+            kinds = [pa.int32()] * 3 + [pa.binary()] * 7 + [pa.int64(), pa.binary()]
             columns = zip(*rows, strict=True)
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-        pieces, ids, parts, size, held = Pieces(), [], [], 0, 0
+        pieces, keys, sent, size, held = Pieces(), [], set(), 0, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal pieces, ids, parts, size, held
+            nonlocal pieces, keys, sent, size, held
             if pieces.content:
-                yield packed(pieces, np.concatenate(ids), np.concatenate(parts))
-            pieces, ids, parts, size, held = Pieces(), [], [], 0, 0
+                yield packed(pieces, *(np.concatenate(k) for k in zip(*keys, strict=True)))
+            pieces, keys, sent, size, held = Pieces(), [], set(), 0, 0
 
         for batch in batches:
-            own_ids, own_parts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for first, data, offsets in slices(batch.column(2)):
-                count = len(offsets) - 1
+            own = [batch.column(i).to_numpy() for i in range(3)]
+            for first, data, offsets in slices(batch.column(3)):
+                rows = slice(first, first + len(offsets) - 1)
+                key = [k[rows] for k in own]
+                fresh = np.ones(len(key[0]), bool)
+                for i in np.flatnonzero(key[1] | key[2]).tolist():
+                    name = tuple(k[i] for k in key)
+                    fresh[i] = name not in sent
+                    sent.add(name)
+                if not fresh.all():
+                    sizes = np.diff(offsets)
+                    data = data[np.repeat(fresh, sizes)]
+                    offsets = np.concatenate([[0], np.where(fresh, sizes, 0).cumsum()])
                 pieces.add(held, data, offsets, window, item, shared.value)
-                ids.append(own_ids[first : first + count])
-                parts.append(own_parts[first : first + count])
-                held += count
+                keys.append(key)
+                held += len(fresh)
                 size += len(data)
                 if size >= BLOCK_BYTES:
                     yield from flush()
@@ -174,7 +202,7 @@ def _count_bucket(window: int):
     """Marks of one bucket: ``windows`` has a bit for each marked window from ``start`` on."""
 
     def marks(table: pa.Table) -> pa.Table:
-        ids, parts, start, count, sent, texts = [], [], [], [], [], []
+        ids, p1, p2, start, count, sent, texts = [], [], [], [], [], [], []
         hashes, begin, end, base, waiting = [], [], [], 0, []
 
         def hash_windows() -> None:
@@ -196,10 +224,10 @@ def _count_bucket(window: int):
 
         for row in table.to_pylist():
             own = _restored(row["ids"], row["docs"], np.int64).cumsum()
-            part = _restored(row["parts"], row["docs"], np.uint32)
             doc = _restored(row["doc"], row["n"], np.int32).cumsum()
             ids.append(own[doc])
-            parts.append(part[doc].astype(np.int64))
+            p1.append(_restored(row["p1"], row["docs"], np.int64)[doc])
+            p2.append(_restored(row["p2"], row["docs"], np.int64)[doc])
             start.append(_restored(row["start"], row["n"], np.int32))
             count.append(_restored(row["count"], row["n"], np.uint8).astype(np.int64))
             sent.append(~_restored(row["done"], row["n"], bool))
@@ -209,7 +237,7 @@ def _count_bucket(window: int):
                 hash_windows()
         if waiting:
             hash_windows()
-        ids, parts, start, count, sent = (np.concatenate(x) for x in (ids, parts, start, count, sent))
+        ids, p1, p2, start, count, sent = (np.concatenate(x) for x in (ids, p1, p2, start, count, sent))
         hashes, begin, end = (np.concatenate(x) if x else np.zeros(0, k) for x, k in ((hashes, np.uint64), (begin, np.int64), (end, np.int64)))
         low = b"\n".join(texts)
         texts.clear()
@@ -230,7 +258,8 @@ def _count_bucket(window: int):
         return pa.table(
             {
                 "id": pa.array(ids[kept], pa.int64()),
-                "part": pa.array(parts[kept], pa.int64()),
+                "p1": pa.array(p1[kept], pa.int64()),
+                "p2": pa.array(p2[kept], pa.int64()),
                 "start": pa.array(start[kept], pa.int32()),
                 "windows": pa.array(bits[kept], pa.int32()),
             }
@@ -255,18 +284,18 @@ def _same_words(low: bytes, begin, end, later, lead, ids) -> np.ndarray:
 
 
 def _apply(window: int, width: int):
-    """Counts and kept texts of ``(id, part, text, marks)`` rows."""
+    """Counts and kept texts of ``(id, text, marks)`` rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = batch.column(3)
+            marks = batch.column(2)
             lengths = marks.value_lengths().fill_null(0).to_numpy()
             flat = marks.flatten()
             starts = flat.field(0).to_numpy(zero_copy_only=False)
             bits = flat.field(1).to_numpy(zero_copy_only=False).astype(np.int64)
             ends = lengths.cumsum()
             n_words, n_removed, kept = [], [], []
-            for text, a, b in zip(batch.column(2).cast(pa.large_binary()), ends - lengths, ends, strict=True):
+            for text, a, b in zip(batch.column(1).cast(pa.large_binary()), ends - lengths, ends, strict=True):
                 words = (text.as_py() or b"").split()
                 n_words.append(len(words))
                 if b > a:
@@ -307,8 +336,8 @@ def remove_repeats(
     buckets = max(1, -(-total // bucket_words))
     packed = _super_kmers(rows, levels, buckets, window, item)
     marks = packed.groupBy("bucket").applyInArrow(_count_bucket(window), MARK)
-    by_row = marks.groupBy("id", "part").agg(F.collect_list(F.struct("start", "windows")).alias("marks"))
-    joined = rows.join(by_row, ["id", "part"], "left").select("id", "part", "text", "marks")
+    by_row = marks.groupBy(*ROW).agg(F.collect_set(F.struct("start", "windows")).alias("marks"))
+    joined = rows.join(by_row, ROW, "left").select("id", "text", "marks")
     out = joined.mapInArrow(
         _apply(window, window - item + 1), "id bigint, n_words bigint, n_removed bigint, kept string"
     )

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .flat import byte_sums, expand, slices
 from .minimizers import count_levels, shared_runs
 from .shared import stored
-from .substring_dedup import NO_ID, keyed
+from .substring_dedup import MARK, NO_ID, ROW, keyed
 from .suffix_array import permuted_prefixes, suffix_array
 
 LENGTH = 400
@@ -37,7 +37,6 @@ ANCHOR = 160
 SHARD_BYTES = 1 << 20
 BLOCK_BYTES = 8 << 20
 _SEPARATOR = b"\xff"  # in no UTF-8 text
-MARK = "id bigint, part bigint, start int, windows int"
 
 
 def _items(anchor: int):
@@ -49,13 +48,13 @@ def _items(anchor: int):
 
 
 def anchors(rows: DataFrame, levels: np.ndarray, length: int, anchor: int) -> DataFrame:
-    """``(anchor, id, part, start, windows)``: runs of windows of ``rows`` with one anchor."""
+    """``(anchor, id, p1, p2, start, windows)``: runs of windows of ``rows`` with one anchor."""
     shared = rows.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, parts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for first, data, offsets in slices(batch.column(2)):
+            keys = [batch.column(i).to_numpy() for i in range(3)]
+            for first, data, offsets in slices(batch.column(3)):
                 items = byte_sums(data).windows(anchor)
                 sizes = np.maximum(np.diff(offsets) - anchor + 1, 0)
                 bounds = np.concatenate([[0], sizes.cumsum()])
@@ -65,26 +64,25 @@ def anchors(rows: DataFrame, levels: np.ndarray, length: int, anchor: int) -> Da
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(items[inside[at]].view(np.int64) if len(at) else np.zeros(0, np.int64)),
-                        pa.array(ids[first + row]),
-                        pa.array(parts[first + row]),
+                        *(pa.array(k[first + row]) for k in keys),
                         pa.array(window - bounds[row], pa.int32()),
                         pa.array(count, pa.int32()),
                     ],
-                    names=["anchor", "id", "part", "start", "windows"],
+                    names=["anchor", *ROW, "start", "windows"],
                 )
 
     return rows.mapInArrow(run, f"anchor bigint, {MARK}")
 
 
 def _segments(joined: DataFrame, shards: int, length: int) -> DataFrame:
-    """Segments and ready marks of ``(id, part, text, runs)`` rows, by shard.
+    """Segments and ready marks of ``(id, p1, p2, text, runs)`` rows, by shard.
 
     ``owned`` is false for the one copy of a segment whose marks are already made.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["shard", "anchor", "id", "part", "start", "windows", "owned", "segment"]
-        kinds = [pa.int32(), *[pa.int64()] * 3, pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
+        names = ["shard", "anchor", *ROW, "start", "windows", "owned", "segment"]
+        kinds = [pa.int32(), *[pa.int64()] * 4, pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
         held: dict[bytes, list[tuple]] = {}
         size = 0
 
@@ -95,7 +93,7 @@ def _segments(joined: DataFrame, shards: int, length: int) -> DataFrame:
                 shard = key % shards
                 if len(members) > 1:
                     # Repeated: marked here, and dealt out by document, as they may be many.
-                    out += [(m[1] % shards, None, *m[1:], True, None) for m in members]
+                    out += [((m[1] ^ m[2]) % shards, None, *m[1:], True, None) for m in members]
                     out.append((shard, key, *members[0][1:], False, segment))
                 else:
                     out.append((shard, *members[0], True, segment))
@@ -104,11 +102,11 @@ def _segments(joined: DataFrame, shards: int, length: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
         for batch in batches:
-            texts = batch.column(2).cast(pa.large_binary())
+            texts = batch.column(3).cast(pa.large_binary())
             for at in range(batch.num_rows):
                 text = texts[at].as_py() or b""
-                own = batch.column(0)[at].as_py(), batch.column(1)[at].as_py()
-                for r in batch.column(3)[at].as_py():
+                own = [batch.column(i)[at].as_py() for i in range(3)]
+                for r in batch.column(4)[at].as_py():
                     segment = text[r["start"] : r["start"] + r["windows"] + length - 1]
                     members = held.setdefault(segment, [])
                     members.append((r["anchor"], *own, r["start"], r["windows"]))
@@ -119,7 +117,7 @@ def _segments(joined: DataFrame, shards: int, length: int) -> DataFrame:
         yield flush()
 
     return joined.mapInArrow(
-        run, "shard int, anchor bigint, id bigint, part bigint, start int, windows int, owned boolean, segment binary"
+        run, f"shard int, anchor bigint, {MARK}, owned boolean, segment binary"
     )
 
 
@@ -142,15 +140,15 @@ def repeated_windows(segments: list[bytes], length: int) -> list[np.ndarray]:
 
 def _shard(length: int):
     def marks(table: pa.Table) -> pa.Table:
-        out = {"id": [], "part": [], "start": [], "windows": []}
+        out = {name: [] for name in (*ROW, "start", "windows")}
 
         def add(member: tuple, start: int, windows: int) -> None:
-            for name, value in zip(out, (member[0], member[1], member[2] + start, windows), strict=True):
+            for name, value in zip(out, (*member[:3], member[3] + start, windows), strict=True):
                 out[name].append(value)
 
         members: dict[bytes, list[tuple]] = {}
         contents: dict[int, set[bytes]] = {}
-        columns = [table.column(n).to_pylist() for n in ("anchor", "id", "part", "start", "windows", "owned", "segment")]
+        columns = [table.column(n).to_pylist() for n in ("anchor", *ROW, "start", "windows", "owned", "segment")]
         for anchor, *row, windows, owned, segment in zip(*columns, strict=True):
             if segment is None:
                 add(tuple(row), 0, windows)
@@ -174,7 +172,7 @@ def _shard(length: int):
                 if member[-1]:
                     for start, windows in runs:
                         add(member, start, windows)
-        return pa.table({n: pa.array(v, pa.int64() if n in ("id", "part") else pa.int32()) for n, v in out.items()})
+        return pa.table({n: pa.array(v, pa.int64() if n in ROW else pa.int32()) for n, v in out.items()})
 
     return marks
 
@@ -182,7 +180,7 @@ def _shard(length: int):
 def _apply(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = batch.column(3)
+            marks = batch.column(2)
             sizes = marks.value_lengths().fill_null(0).to_numpy()
             flat = marks.flatten()
             starts = flat.field(0).to_numpy(zero_copy_only=False)
@@ -190,7 +188,7 @@ def _apply(length: int):
             ends = sizes.cumsum()
             found = {"n_bytes": [], "n_removed": [], "n_spans": []}
             kept = []
-            for text, a, b in zip(batch.column(2).cast(pa.large_binary()), ends - sizes, ends, strict=True):
+            for text, a, b in zip(batch.column(1).cast(pa.large_binary()), ends - sizes, ends, strict=True):
                 text = text.as_py() or b""
                 whole, spans = len(text), 0
                 if b > a:
@@ -221,15 +219,16 @@ def remove_repeats(
     rows = keyed(docs, id_col, text_col)
     levels, _ = count_levels(rows, "text", _items(anchor))
     found = stored(anchors(rows, levels, length, anchor), "anchors")
-    twice = found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    # Stored, so that adaptive execution can split the rows of an anchor that very many documents have.
+    twice = stored(found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "twice")
     runs = stored(found.join(twice, "anchor"), "anchors")
     total = runs.agg(F.sum(F.col("windows") + length - 1)).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
-    by_row = runs.groupBy("id", "part").agg(F.collect_set(F.struct("anchor", "start", "windows")).alias("runs"))
-    joined = rows.join(by_row, ["id", "part"]).select("id", "part", "text", "runs")
+    by_row = runs.groupBy(*ROW).agg(F.collect_set(F.struct("anchor", "start", "windows")).alias("runs"))
+    joined = rows.join(by_row, ROW).select(*ROW, "text", "runs")
     marks = _segments(joined, shards, length).groupBy("shard").applyInArrow(_shard(length), MARK)
-    by_row = marks.groupBy("id", "part").agg(F.collect_set(F.struct("start", "windows")).alias("marks"))
-    joined = rows.join(by_row, ["id", "part"], "left").select("id", "part", "text", "marks")
+    by_row = marks.groupBy(*ROW).agg(F.collect_set(F.struct("start", "windows")).alias("marks"))
+    joined = rows.join(by_row, ROW, "left").select("id", "text", "marks")
     out = joined.mapInArrow(_apply(length), "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
     return out.select(
         F.when(F.col("id") != NO_ID, F.col("id")).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept"

@@ -45,7 +45,9 @@ def test_near_groups(corpus, small):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
-def test_one_of_each_group_stays(corpus):
+@pytest.mark.parametrize("known", [0, 10**6])
+def test_one_of_each_group_stays(corpus, monkeypatch, known):
+    monkeypatch.setattr(near_dedup, "BROADCAST_KEYS", known)
     kept = near_dedup.keep_one(corpus)
     assert kept.columns == corpus.columns
     ids = Counter(r.doc_id for r in kept.collect())
@@ -110,6 +112,50 @@ def test_repeated_windows(corpus, bucket_words):
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.sha) for r in got) == windows_judged(rows_of(corpus), 13)
 
 
+def rows_without_ids(spark):
+    """Null and repeated ids: equal texts, texts of their own, and passages that other documents have."""
+    passage = prose(60, 100)
+    rows = [(4, " ".join(passage)), (9, " ".join(prose(61, 90))), (9, " ".join(prose(62, 50) + passage[20:80])), (9, " ".join(prose(61, 90)))]
+    rows += [(None, " ".join(prose(70 + i, 80))) for i in range(6)] + [(None, " ".join(passage[10:70] + prose(63, 30)))] * 3
+    rows += [(None, None), (None, ""), (None, " ".join(prose(61, 90)))]
+    return rows, spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+
+
+@pytest.mark.parametrize("known", [0, 10**6])
+def test_rows_that_share_an_id(spark, monkeypatch, known):
+    rows, docs = rows_without_ids(spark)
+    rows = [(i, t or "") for i, t in rows]
+    monkeypatch.setattr(substring_dedup, "BROADCAST_IDS", known)
+    got = substring_dedup.remove_repeats(docs).withColumn("sha", F.sha2("kept", 256)).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.sha) for r in got) == windows_judged(rows, 13)
+    got = suffix_dedup.remove_repeats(docs, length=100, anchor=40).withColumn("sha", F.sha2("kept", 256)).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.sha) for r in got) == bytes_judged(rows, 100)
+
+
+def test_equal_short_hashes_do_not_mix_rows(spark):
+    """Two texts without ids whose first hashes agree in 32 bits: a copy of one leaves the other alone."""
+    texts = spark.range(120_000).select(F.concat(F.lit("n"), "id").alias("t"), F.xxhash64(F.concat(F.lit("n"), "id")).alias("h"))
+    low = F.col("h").bitwiseAND(F.lit(2**32 - 1))
+    pair = texts.groupBy(low.alias("low")).agg(F.collect_list("t").alias("t")).filter("size(t) > 1").first().t[:2]
+    # One word is too short for a window, so the collision is forced in the key itself.
+    rows = spark.createDataFrame([(None, t) for t in pair], "doc_id bigint, text string")
+    keys = {tuple(r) for r in substring_dedup.keyed(rows, "doc_id", "text").select(*substring_dedup.ROW).collect()}
+    assert len(keys) == 2 and len({k[1] & (2**32 - 1) for k in keys}) == 1
+
+
+def test_marks_of_a_hot_passage_spread(spark):
+    """A passage of every document: its copies' marks are dealt by document, not to its bucket."""
+    passage = " ".join(prose(80, 60))
+    docs = spark.createDataFrame([(i, f"{passage} {' '.join(prose(500 + i, 20))}") for i in range(400)], "doc_id bigint, text string")
+    rows = substring_dedup.keyed(docs, "doc_id", "text").coalesce(1)
+    levels, _ = substring_dedup.count_levels(rows, "text", substring_dedup._items(2))
+    packed = substring_dedup._super_kmers(rows, levels, 40, 13, 2).groupBy("bucket").agg(F.sum("n").alias("n"))
+    sizes = sorted(r.n for r in packed.collect())
+    assert sizes[-1] < 3 * sizes[len(sizes) // 2]
+    got = substring_dedup.remove_repeats(docs, bucket_words=800).filter("doc_id > 0").select("n_removed").distinct().collect()
+    assert min(r.n_removed for r in got) >= 60
+
+
 def bytes_judged(rows, length):
     seen = Counter()
     for _, text in rows:
@@ -142,6 +188,14 @@ def test_empty_tables(nothing):
     assert suffix_dedup.report(nothing).count() == 0
 
 
+def test_larger_rarity_tables(corpus, monkeypatch):
+    from postloom.llm import minimizers
+
+    monkeypatch.setattr(minimizers, "LEVEL_BYTES", 1000)
+    got = substring_dedup.remove_repeats(corpus, bucket_words=200).withColumn("sha", F.sha2("kept", 256)).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.sha) for r in got) == windows_judged(rows_of(corpus), 13)
+
+
 def test_suffix_arrays():
     import numpy as np
 
