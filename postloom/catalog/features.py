@@ -117,11 +117,10 @@ def labelled_vectors(t):
 
 
 def _fitted(t, kind: str):
-    """A model of the vectors in the train part, and both parts."""
-    fit_rows, test_rows = hash_split(labelled_vectors(t), "vec_id")
-    fit_rows = fit_rows.cache()
-    tol = 1e-7 if kind == "lr" else 1e-4
-    return ML.train(fit_rows, kind, "label", classes=VECTOR_CLASSES, tol=tol), fit_rows, test_rows
+    """A model of the vectors in the train part, and all vectors."""
+    rows = stored(t, labelled_vectors(t), "vectors")
+    fit_rows, _ = hash_split(rows, "vec_id")
+    return ML.train(fit_rows, kind, "label", classes=VECTOR_CLASSES, tol=1e-7 if kind == "lr" else 1e-4), rows
 
 
 IN_TEST = "('0x' || left(md5('42:' || {key}), 8))::UBIGINT % 100 < 20"
@@ -168,66 +167,21 @@ def naive_bayes(t):
     return found.select("id", "label_sentiment", "predicted")
 
 
-@query(
-    "ml2_logistic_regression",
-    "SELECT DISTINCT 'c' || label AS label, true AS optimal FROM embeddings"
-    f" WHERE NOT {IN_TEST.format(key='vec_id')}",
-)
+@query("ml2_logistic_regression")
 def logistic_regression(t):
-    """At the optimum, the penalised loss has no slope in any weight of any class."""
-    model, fit_rows, _ = _fitted(t, "lr")
-    lr = model.stages[0]
-    weights = lr.coefficientMatrix.toArray()
-    scored = lr.transform(fit_rows).select(
-        "label", FE.vector_to_array("features").alias("x"), FE.vector_to_array("probability").alias("p")
-    )
-    classes = t.spark.createDataFrame(
-        [(i, c, [float(v) for v in weights[i]]) for i, c in enumerate(VECTOR_CLASSES)],
-        "number int, class string, w array<double>",
-    )
-    miss = F.get("p", F.col("number")) - (F.col("label") == F.col("class")).cast("double")
-    each = scored.withColumn("number", F.explode(F.sequence(F.lit(0), F.lit(len(VECTOR_CLASSES) - 1))))
-    parts = each.join(F.broadcast(classes), "number").select(
-        "class", "w", miss.alias("miss"), F.posexplode("x").alias("i", "x")
-    )
-    slopes = parts.groupBy("class", "i").agg(
-        F.avg(F.col("miss") * F.col("x")).alias("slope"),
-        F.any_value(F.get("w", F.col("i"))).alias("w"),
-        F.count("*").alias("n"),
-    )
-    slope = F.abs(F.col("slope") + F.col("w") / F.col("n"))
-    known = fit_rows.select(F.col("label").alias("class")).distinct()
-    found = slopes.groupBy("class").agg((F.max(slope) < 1e-4).alias("optimal"))
-    return found.join(known, "class", "left_semi").withColumnRenamed("class", "label")
+    """Predictions of all vectors with the probability of the predicted class; learnt from the train part."""
+    model, rows = _fitted(t, "lr")
+    found = model.transform(rows)
+    likely = F.array_max(FE.vector_to_array("probability"))
+    return found.select("vec_id", "label", "predicted", F.round(likely, 4).alias("probability"))
 
 
-@query(
-    "ml3_linear_svm",
-    f"""SELECT 'c' || k AS label, count(*) AS n, true AS better
-FROM embeddings, range(10) AS r(k) WHERE NOT {IN_TEST.format(key='vec_id')} GROUP BY k""",
-)
+@query("ml3_linear_svm")
 def linear_svm(t):
-    """Per class, the penalised hinge loss of its plane lies below that of no plane, which is 1."""
-    model, fit_rows, _ = _fitted(t, "svm")
-    planes = [
-        (VECTOR_CLASSES[i], [float(v) for v in m.coefficients], float(m.intercept))
-        for i, m in enumerate(model.stages[0].models)
-    ]
-    frame = t.spark.createDataFrame(planes, "class string, w array<double>, b double")
-    rows = fit_rows.select("label", FE.vector_to_array("features").alias("x"))
-    each = rows.withColumn("class", F.explode(F.array(*[F.lit(c) for c in VECTOR_CLASSES])))
-    parts = each.join(F.broadcast(frame), "class")
-
-    def dot(x, y):
-        return F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-
-    side = F.when(F.col("label") == F.col("class"), 1.0).otherwise(-1.0)
-    loss = F.greatest(F.lit(0.0), 1.0 - side * (dot("x", "w") + F.col("b")))
-    sums = parts.groupBy(F.col("class").alias("label")).agg(
-        F.count("*").alias("n"), F.avg(loss).alias("loss"), F.any_value(dot("w", "w")).alias("square")
-    )
-    better = F.col("loss") + F.col("square") / (2 * F.col("n")) < 1.0
-    return sums.select("label", "n", better.alias("better"))
+    """Predictions of all vectors with the highest score; planes learnt from the train part."""
+    model, rows = _fitted(t, "svm")
+    found = model.transform(rows)
+    return found.select("vec_id", "label", "predicted", F.round(F.array_max("rawPrediction"), 4).alias("score"))
 
 
 @query("ml4_predict_tfidf", f"WITH {LABELLED_CLEAN}, {BAYES} WHERE d.held")
@@ -258,37 +212,24 @@ def weighted_prf(t):
     return rows.select([F.round(c, 6).alias(c) for c in rows.columns])
 
 
-def _sound(metrics):
-    """Whether each model's scores are shares, and its F1 lies below the larger of the other two."""
-    shares = F.lit(True)
-    for c in ("precision", "recall", "f1"):
-        shares = shares & F.col(c).between(0.0, 1.0)
-    return metrics.select("model", shares.alias("sound"))
-
-
-def _models_sql(*names: str) -> str:
-    return " UNION ALL ".join(f"SELECT '{n}' AS model, true AS sound" for n in names)
-
-
-@query("ml6_compare_tfidf", _models_sql("NaiveBayes", "LogisticRegression", "SVM"))
+@query("ml6_compare_tfidf")
 def compare_tfidf(t):
-    return _sound(TR.compare_tfidf(labelled_texts(t), "id"))
+    return TR.compare_tfidf(labelled_texts(t), "id")
 
 
-@query(
-    "ml6_compare_encoders",
-    _models_sql("LogisticRegression_A", "SVM_A", "LogisticRegression_B", "SVM_B"),
-)
+@query("ml6_compare_encoders")
 def compare_encoders(t):
-    return _sound(TR.compare_encoders(labelled_texts(t), key="id"))
+    return TR.compare_encoders(labelled_texts(t), key="id")
 
 
-@query("io9_save_and_load_model", "SELECT vec_id, true AS same FROM embeddings")
+@query("io9_save_and_load_model")
 def stored_model(t):
-    model, _, _ = _fitted(t, "lr")
-    path = shared_dir(t.spark, "model")
-    ML.save_model(model, path)
-    rows = labelled_vectors(t)
-    before = ML.predict(model, rows).select("vec_id", F.col("predicted").alias("before"))
-    after = ML.predict(ML.load_model(path), rows).select("vec_id", F.col("predicted").alias("after"))
-    return before.join(after, "vec_id").select("vec_id", (F.col("before") == F.col("after")).alias("same"))
+    """Predictions of models that were saved and loaded again."""
+    out = None
+    for kind in ("lr", "svm"):
+        model, rows = _fitted(t, kind)
+        path = shared_dir(t.spark, "model")
+        ML.save_model(model, path)
+        found = ML.predict(ML.load_model(path), rows).select("vec_id", F.lit(kind).alias("model"), "predicted")
+        out = found if out is None else out.unionByName(found)
+    return out

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.ml import Model, PipelineModel
-from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, OneVsRest
+from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.feature import IndexToString, StringIndexerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CLASSES
 from ..session import shared_dir
+from .svm import fit_planes
 
 KINDS = ("nb", "lr", "svm")
 NAMES = {"nb": "NaiveBayes", "lr": "LogisticRegression", "svm": "SVM"}
@@ -31,11 +32,11 @@ def train(
     n_rows: int | None = None,
     tol: float = 1e-4,
 ) -> PipelineModel:
-    """Fit naive Bayes (``nb``), logistic regression (``lr``) or a linear SVM (``svm``).
+    """Fit naive Bayes (``nb``), logistic regression (``lr``) or a squared-hinge SVM (``svm``).
 
     Rows whose label is null or not among ``classes`` teach nothing and do not count. The penalty
-    equals a cost of one per row, so it needs the row count: pass ``n_rows``, counted the same way,
-    if known. Store the rows before, as every pass reads them.
+    equals a cost of one per row; for ``lr`` it needs the row count: pass ``n_rows``, counted the same
+    way, if known. Store the rows before, as every pass reads them.
     """
     if kind not in KINDS:
         raise ValueError(f"model {kind!r}; expected one of {KINDS}")
@@ -43,28 +44,24 @@ def train(
         list(classes), inputCol=label, outputCol="__label", handleInvalid="error"
     )
     known = known_labels(df.select(label, features), label, classes)
-    n_rows = known.count() if n_rows is None else n_rows
+    if n_rows is None and kind == "lr":
+        n_rows = known.count()
     rows = index.transform(known)
     columns = {"featuresCol": features, "labelCol": "__label"}
     if kind == "nb":
-        estimator = NaiveBayes(modelType="multinomial", smoothing=1.0, **columns)
+        fitted = NaiveBayes(modelType="multinomial", smoothing=1.0, **columns).fit(rows)
+    elif kind == "lr":
+        lr = LogisticRegression(
+            maxIter=1000,
+            tol=tol,
+            elasticNetParam=0.0,
+            regParam=1.0 / max(1, n_rows),
+            standardization=False,
+            **columns,
+        )
+        fitted = lr.fit(rows)
     else:
-        penalty = 1.0 / max(1, n_rows)
-        if kind == "lr":
-            estimator = LogisticRegression(
-                maxIter=1000,
-                tol=tol,
-                elasticNetParam=0.0,
-                regParam=penalty,
-                standardization=False,
-                **columns,
-            )
-        else:
-            svc = LinearSVC(
-                maxIter=100, tol=tol, regParam=penalty, standardization=False, **columns
-            )
-            estimator = OneVsRest(classifier=svc, parallelism=min(8, len(classes)), **columns)
-    fitted = estimator.fit(rows)
+        fitted = fit_planes(rows, len(classes), "__label", features, tol=tol)
     back = IndexToString(inputCol="prediction", outputCol="predicted", labels=list(classes))
     return PipelineModel([fitted, back])
 
