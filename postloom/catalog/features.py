@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import features as FE
+from ..operators import heavy as HH
 from ..operators import models as ML
 from ..operators import text as TX
 from ..operators.sample import hash_split
@@ -34,6 +35,16 @@ def vocabulary(t):
     return FE.vocabulary(FE.term_totals(clean_documents(t)))
 
 
+@query(
+    "fe2_top_terms_bounded",
+    f"WITH {COUNTS} SELECT term, sum(tf)::BIGINT AS total FROM counts GROUP BY term ORDER BY total DESC, term LIMIT 500",
+)
+def top_terms_bounded(t):
+    """Terms by summaries of bounded size; the clean texts are stored, as they are read twice."""
+    clean = stored(t, clean_documents(t).select("clean_text"), "clean")
+    return HH.top_terms(clean, 500)
+
+
 TFIDF = f"""raw AS (
   SELECT c.doc_id, c.term, c.tf * (ln((1 + n) / (1.0::DOUBLE + v.df)) + 1) AS raw
   FROM counts c JOIN vocab v ON v.term = c.term, (SELECT count(*) AS n FROM documents)),

@@ -15,6 +15,7 @@ from ..plans.report import load_report_inputs
 from ..session import shared_dir
 from ..sources.corpus import with_epoch_times, write_corpus
 from ..sources.delimited import write_table_csv
+from ..streaming.activity import read_activity, run_activity, stream_activity
 from . import sqltext as S
 from .registry import LABELLED, query
 
@@ -54,6 +55,26 @@ def activity_events(t):
     return _spelled(RP.activity(t.events, "ts", "event_type"), "ts")
 
 
+@query(
+    "rp2_activity_stream",
+    """SELECT strftime(time_bucket(INTERVAL 30 MINUTE, ts), '%Y-%m-%d %H:%M:%S') AS ts, event_type,
+  count(*) AS count FROM events GROUP BY ALL""",
+)
+def activity_stream(t):
+    """All events arrive in four portions in order of time; the stream is stopped and restarted between them."""
+    folder = shared_dir(t.spark, "stream")
+    low, high = t.events.agg(F.min("ts"), F.max("ts")).first()
+    cuts = [low + (high - low) * i / 4 for i in range(1, 4)] if low is not None else []
+    place = sum([(F.col("ts") >= F.lit(c)).cast("int") for c in cuts], F.lit(0))
+    for portion in range(4):
+        arrived = t.events.filter(F.coalesce(place, F.lit(0)) == portion).select("ts", "event_type")
+        arrived.write.mode("append").parquet(f"{folder}/in")
+        if portion % 2:
+            events = t.spark.readStream.schema(arrived.schema).option("maxFilesPerTrigger", 64).parquet(f"{folder}/in")
+            run_activity(stream_activity(events, "ts", "event_type"), f"{folder}/out", f"{folder}/state")
+    return _spelled(read_activity(t.spark, f"{folder}/out", "ts", "event_type"), "ts")
+
+
 def _spelled(df, ts: str = "created_at"):
     return df.withColumn(ts, F.date_format(ts, "yyyy-MM-dd HH:mm:ss"))
 
@@ -146,7 +167,6 @@ def top_posts(t):
 
 
 # Metrics of two predictions per language: either annotator judged by the other one.
-LANGUAGES = ("de", "en", "es", "fr")
 METRICS = """pairs AS (SELECT lang, k, y, p, count(*) AS n FROM (
   SELECT lang, 'x' AS k, label_sentiment AS y, label_secondary AS p FROM labelled UNION ALL
   SELECT lang, 'y', label_secondary, label_sentiment FROM labelled) GROUP BY ALL),
@@ -163,13 +183,9 @@ metrics AS (SELECT lang || '_' || k AS model, k,
 
 def language_metrics(t, tag: str):
     y, p = ("label_sentiment", "label_secondary") if tag == "x" else ("label_secondary", "label_sentiment")
-    out = None
-    for lang in LANGUAGES:
-        row = ML.weighted_prf(t.labelled.filter(F.col("lang") == lang), y, p)
-        scores = [F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")]
-        row = row.filter("f1 IS NOT NULL").select(F.lit(f"{lang}_{tag}").alias("model"), *scores)
-        out = row if out is None else out.unionByName(row)
-    return out
+    scores = ML.weighted_prf_by(t.labelled.filter("lang IS NOT NULL"), y, p, "lang")
+    rounded = [F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")]
+    return scores.select(F.concat("lang", F.lit(f"_{tag}")).alias("model"), *rounded)
 
 
 @query(

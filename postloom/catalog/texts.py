@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..config import PreprocessConfig
 from ..functions import patterns as P
 from ..functions import text as X
+from ..operators import heavy as HH
 from ..operators import text as TX
 from . import sqltext as S
 from .registry import query
@@ -145,6 +146,16 @@ def top_hashtags(t):
     return TX.top_hashtags(noisy_documents(t))
 
 
+@query(
+    "tx16_top_hashtags_bounded",
+    f"""WITH {NOISY}, tags AS (
+  SELECT unnest(regexp_extract_all(full_text, {S.quote(P.HASHTAG)})) AS hashtag FROM noisy)
+SELECT hashtag, count(*) AS n FROM tags GROUP BY hashtag ORDER BY n DESC, hashtag LIMIT 10""",
+)
+def top_hashtags_bounded(t):
+    return HH.top_hashtags(noisy_documents(t))
+
+
 MEDIA = f"""media AS (SELECT doc_id, contains(full_text, 'pic.twitter.com') AS has_image,
   contains(lower(full_text), 'video') OR contains(lower(full_text), 'youtu') AS has_video
 FROM noisy)"""

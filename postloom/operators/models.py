@@ -76,12 +76,18 @@ def weighted_prf(df: DataFrame, y: str, predicted: str) -> DataFrame:
 
     Rows are counted once per pair of labels; the rest works on those few pairs.
     """
-    pairs = df.groupBy(F.col(y).alias("y"), F.col(predicted).alias("p")).agg(
+    return weighted_prf_by(df, y, predicted)
+
+
+def weighted_prf_by(df: DataFrame, y: str, predicted: str, *by: str) -> DataFrame:
+    """The scores of ``weighted_prf`` for each value of the ``by`` columns, in one pass."""
+    pairs = df.groupBy(*by, F.col(y).alias("y"), F.col(predicted).alias("p")).agg(
         F.count("*").alias("n")
     )
     hit = F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0)
     none = F.lit(0).cast("bigint")
     sides = pairs.select(
+        *by,
         F.inline(
             F.array(
                 F.struct(
@@ -97,9 +103,9 @@ def weighted_prf(df: DataFrame, y: str, predicted: str) -> DataFrame:
                     none.alias("hits"),
                 ),
             )
-        )
+        ),
     )
-    by_class = sides.groupBy("label").agg(
+    by_class = sides.groupBy(*by, "label").agg(
         F.sum("support").alias("support"), F.sum("given").alias("given"), F.sum("hits").alias("hits")
     )
     zero = F.lit(0.0)
@@ -110,7 +116,7 @@ def weighted_prf(df: DataFrame, y: str, predicted: str) -> DataFrame:
     def average(score):
         return F.try_divide(F.sum(score * F.col("support")), F.sum("support"))
 
-    return by_class.agg(
+    return by_class.groupBy(*by).agg(
         average(precision).alias("precision"), average(recall).alias("recall"), average(f1).alias("f1")
     )
 
