@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..config import PreprocessConfig
+from ..operators.curate import dedup_keep_first
 from ..session import shared_dir
-from ..sources import corpus, delimited, fingerprint, runlog
+from ..sources import corpus, delimited, fingerprint, runlog, split_csv
 from ..sources.delimited import NULL_WORDS
 from . import sqltext as S
 from .registry import LABELLED, POSTS, query
@@ -15,14 +16,13 @@ from .reports import METRICS, language_metrics
 NULL_LIST = ", ".join(S.quote(w) for w in NULL_WORDS)
 
 
-@query(
-    "io1_read_raw_csv",
-    f"""SELECT doc_id, CASE WHEN text NOT IN ({NULL_LIST}) THEN text END AS text,
+RAGGED = f"""SELECT doc_id, CASE WHEN text NOT IN ({NULL_LIST}) THEN text END AS text,
   CASE WHEN n_chars % 4 <> 0 THEN lang END AS lang
-FROM documents WHERE n_chars % 4 < 2""",
-)
-def read_raw_csv(t):
-    """Ragged lines: two, three, four or five fields under a three-column schema."""
+FROM documents WHERE n_chars % 4 < 2"""
+
+
+def ragged_lines(t) -> str:
+    """A folder of lines with two, three, four or five fields under a three-column schema."""
     quoted = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
     width = F.col("n_chars") % 4
     line = F.concat_ws(
@@ -35,9 +35,36 @@ def read_raw_csv(t):
     )
     path = shared_dir(t.spark, "raw")
     t.documents.select(line.alias("value")).write.text(path)
-    return delimited.read_raw_csv(
-        t.spark, path, "doc_id bigint, text string, lang string", header=False, multi_line=True
-    )
+    return path
+
+
+@query("io1_read_raw_csv", RAGGED)
+def read_raw_csv(t):
+    schema = "doc_id bigint, text string, lang string"
+    return delimited.read_raw_csv(t.spark, ragged_lines(t), schema, header=False, multi_line=True)
+
+
+@query("io1_read_split_csv", RAGGED)
+def read_split_csv(t):
+    """The same files, each read by as many tasks as it has byte ranges."""
+    return split_csv.read_split_csv(t.spark, ragged_lines(t), "doc_id bigint, text string, lang string", header=False)
+
+
+@query(
+    "cu4_dedup_file_order",
+    """SELECT arg_min(doc_id, (n_chars, doc_id)) AS doc_id, head FROM (
+  SELECT *, left(text, 12) || chr(10) || source AS head FROM documents) GROUP BY head""",
+)
+def dedup_file_order(t):
+    """Of posts with one beginning and source, the first in the files; the beginning holds a line break."""
+    head = F.concat(F.expr("left(text, 12)"), F.lit("\n"), "source")
+    rows = t.documents.select("n_chars", "doc_id", head.alias("head"))
+    quoted = F.concat(F.lit('"'), F.replace("head", F.lit('"'), F.lit('""')), F.lit('"'))
+    path = shared_dir(t.spark, "ordered")
+    ordered = rows.repartitionByRange("n_chars", "doc_id").sortWithinPartitions("n_chars", "doc_id")
+    ordered.select(F.concat_ws(",", F.col("doc_id").cast("string"), quoted).alias("value")).write.text(path)
+    found = split_csv.read_split_csv(t.spark, path, "doc_id bigint, head string", header=False, position="place")
+    return dedup_keep_first(found, "head", ["place"]).drop("place")
 
 
 @query(

@@ -38,9 +38,9 @@ def read_raw_csv(
 
     Fields are read as text, missing-value spellings become nulls, and each column is then cast to
     its declared type (a value that does not fit becomes null). A quoted field may hold line
-    breaks only with ``multi_line``, which makes each file one task: turn it on for files with such
-    fields, and store the result as Parquet once. Without it, a quote that is open at the end of
-    a line shows up as rows cut short.
+    breaks only with ``multi_line``, which makes each file one task; ``split_csv.read_split_csv``
+    reads such files by many tasks. Without either, a quote that is open at the end of a line shows
+    up as rows cut short.
     """
     declared = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     bad = "__malformed"
@@ -58,16 +58,24 @@ def read_raw_csv(
         columnNameOfCorruptRecord=bad,
         enforceSchema=True,
     )
+    return declared_columns(raw, declared, sep, bad)
+
+
+def declared_columns(
+    raw: DataFrame, declared: T.StructType, sep: str, bad: str, kept: Sequence[str] = ()
+) -> DataFrame:
+    """Rows without too many fields, their spellings of null as nulls, with the declared types.
+
+    ``bad`` has the whole record where its number of fields is not the declared one.
+    """
     # Spark reports both short and long rows as malformed; separators outside quotes tell them apart.
     bare = F.regexp_replace(bad, '"(?:[^"]|"")*+"', "")
     fields = F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) + 1
     # Spark refuses to read the malformed column alone, so the test also names a column; it adds 0.
     first = F.least(F.coalesce(F.length(declared[0].name), F.lit(0)), F.lit(0))
     fits = F.coalesce(fields, F.lit(0)) <= first + len(declared)
-    kept = nullify(raw.filter(fits).drop(bad))
-    return kept.select(
-        [F.col(f.name).try_cast(f.dataType).alias(f.name) for f in declared]
-    )
+    names = nullify(raw.filter(fits).drop(bad), cols=[f.name for f in declared])
+    return names.select(*kept, *[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in declared])
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
