@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import profile as PR
-from ..operators.curate import dedup_keep_first
-from .registry import POSTS, query
+from ..operators.curate import dedup_keep_first, keep_language
+from .registry import POSTS, query, stored
 
 
 
@@ -131,6 +131,33 @@ def null_patterns(t):
     return PR.null_patterns(marked(t))
 
 
+@query(
+    "pr6_null_matrix",
+    f"""WITH {MARKED}, numbered AS (
+  SELECT *, (row_number() OVER (ORDER BY doc_id) - 1) * 100 // count(*) OVER () AS bin FROM marked)
+"""
+    + " UNION ALL ".join(
+        f"SELECT bin::INT AS bin, '{c}' AS \"column\", round(avg(({c} IS NULL)::INT), 9) AS ratio FROM numbered GROUP BY bin"
+        for c in MARKED_COLUMNS
+    ),
+)
+def null_matrix(t):
+    return PR.null_matrix(marked(t), ["doc_id"]).withColumn("ratio", F.round("ratio", 9))
+
+
+@query(
+    "pr7_counts_on_the_way",
+    """SELECT 'read' AS stage, count(*) AS n FROM documents
+UNION ALL SELECT 'spanish', count(*) FILTER (lang = 'es') FROM documents
+UNION ALL SELECT 'distinct', count(DISTINCT text) FILTER (lang = 'es') FROM documents""",
+)
+def counts_on_the_way(t):
+    counts = PR.CountsOnTheWay()
+    spanish = counts.mark(keep_language(counts.mark(t.documents, "read")), "spanish")
+    stored(t, counts.mark(dedup_keep_first(spanish, "text", ["doc_id"]), "distinct"), "curated")
+    return counts.table(t.spark)
+
+
 @query(
     "pr7_stage_counts",
     f"""WITH {POSTS}, one AS (SELECT count(*) AS read, count(*) FILTER (lang = 'es') AS spanish,

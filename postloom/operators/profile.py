@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bounded import as_double, exact_quantiles, name_of
+from .rows import with_row_number
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -52,6 +54,37 @@ def null_patterns(df: DataFrame) -> DataFrame:
     return df.groupBy(F.concat(*marks).alias("pattern")).agg(F.count("*").alias("n"))
 
 
+def null_matrix(df: DataFrame, order_by: Sequence[str], bins: int = 100) -> DataFrame:
+    """Where nulls lie: rows in order are cut into ``bins`` equal parts; the share of nulls of each
+    part and column, as rows ``(bin, column, ratio)``."""
+    marks = {c: F.col(c).isNull() for c in df.columns}
+    flags = df.select(*[F.col(c).alias(f"__o{i}") for i, c in enumerate(order_by)], *[m.alias(f"__n{i}") for i, m in enumerate(marks.values())])
+    numbered = with_row_number(flags, [f"__o{i}" for i in range(len(order_by))], "__row")
+    total = numbered.count()
+    place = F.floor(F.col("__row") * bins / F.lit(max(1, total))).cast("int").alias("bin")
+    shares = [F.struct(F.lit(c).alias("column"), F.avg(F.col(f"__n{i}").cast("int")).alias("ratio")) for i, c in enumerate(marks)]
+    return numbered.groupBy(place).agg(F.array(*shares).alias("shares")).select("bin", F.inline("shares"))
+
+
+class CountsOnTheWay:
+    """Rows that pass marked places of a plan, counted while the plan's own result is written.
+
+    ``mark`` the stages, write the result once, then ``table`` gives the counts without another scan.
+    A stage that Spark computes again after a lost executor counts its rows again.
+    """
+
+    def __init__(self) -> None:
+        self.found: dict[str, Observation] = {}
+
+    def mark(self, df: DataFrame, stage: str) -> DataFrame:
+        self.found[stage] = Observation(f"{stage}-{uuid.uuid4().hex}")
+        return df.observe(self.found[stage], F.count(F.lit(1)).alias("n"))
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """Rows ``(stage, n)``; waits for the write."""
+        return spark.createDataFrame([(s, o.get["n"]) for s, o in self.found.items()], "stage string, n bigint")
+
+
 def stage_counts(df: DataFrame, stages: Mapping[str, Column]) -> DataFrame:
     """Rows left after each stage, all stages in one pass.
 
