@@ -1,5 +1,7 @@
 """The stages in order, each on what the one before kept."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from postloom.llm import decontaminate
 
@@ -31,3 +33,29 @@ def test_stages(spark):
 def test_run(spark):
     rows = corpus_pipeline.run(spark, FOLDER)
     assert rows.count() > 0 and rows.columns[0] == "doc_id"
+
+
+def test_rows_without_ids_and_clashing_names(spark, corpus):
+    """Rows without an id pass the stages by their texts alone; columns of the operators' names stay as they are."""
+    extra = {c: F.lit("mine") for c in ("doc", "t1", "first", "n", "contamination", "ids", "score")}
+    names = list(extra)
+    docs = corpus.withColumns(extra)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs.count()
+        result = stage(spark, docs, FOLDER)
+        assert result.columns == docs.columns
+        docs = spark.createDataFrame(result.collect(), result.schema)
+        assert 0 < docs.count() <= before, name
+    kept = docs.collect()
+    assert {tuple(r[c] for c in names) for r in kept} == {("mine",) * len(names)}
+    # One row has no id; it is kept, as no other text is near it.
+    assert [r.doc_id for r in kept].count(None) == 1
+    assert len({r.text for r in kept}) == len(kept)
+
+
+def test_nothing_to_do(spark, nothing):
+    docs = nothing
+    for _, stage in corpus_pipeline.STAGES:
+        result = stage(spark, docs, FOLDER)
+        assert result.count() == 0
+        docs = result if "text" in result.columns else docs
