@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MEMORY = 10  # steps that the quasi-Newton method remembers
-MAX_STEPS = 500
+MAX_STEPS = 100
 
 
 def entries(vectors: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
