@@ -130,7 +130,7 @@ def labelled_vectors(t):
 def _fitted(t, kind: str):
     """A model of the vectors in the train part, and all vectors."""
     rows = stored(t, labelled_vectors(t), "vectors")
-    fit_rows, _ = hash_split(rows, "vec_id")
+    fit_rows, _ = ML.in_fit_tasks(hash_split(rows, "vec_id")[0])
     return ML.train(fit_rows, kind, "label", classes=VECTOR_CLASSES, tol=1e-7 if kind == "lr" else 1e-4), rows
 
 

@@ -16,6 +16,8 @@ from .svm import fit_planes
 
 KINDS = ("nb", "lr", "svm")
 NAMES = {"nb": "NaiveBayes", "lr": "LogisticRegression", "svm": "SVM"}
+# Bytes of vectors that one task of a fit reads in every step; below that a step costs more to start than to run.
+FIT_TASK_BYTES = 16 * 1024 * 1024
 
 
 def known_labels(df: DataFrame, label: str, classes: Sequence[str] = CLASSES) -> DataFrame:
@@ -23,6 +25,20 @@ def known_labels(df: DataFrame, label: str, classes: Sequence[str] = CLASSES) ->
     return df.filter(F.col(label).isin(*classes))
 
 
+def in_fit_tasks(
+    rows: DataFrame, features: str = "features", task_bytes: int = FIT_TASK_BYTES
+) -> tuple[DataFrame, int]:
+    """Stored rows in no more tasks than their measured size asks for, and their number.
+
+    A fit runs a job per step. Small rows in one task need no shuffle to be added up; rows above
+    ``task_bytes`` keep one task for each, so large fits stay spread.
+    """
+    vector = F.unwrap_udt(features)
+    size = 16 + 8 * F.size(vector["values"]) + 4 * F.coalesce(F.size(vector["indices"]), F.lit(0))
+    found = rows.agg(F.count("*").alias("n"), F.sum(size).alias("bytes")).first()
+    return rows.coalesce(max(1, -(-(found["bytes"] or 0) // task_bytes))), found["n"]
+
+
 def train(
     df: DataFrame,
     kind: str,
@@ -145,7 +161,7 @@ def compare_models(
             rows.write.parquet(path)
             parts.append(spark.read.schema(rows.schema).parquet(path))
         fit_rows, test_rows = parts
-        n_rows = fit_rows.count()
+        fit_rows, n_rows = in_fit_tasks(fit_rows)
         scores = []
         for kind in kinds:
             name = f"{NAMES[kind]}_{suffix}" if suffix else NAMES[kind]

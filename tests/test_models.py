@@ -104,6 +104,16 @@ def test_models_learn(spark, posts, kind, tmp_path):
     assert ML.weighted_prf(found, "label_sentiment", "predicted").first()["f1"] > 0.95
 
 
+def test_fits_take_the_tasks_their_size_asks_for(spark, posts, tmp_path):
+    FE.with_tfidf(posts, FE.fit_tfidf(posts)).select("features").repartition(6).write.parquet(str(tmp_path / "f"))
+    rows = spark.read.parquet(str(tmp_path / "f"))
+    one, n = ML.in_fit_tasks(rows)
+    assert one.rdd.getNumPartitions() == 1 and n == one.count() == posts.count()
+    many, _ = ML.in_fit_tasks(rows, task_bytes=100)
+    assert many.rdd.getNumPartitions() == rows.rdd.getNumPartitions()
+    assert ML.in_fit_tasks(rows.limit(0))[1] == 0
+
+
 def test_prf_equals_spark(spark):
     rng = random.Random(5)
     rows = [(rng.choice("abc"), rng.choice("abcd")) for _ in range(200)]
