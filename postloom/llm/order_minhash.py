@@ -1,17 +1,19 @@
 """Order MinHash fingerprints: similar for texts of small edit distance, not merely of equal content.
 
-A text is cut into words (long words into 16-byte parts), and every run of ``k`` words is a k-mer,
-numbered by its occurrence in the text. A hash deals the numbered k-mers into ``bins`` bins; in each
-bin the ``keep`` smallest are selected, put back into text order, and hashed as a tuple. Two
-fingerprints' likeness is the share of bins with equal tuples, among bins filled in either.
+A text is cut into words, long words into parts where a hash of the last bytes says so, and every run
+of ``k`` words is a k-mer, numbered by its occurrence in the text. Each of ``size`` hash functions
+selects the ``keep`` smallest numbered k-mers of the whole text; they are put back into text order and
+hashed as a tuple. Two fingerprints' likeness is the share of hash functions with equal tuples.
 
-``with_next`` puts every document beside the next one by id without sorting the table in one
-task: ids are cut into ranges at quantiles, each range is one task, and the first document of each
-range is sent to the range before it as well. Texts are shuffled once.
+``by_range`` puts every document beside the next one by id without sorting the table in one task: ids
+are cut into ranges at quantiles, each range is one task, and the first document of each range is
+sent to the range before it as well. An id that fills several ranges, as a null id may, is cut by the
+hashes of its texts. Texts are shuffled once.
 
 Defined cases: null texts are empty; empty texts have equal fingerprints and likeness 1 with each
 other, 0 with others; fewer than ``k`` words are one k-mer; null ids come last in the order;
-documents of equal id are ordered by text; a single document is followed by itself.
+documents of equal id are ordered by their text's ``xxhash64``, then by text; a single document is
+followed by itself.
 """
 
 from __future__ import annotations
@@ -28,27 +30,46 @@ from .flat import NOT_SPACE, SLICE_BYTES, Sums, Words, byte_sums, mixed
 
 K = 2
 KEEP = 2
-BINS = 64
+SIZE = 64
+#: Longer words are cut after bytes whose last ``CUT_BYTES`` hash to 0 modulo ``CUT_EVERY``, and at most
+#: ``MOST_BYTES`` after the last cut: an edit moves only the cuts near it.
 PART_BYTES = 16
+CUT_BYTES = 4
+CUT_EVERY = 8
+MOST_BYTES = 64
 RANGE_BYTES = 16 << 20
 #: Quantiles that one sketch gives well; with more bytes the ranges grow, and are sorted and streamed.
 MAX_RANGES = 20_000
 NO_ID = 2**63 - 1
 _EMPTY = 0
+_LAST = np.uint64(2**64 - 1)
+
+
+def _parts(data: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Byte ranges of the words, long ones cut by content."""
+    long = words.end - words.start > PART_BYTES
+    if not long.any():
+        return words.start, words.end
+    code = np.zeros(len(data) - CUT_BYTES, np.uint64)
+    for i in range(CUT_BYTES):
+        code |= data[i : i + len(code)].astype(np.uint64) << np.uint64(8 * i)
+    first = np.flatnonzero(mixed(code) % np.uint64(CUT_EVERY) == 0)
+    of = np.searchsorted(words.start, first, "right") - 1
+    inside = (of >= 0) & long[of] & (first + CUT_BYTES < words.end[of])
+    start = np.union1d(words.start, first[inside] + CUT_BYTES)
+    end = np.minimum(np.append(start[1:], len(data)), words.end[np.searchsorted(words.start, start, "right") - 1])
+    pieces = np.maximum(1, -(-(end - start) // MOST_BYTES))
+    before = pieces.cumsum() - pieces
+    step = (np.arange(pieces.sum()) - np.repeat(before, pieces)) * MOST_BYTES
+    start = np.repeat(start, pieces) + step
+    return start, np.minimum(start + MOST_BYTES, np.repeat(end, pieces))
 
 
 def _kmers(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the k-mers of rows, one row after another, and where rows begin."""
     words = Words(data, offsets, NOT_SPACE)
-    size = words.end - words.start
-    start, end, rows = words.start, words.end, words.rows
-    if len(size) and size.max() > PART_BYTES:
-        parts = -(-size // PART_BYTES)
-        total = np.concatenate([[0], parts.cumsum()])
-        step = (np.arange(total[-1]) - np.repeat(total[:-1], parts)) * PART_BYTES
-        start = np.repeat(words.start, parts) + step
-        end = np.minimum(start + PART_BYTES, np.repeat(words.end, parts))
-        rows = total[words.rows]
+    start, end = _parts(data, words)
+    rows = np.searchsorted(start, offsets)
     sums = Sums(byte_sums(data).spans(start, end), 1)
     words_in = np.diff(rows)
     count = np.where(words_in >= k, words_in - k + 1, np.minimum(words_in, 1))
@@ -70,39 +91,44 @@ def _numbered(kmers: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return mixed(kmers + number * np.uint64(0x9E3779B97F4A7C15))
 
 
-def fingerprints(data: np.ndarray, offsets: np.ndarray, k: int = K, keep: int = KEEP, bins: int = BINS) -> np.ndarray:
-    """One row of ``bins`` 16-bit signatures per text; 0 marks an empty bin."""
+def _functions(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fixed masks and odd factors: ``(x ^ mask) * factor`` orders 64-bit hashes anew for each of them."""
+    drawn = np.random.default_rng(11).integers(0, 2**64, (2, size), np.uint64)
+    return drawn[0], drawn[1] | np.uint64(1)
+
+
+def fingerprints(data: np.ndarray, offsets: np.ndarray, k: int = K, keep: int = KEEP, size: int = SIZE) -> np.ndarray:
+    """One row of ``size`` 16-bit signatures per text; a text without words has zeros."""
     kmers, bounds = _kmers(data, offsets, k)
-    count = len(offsets) - 1
-    out = np.full((count, bins), _EMPTY, np.uint16)
+    out = np.full((len(offsets) - 1, size), _EMPTY, np.uint16)
     if not len(kmers):
         return out
-    row = np.repeat(np.arange(count), np.diff(bounds))
-    hashes = _numbered(kmers, row)
-    group = row * bins + (hashes % np.uint64(bins)).astype(np.int64)
-    # Smallest hashes first in each bin: 40 bits of hash below the group's number.
-    rest = hashes >> np.uint64(24)
-    order = np.argsort(rest, kind="stable")
-    order = order[np.argsort(group[order], kind="stable")]
-    sizes = np.bincount(group, minlength=count * bins)
-    rank = np.arange(len(order)) - (sizes.cumsum() - sizes)[group[order]]
-    chosen = order[rank < keep]
-    # Back to text order within the bin, then one hash of the tuple.
-    chosen.sort()
-    chosen = chosen[np.argsort(group[chosen], kind="stable")]
-    own = group[chosen]
-    taken = np.minimum(sizes, keep)
-    place = np.arange(len(chosen)) - (taken.cumsum() - taken)[own]
+    count = np.diff(bounds)
+    filled = np.flatnonzero(count)
+    begin, row = bounds[filled], np.repeat(np.arange(len(filled)), count[filled])
+    numbered, plain = _numbered(kmers, row), mixed(kmers)
     weight = np.array([pow(0xD1342543DE82EF95, i + 1, 2**64) for i in range(keep)], np.uint64)
-    part = mixed(hashes[chosen]) * weight[place]
-    begin = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-    signature = (mixed(np.add.reduceat(part, begin)) >> np.uint64(48)).astype(np.uint16)
-    out.ravel()[own[begin]] = np.maximum(signature, 1)
+    for at, (mask, factor) in enumerate(zip(*_functions(size), strict=True)):
+        order = (numbered ^ mask) * factor
+        taken = np.empty((keep, len(filled)), np.int64)
+        for i in range(keep):
+            least = np.minimum.reduceat(order, begin)
+            place = np.flatnonzero(order == least[row])
+            if len(place) > len(filled):  # equal hashes in a row: the first one
+                place = place[np.unique(row[place], return_index=True)[1]]
+            taken[i] = place
+            order[place] = _LAST
+        # Back to text order; rows with fewer k-mers than ``keep`` have one several times, which counts once.
+        taken.sort(axis=0)
+        tuples = plain[taken] * weight[:, None]
+        tuples[1:][taken[1:] == taken[:-1]] = 0
+        signature = (mixed(tuples.sum(axis=0, dtype=np.uint64)) >> np.uint64(48)).astype(np.uint16)
+        out[filled, at] = np.maximum(signature, 1)
     return out
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Share of bins with equal signatures, row by row, among bins filled in either."""
+    """Share of hash functions with equal signatures, row by row; two texts without words are equal."""
     filled = ((a != _EMPTY) | (b != _EMPTY)).sum(1)
     same = ((a == b) & (a != _EMPTY)).sum(1)
     return np.where(filled > 0, same / np.maximum(filled, 1), 1.0)
@@ -124,55 +150,76 @@ def _of(texts: list[bytes]) -> np.ndarray:
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in own])]).astype(np.int64)
         parts.append(fingerprints(np.frombuffer(b"".join(own), np.uint8), offsets))
         at = upto
-    return np.concatenate(parts) if parts else np.zeros((0, BINS), np.uint16)
+    return np.concatenate(parts) if parts else np.zeros((0, SIZE), np.uint16)
+
+
+class Ranges:
+    """Ranges of rows ordered by ``(id, hash)``; an id that is several cuts at once is cut by its hashes."""
+
+    def __init__(self, cuts: list[int]) -> None:
+        self.ids, self.times = np.unique(np.array(cuts, np.int64), return_counts=True)
+        self.before = np.concatenate([[0], self.times.cumsum()])
+
+    def __len__(self) -> int:
+        return int(self.before[-1]) + 1
+
+    def of(self, ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The range of each row: as many cuts lie before it."""
+        at = np.searchsorted(self.ids, ids, "left")
+        out = self.before[at].copy()
+        for cut in np.unique(at[at < len(self.ids)]):
+            times = int(self.times[cut])
+            if times > 1:
+                own = (at == cut) & (ids == self.ids[cut])
+                edges = [-(2**63) + 2**64 * i // times for i in range(1, times)]
+                out[own] += np.searchsorted(np.array(edges, np.int64), hashes[own], "right")
+        return out.astype(np.int32)
 
 
 def by_range(docs: DataFrame, id_col: str, text_col: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """``(id, text, ahead)`` in ranges of ids, one task each, sorted; rows with ``ahead`` are copies
     of the document that follows the range's last one."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
-        F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
+        F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("hash"), text.alias("text")
     )
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = min(max(1, -(-total // range_bytes)), MAX_RANGES)
     cuts = []
     if ranges > 1:
         shares = [i / ranges for i in range(1, ranges)]
-        cuts = sorted(set(rows.agg(F.percentile_approx("id", shares, 100 * ranges)).first()[0]))
-    edges = rows.sparkSession.sparkContext.broadcast(np.array(cuts, np.int64))
+        cuts = rows.agg(F.percentile_approx("id", shares, 100 * ranges)).first()[0] or []
+    edges = rows.sparkSession.sparkContext.broadcast(cuts)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Ranges(edges.value)
         for batch in batches:
-            at = np.searchsorted(edges.value, batch.column(0).to_numpy(), "left")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int32())], names=["id", "range"])
+            at = known.of(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at)], names=["id", "hash", "range"])
 
-    ids = rows.select("id").mapInArrow(number, "id bigint, range int")
-    heads = ids.groupBy("range").agg(F.min("id").alias("id")).orderBy("range").collect()  # one row per range
-    first = np.array([h["id"] for h in heads], np.int64)
-    filled = np.array([h["range"] for h in heads], np.int32)
-    known = rows.sparkSession.sparkContext.broadcast((first, filled))
+    keys = rows.select("id", "hash").mapInArrow(number, "id bigint, hash bigint, range int")
+    heads = keys.groupBy("range").agg(F.min(F.struct("id", "hash")).alias("head")).orderBy("range").collect()  # one row per range
+    before = {(h["head"]["id"], h["head"]["hash"]): heads[i - 1]["range"] for i, h in enumerate(heads)}  # the first follows the last
+    known_heads = rows.sparkSession.sparkContext.broadcast(before)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads_of, ranges_of = known.value
-        names = ["id", "text", "range", "ahead"]
+        known, heads_of = Ranges(edges.value), known_heads.value
+        head_hashes = np.array(sorted(h for _, h in heads_of), np.int64)
+        names = ["id", "hash", "text", "range", "ahead"]
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            at = np.searchsorted(edges.value, ids, "left")
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(at, pa.int32()), pa.array(np.zeros(len(ids), bool))], names=names
-            )
-            head = np.flatnonzero(np.isin(ids, heads_of))
-            if len(head):
-                which = np.searchsorted(heads_of, ids[head])
-                before = ranges_of[which - 1]  # the first range's head follows the last range
-                yield pa.RecordBatch.from_arrays(
-                    [*(c.take(pa.array(head)) for c in batch.columns), pa.array(before, pa.int32()), pa.array(np.ones(len(head), bool))],
-                    names=names,
-                )
-
-    dealt = rows.mapInArrow(deal, "id bigint, text string, range int, ahead boolean")
-    placed = dealt.repartitionById(len(cuts) + 1, F.col("range"))
-    return placed.sortWithinPartitions("ahead", "id", "text").select("id", "text", "ahead")
+            ids, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            at = known.of(ids, hashes)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at), pa.array(np.zeros(len(ids), bool))], names=names)
+            maybe = np.flatnonzero(np.isin(hashes, head_hashes))
+            head = [i for i in maybe.tolist() if (int(ids[i]), int(hashes[i])) in heads_of]
+            if head:
+                to = [heads_of[int(ids[i]), int(hashes[i])] for i in head]
+                copies = (c.take(pa.array(head)) for c in batch.columns)
+                yield pa.RecordBatch.from_arrays([*copies, pa.array(to, pa.int32()), pa.array(np.ones(len(head), bool))], names=names)
+
+    dealt = rows.mapInArrow(deal, "id bigint, hash bigint, text string, range int, ahead boolean")
+    placed = dealt.repartitionById(len(Ranges(cuts)), F.col("range"))
+    return placed.sortWithinPartitions("ahead", "id", "hash", "text").select("id", "text", "ahead")
 
 
 def edited(text: str, following: str) -> str:

@@ -144,20 +144,70 @@ def test_widely_copied_values(spark):
 
 
 def test_fingerprints(spark, corpus):
-    rows = [r for r in corpus.collect() if r.doc_id is not None]
-    docs = spark.createDataFrame([(r.doc_id, r.text) for r in rows], "doc_id bigint, text string").dropDuplicates(["doc_id"])
+    more = [(None, " ".join(prose(50 + i, 40))) for i in range(60)] + [(None, None), (3, "another three"), (3, "a third three")]
+    docs = corpus.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id bigint, text string"))
+    docs = docs.withColumn("range", F.lit(1)).withColumn("hash", F.lit("x")).repartition(3)
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    order = sorted((r.doc_id is None, r.doc_id or 0, r.h, r.text) for r in keyed.collect())
+    want = Counter()
+    for at, (no_id, i, _, text) in enumerate(order):
+        half, after = len(text) // 2, order[(at + 1) % len(order)][3]
+        changed = text[: len(text) - half] + after[:half]
+        a, b, c = (order_minhash_plain(t) for t in (text, changed, after))
+        near = [1.0 if not any(x + y) else sum(p == q for p, q in zip(x, y)) / len(x) for x, y in ((a, b), (a, c))]
+        sha = hashlib.sha256(changed.encode()).hexdigest()
+        want[None if no_id else i, len(text), sha, "".join(f"{x:04x}" for x in a), *near] += 1
     for size in (500, 10**7):
-        got = {r.doc_id: r for r in order_minhash_report(docs, size).collect()}
-        order = sorted((r.doc_id, r.text or "") for r in docs.collect())
-        assert len(got) == len(order)
-        for at, (i, text) in enumerate(order):
-            half = len(text) // 2
-            changed = text[: len(text) - half] + order[(at + 1) % len(order)][1][:half]
-            assert got[i].n_chars == len(text)
-            assert got[i].edited_sha256 == hashlib.sha256(changed.encode()).hexdigest()
-            assert 0 <= got[i].near_edited <= 1
-        assert got[0].fingerprint == got[1].fingerprint and got[0].near_next == 1.0
-        assert got[2].near_next < 0.3
+        got = order_minhash_report(docs, size).collect()
+        assert Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.near_edited, r.near_next) for r in got) == want
+
+
+def order_minhash_plain(text):
+    """The signatures of a text, one k-mer at a time."""
+    m = order_minhash
+    mix = lambda x: int(m.mixed(np.array([x % 2**64], np.uint64))[0])
+    data = np.frombuffer(text.encode(), np.uint8)
+    kmers = m._kmers(data, np.array([0, len(data)]), m.K)[0].tolist()
+    if not kmers:
+        return [0] * m.SIZE
+    seen, numbered = Counter(), []
+    for x in kmers:
+        numbered.append(mix(x + seen[x] * 0x9E3779B97F4A7C15))
+        seen[x] += 1
+    out = []
+    for mask, factor in zip(*(f.tolist() for f in m._functions(m.SIZE))):
+        ranked = sorted(range(len(kmers)), key=lambda i: (numbered[i] ^ mask) * factor % 2**64)
+        total = sum(mix(kmers[i]) * pow(0xD1342543DE82EF95, n + 1, 2**64) for n, i in enumerate(sorted(ranked[: m.KEEP])))
+        out.append(max(1, mix(total) >> 48))
+    return out
+
+
+def test_ranges_of_hot_ids():
+    ranges = order_minhash.Ranges([5, 9, 9, 9, 9, 12])
+    hashes = np.random.default_rng(4).integers(-(2**63), 2**63, 4000)
+    at = ranges.of(np.full(4000, 9), hashes)
+    assert len(ranges) == 7 and set(at.tolist()) == {1, 2, 3, 4} and np.bincount(at).max() < 1200
+    assert (np.diff(at[np.argsort(hashes)]) >= 0).all()
+    zero = np.zeros(6, np.int64)
+    assert ranges.of(np.array([1, 5, 6, 10, 12, 13]), zero).tolist() == [0, 0, 1, 5, 5, 6]
+
+
+def test_an_edit_of_a_text_without_blanks_stays_local():
+    rng = random.Random(6)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(3000))
+    chinese = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(1000))
+    for t in (text, chinese):
+        others = ["!" + t, t[:1500] + t[1501:], t[::-1]]
+        prints = order_minhash._of([x.encode() for x in (t, *others)])
+        near = [order_minhash.likeness(prints[:1], prints[i : i + 1])[0] for i in (1, 2, 3)]
+        assert near[0] > 0.9 and near[1] > 0.9 and near[2] < 0.1
+
+
+def test_short_texts_keep_order():
+    words = prose(12, 20)
+    swapped = words[10:] + words[:10]
+    prints = order_minhash._of([" ".join(x).encode() for x in (words, swapped, words[:19])])
+    assert order_minhash.likeness(prints[:1], prints[1:2])[0] < 0.8 < order_minhash.likeness(prints[:1], prints[2:])[0]
 
 
 def order_minhash_report(docs, size):
