@@ -8,6 +8,7 @@ from ..operators import features as FE
 from ..operators import heavy as HH
 from ..operators import models as ML
 from ..operators import text as TX
+from ..operators.once import once_per_text
 from ..operators.sample import hash_split
 from ..plans import train as TR
 from ..session import shared_dir
@@ -98,26 +99,40 @@ def _long(rows):
     return listed.filter("value <> 0").select("doc_id", F.col("i").cast("bigint"), ratio.alias("twelfths"))
 
 
-@query(
-    "fe4_encode_a",
-    f"WITH {CLEAN}, "
-    + _encoded_sql(f"SELECT doc_id, unnest({S.tokens_sql('clean_text')}) AS w FROM cleaned", 256),
+WORDS_SQL = f"WITH {CLEAN}, " + _encoded_sql(
+    f"SELECT doc_id, unnest({S.tokens_sql('clean_text')}) AS w FROM cleaned", 256
+)
+TRIGRAMS_SQL = f"WITH {CLEAN}, padded AS (SELECT doc_id, '  ' || clean_text || ' ' AS p FROM cleaned), " + _encoded_sql(
+    "SELECT doc_id, substr(p, i, 3) AS w FROM padded, unnest(range(1, length(p) - 1)) AS r(i)", 128
 )
+
+
+@query("fe4_encode_a", WORDS_SQL)
 def encode_a(t):
     return _long(FE.encode(clean_documents(t), FE.hashing_encoder()))
 
 
-@query(
-    "fe5_encode_b",
-    f"WITH {CLEAN}, padded AS (SELECT doc_id, '  ' || clean_text || ' ' AS p FROM cleaned), "
-    + _encoded_sql(
-        "SELECT doc_id, substr(p, i, 3) AS w FROM padded, unnest(range(1, length(p) - 1)) AS r(i)", 128
-    ),
-)
+@query("fe5_encode_b", TRIGRAMS_SQL)
 def encode_b(t):
     return _long(FE.encode(clean_documents(t), FE.model_encoder(FE.trigram_model())))
 
 
+def _encoded_once(t, encoder):
+    """Clean texts are stored, as the distinct ones and the join back both read them."""
+    clean = stored(t, clean_documents(t).select("doc_id", "clean_text"), "clean")
+    return _long(once_per_text(clean, "clean_text", lambda rows: FE.encode(rows, encoder)))
+
+
+@query("fe4_encode_a_once", WORDS_SQL)
+def encode_a_once(t):
+    return _encoded_once(t, FE.hashing_encoder())
+
+
+@query("fe5_encode_b_once", TRIGRAMS_SQL)
+def encode_b_once(t):
+    return _encoded_once(t, FE.model_encoder(FE.trigram_model()))
+
+
 VECTOR_CLASSES = tuple(f"c{i}" for i in range(10))
 
 
