@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable, Mapping, Sequence
+from urllib.parse import quote
 
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.feature import IndexToString, StringIndexerModel
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import CLASSES
@@ -186,3 +190,30 @@ def save_model(model: Model, path: str) -> None:
 
 def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
+
+
+def commit_model(model: Model, folder: str, run: str) -> None:
+    """Save the model of a run so that a reader sees a whole model or none.
+
+    Each attempt saves to a folder of its own; a small table that names the attempt is written last.
+    A repeated run replaces the name, so the run has one model; a failed attempt is never named.
+    """
+    spark = SparkSession.getActiveSession()
+    base, attempt = f"{folder}/run={quote(run, safe='')}", f"attempt-{uuid.uuid4().hex}"
+    model.write().save(f"{base}/{attempt}")
+    named = spark.createDataFrame([(time.time_ns(), attempt)], "at bigint, attempt string").coalesce(1)
+    named.write.mode("append").parquet(f"{base}/committed")
+
+
+def committed_model(folder: str, run: str) -> PipelineModel:
+    """The model that the run committed last; ``ValueError`` if it never did."""
+    spark = SparkSession.getActiveSession()
+    base = f"{folder}/run={quote(run, safe='')}"
+    try:
+        named = spark.read.schema("at bigint, attempt string").parquet(f"{base}/committed")
+        last = named.agg(F.max_by("attempt", "at")).first()[0]
+    except AnalysisException:  # no such folder
+        last = None
+    if last is None:
+        raise ValueError(f"run {run!r} committed no model in {folder}")
+    return load_model(f"{base}/{last}")

@@ -61,16 +61,18 @@ def run(
     lemmas: DataFrame | None = None,
     key: str = "tweet_id_hashed",
     annotators: Mapping[str, label.Annotator] | None = None,
+    run_id: str | None = None,
 ) -> DataFrame:
     """Store the processed corpus once as Parquet; the JSON Lines corpus, the log, the samples and the
-    agreement come from the stored rows. Returns those."""
+    agreement come from the stored rows. Returns those. A run that is repeated under the same ``run_id``
+    replaces its own log lines; without one, lines are appended."""
     spark = df.sparkSession
     path = shared_dir(spark, "processed")
     planned = preprocess(df, config, lemmas, key, annotators)
     planned.write.parquet(path)
     stored = spark.read.schema(planned.schema).parquet(path)
     corpus.write_corpus(stored, outputs.corpus)
-    runlog.append_log(runlog.run_log(stored, config), outputs.log)
+    runlog.append_log(runlog.run_log(stored, config), outputs.log, run_id, "run")
     drawn = sample.sample_n(stored, config.sample_size, config.seed, key)
     delimited.write_table_csv(drawn, outputs.sample)
     if config.label_strategy.lower() != "none":
@@ -80,7 +82,7 @@ def run(
         report = agreement.kappa_report(
             stored, "label_sentiment", "label_secondary", config.seed, note=True
         )
-        runlog.append_log(runlog.kappa_log(report), outputs.log)
+        runlog.append_log(runlog.kappa_log(report), outputs.log, run_id, "kappa")
         if outputs.kappa is not None:
             delimited.write_table_csv(report, outputs.kappa)
     return stored

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,7 +47,15 @@ def experiment_log(spark, entries: Mapping[str, object]) -> DataFrame:
     )
 
 
-def append_log(log: DataFrame, path: str) -> None:
-    """Add the rows of a log as ``key: value`` lines to a log folder."""
+def append_log(log: DataFrame, path: str, run: str | None = None, part: str = "log") -> None:
+    """Add the rows of a log as ``key: value`` lines to a log folder.
+
+    With ``run``, the lines stand in a folder of that run and part, which a repeated run replaces: a
+    run that is started again after a failure leaves its lines once. Without it, lines are appended.
+    """
     line = F.concat(F.col("key"), F.lit(": "), F.coalesce("value", F.lit("")))
-    log.select(line.alias("value")).coalesce(1).write.mode("append").text(path)
+    lines = log.select(line.alias("value")).coalesce(1)
+    if run is None:
+        lines.write.mode("append").text(path)
+    else:
+        lines.write.mode("overwrite").text(f"{path}/run={quote(run, safe='')}/part={quote(part, safe='')}")
