@@ -2,40 +2,15 @@
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterable, Mapping
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..config import COMPOUND_NAMES
 from . import patterns as P
 from .emoji import EMOJI_WORDS, map_emoji, remove_emoji
-
-# Characters that NFKC leaves alone in any order: ASCII, most Latin letters, Cyrillic, kana,
-# common CJK, plain punctuation and pictographs. A text made of these needs no Python.
-NFKC_STABLE = (
-    r"\x{0}-\x{7F}"
-    r"[\x{A1}-\x{A7}\x{A9}\x{AB}-\x{AE}\x{B0}\x{B1}\x{B6}\x{B7}\x{BB}\x{BF}"
-    r"\x{C0}-\x{131}\x{134}-\x{13E}\x{141}-\x{148}\x{14A}-\x{17E}\x{180}-\x{1C3}"
-    r"\x{1CD}-\x{1F0}\x{1F4}-\x{2AF}\x{400}-\x{482}\x{48A}-\x{52F}"
-    r"\x{2010}\x{2012}-\x{2016}\x{2018}-\x{2023}\x{20A0}-\x{20A7}\x{20A9}-\x{20C0}"
-    r"\x{2600}-\x{27BF}\x{3041}-\x{3096}\x{30A1}-\x{30FA}\x{4E00}-\x{9FFF}"
-    r"\x{FE0F}\x{FFFD}\x{1F300}-\x{1FAFF}]"
-)
-
-
-@F.pandas_udf(T.StringType())
-def _nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
-
-
-def nfkc(text: Column) -> Column:
-    """Unicode NFKC. Spark has no built-in, so only texts that may change go to Python."""
-    changing = F.when(text.rlike(f"[^{NFKC_STABLE}]"), text)
-    return F.coalesce(_nfkc(changing), text)
+from .nfkc import NFKC_STABLE, nfkc  # noqa: F401
 
 
 def strip_urls(text: Column) -> Column:
