@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from ..config import CLASSES, REPORT_STOPWORDS
@@ -11,10 +13,11 @@ from ..operators import models as ML
 from ..operators import report as RP
 from ..operators import text as TX
 from ..operators.curate import filter_posts
-from ..plans.report import load_report_inputs
+from ..plans.report import load_report_inputs, load_stored_inputs, store_report_inputs
 from ..session import shared_dir
 from ..sources.corpus import with_epoch_times, write_corpus
 from ..sources.delimited import write_table_csv
+from ..sources.post_store import read_posts, write_posts
 from ..streaming.activity import read_activity, run_activity, stream_activity
 from . import sqltext as S
 from .registry import LABELLED, query
@@ -166,6 +169,37 @@ def top_posts(t):
     return RP.top_posts(t.labelled, "negativo")
 
 
+def post_store(t) -> str:
+    """All labelled posts, stored by language and day."""
+    path = shared_dir(t.spark, "posts")
+    write_posts(t.labelled, path)
+    return path
+
+
+@query(
+    "rp7_top_sources_stored",
+    f"""WITH {LABELLED} SELECT source, count(*) AS n FROM labelled
+WHERE label_sentiment IN ('positivo', 'negativo') AND hour(created_at) BETWEEN 0 AND 12
+GROUP BY source ORDER BY n DESC, source LIMIT 7""",
+)
+def top_sources_stored(t):
+    labels = ["positivo", "negativo"]
+    rows = read_posts(t.spark, post_store(t), t.labelled.schema, labels=labels)
+    return RP.top_values(filter_posts(rows, labels, 0, 12))
+
+
+@query(
+    "rp8_top_posts_stored",
+    f"""WITH {LABELLED} SELECT id,
+  CASE WHEN length(full_text) > 220 THEN left(full_text, 220) || '...' ELSE full_text END AS full_text,
+  retweet_count, favorite_count, label_confidence,
+  round_even(label_confidence * 100, 0)::INT || '%' AS confidence_pct
+FROM labelled WHERE label_sentiment = 'negativo' ORDER BY retweet_count DESC, id LIMIT 5""",
+)
+def top_posts_stored(t):
+    return RP.top_posts(read_posts(t.spark, post_store(t), t.labelled.schema, labels=["negativo"]), "negativo")
+
+
 # Metrics of two predictions per language: either annotator judged by the other one.
 METRICS = """pairs AS (SELECT lang, k, y, p, count(*) AS n FROM (
   SELECT lang, 'x' AS k, label_sentiment AS y, label_secondary AS p FROM labelled UNION ALL
@@ -219,6 +253,23 @@ def explore(t):
     return _spelled(RP.explore(rows, ["created_at", "id"]))
 
 
+@query(
+    "rp11_explore_stored",
+    f"""WITH {LABELLED} SELECT strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, full_text,
+  label_sentiment, label_confidence, label_secondary, label_conf_secondary, retweet_count,
+  favorite_count, source
+FROM labelled WHERE lang IN ('en', 'es') AND label_sentiment IN ('positivo', 'neutro')
+  AND created_at::DATE BETWEEN '2024-01-01' AND '2024-01-02' AND hour(created_at) BETWEEN 6 AND 18
+ORDER BY labelled.created_at, id""",
+)
+def explore_stored(t):
+    """All posts of two languages, two labels, two days and some hours, as the explorer asks for them."""
+    first, labels = datetime.date(2024, 1, 1), ["positivo", "neutro"]
+    last = first + datetime.timedelta(days=1)
+    rows = read_posts(t.spark, post_store(t), t.labelled.schema, ["en", "es"], first, last, labels)
+    return _spelled(RP.explore(filter_posts(rows, labels, 6, 18), ["created_at", "id"], None))
+
+
 @query(
     "rp12_load_report_inputs",
     f"""WITH {LABELLED}, {METRICS}, tables AS (
@@ -249,3 +300,28 @@ def report_inputs(t):
         inputs.base_metrics.agg(F.count("*")).scalar().alias("base_models"),
         F.round(inputs.embedding_metrics.agg(F.max("f1")).scalar(), 6).alias("best_embedding"),
     )
+
+
+@query(
+    "rp12_stored_report_inputs",
+    f"""WITH {LABELLED}, {METRICS} SELECT label_sentiment, label_secondary, lang, count(*) AS n,
+  strftime(max(created_at), '%Y-%m-%d %H:%M:%S') AS last_post,
+  (SELECT count(*) FROM metrics WHERE k = 'x') AS base_models,
+  (SELECT count(*) FROM metrics WHERE k = 'y') AS embedding_models
+FROM labelled WHERE full_text IS NOT NULL GROUP BY label_sentiment, label_secondary, lang""",
+)
+def stored_report_inputs(t):
+    """The corpus is parsed once, its store feeds the report."""
+    folder = shared_dir(t.spark, "report")
+    write_corpus(with_epoch_times(t.labelled), f"{folder}/corpus")
+    write_table_csv(language_metrics(t, "x"), f"{folder}/base")
+    write_table_csv(language_metrics(t, "y"), f"{folder}/embedded")
+    schema = t.labelled.schema.simpleString()[7:-1].replace("timestamp_ntz", "string").replace(":", " ")
+    store_report_inputs(t.spark, f"{folder}/corpus", f"{folder}/store", schema)
+    inputs = load_stored_inputs(t.spark, f"{folder}/store", f"{folder}/base", f"{folder}/embedded")
+    return inputs.posts.filter("full_text IS NOT NULL").groupBy("label_sentiment", "label_secondary", "lang").agg(
+        F.count("*").alias("n"),
+        F.date_format(F.max("created_at"), "yyyy-MM-dd HH:mm:ss").alias("last_post"),
+        inputs.base_metrics.agg(F.count("*")).scalar().alias("base_models"),
+        inputs.embedding_metrics.agg(F.count("*")).scalar().alias("embedding_models"),
+    )
