@@ -1,6 +1,7 @@
 """Scans and models: decontamination, languages, secrets, fingerprints, packing, scores."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -301,6 +302,62 @@ def test_language_model(spark, nothing):
     assert lm_score.report(nothing).count() == 0
 
 
+def plain_log_likelihood(words, network, text):
+    """The forward pass in loops, one token at a time, over all tokens of the vocabulary."""
+    hashes = next(lm_score.hashed_words(pa.array([text])))[0]
+    tokens, total = [], 0.0
+    known = dict(zip(words.hashes.tolist(), words.tokens.tolist(), strict=True))
+    for h in hashes.tolist():
+        tokens.append(known.get(h, len(known) + h % 2**64 % (words.size - len(known))))
+    for i, target in enumerate(tokens):
+        near = [tokens[j] if 0 <= j < len(tokens) else words.size for j in (i - 2, i - 1, i + 1, i + 2)]
+        joined = [float(x) for t in near for x in network.embed[t]]
+        hidden = [math.tanh(sum(x * float(network.join[k, j]) for k, x in enumerate(joined)) + float(network.shift[j]))
+                  for j in range(lm_score.HIDDEN)]
+        groups = [sum(h * float(network.out[j, c]) for j, h in enumerate(hidden)) + float(network.bias[c])
+                  for c in range(words.classes)]
+        low = math.log(sum(map(math.exp, groups)))
+        every = {}
+        for c in range(words.classes):
+            inner = [sum(h * float(network.member[c, j, m]) for j, h in enumerate(hidden)) + float(network.member_bias[c, m])
+                     for m in range(words.width)]
+            norm = math.log(sum(map(math.exp, inner)))
+            for m, x in enumerate(inner):
+                every[c, m] = groups[c] - low + x - norm
+        assert abs(sum(map(math.exp, every.values())) - 1) < 1e-4
+        total += every[int(words.own_class[target]), int(words.place[target])]
+    return total
+
+
+def test_language_model_against_loops(spark):
+    rng = random.Random(12)
+    texts = [" ".join(f"W{int(rng.paretovariate(0.7)) % 300}" for _ in range(rng.randint(0, 60))) for _ in range(200)]
+    rows = [(i, t, 1.0) for i, t in enumerate([*texts, None, "", "é" * 20000, texts[5], texts[5]])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, log_likelihood double").repartition(5)
+    words = lm_score.learn_vocabulary(docs, "text", 40)
+    count = Counter(w.lower() for _, t, _ in rows for w in (t or "").split())
+    assert sorted(words.counts[:40], reverse=True) == sorted(count.values(), reverse=True)[:40]
+    assert words.counts.sum() == sum(count.values()) and len(words.counts) == 45
+    hashes = next(lm_score.hashed_words(pa.array([" ".join(count)])))[0]
+    filled = np.bincount(words.look_up(hashes), list(count.values()), 45)
+    assert (filled == words.counts).all()
+    model = lm_score.fit(docs, size=40)
+    network = lm_score.Network(*model)
+    scored = lm_score.score(docs, model)
+    assert scored.columns[3:] == ["n_tokens", "_log_likelihood", "mean_log_likelihood"]
+    for parts in (1, 7):  # given the model, a score depends on its text alone
+        got = {r.doc_id: r for r in lm_score.score(docs.repartition(parts), model).collect()}
+        assert got[5]._log_likelihood == pytest.approx(got[203]._log_likelihood, rel=1e-6)
+        for i in (0, 5, 17, 202):
+            assert got[i].n_tokens == len((rows[i][1]).split())
+            assert got[i]._log_likelihood == pytest.approx(plain_log_likelihood(*[model[0], network], rows[i][1]), rel=1e-4)
+
+
+def test_vocabulary_grows():
+    sizes = [lm_score.vocabulary_size(1 << b) for b in (0, 27, 28, 29, 31, 33, 50)]
+    assert sizes == [1 << 13, 1 << 13, 1 << 14, 1 << 14, 1 << 15, 1 << 16, 1 << 16]
+
+
 def test_quality(spark, corpus, nothing):
     rng, docs, labels = random.Random(8), [], []
     for i in range(400):
@@ -325,4 +382,4 @@ def test_quality(spark, corpus, nothing):
 def test_null_batches():
     texts = pa.array([None, "", "a b"])
     assert secrets.candidates("") == []
-    assert [len(t) for t, _ in lm_score.token_slices(texts)] == [2]
+    assert [len(t) for t, _ in lm_score.hashed_words(texts)] == [2]
