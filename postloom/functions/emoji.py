@@ -111,10 +111,13 @@ MAYBE_EMOJI = (
     r"[\x{203C}-\x{3299}\x{FE0E}\x{FE0F}\x{1F000}-\x{1FAFF}]]]"
 )
 
+# Every sequence starts with one of these.
+MAY_START = r"(?=[0-9#*\x{A9}-\x{1FAFF}])"
+
 
 def remove_emoji(text: Column) -> Column:
     """Delete emoji sequences and stray variation signs."""
-    bare = F.regexp_replace(text, f"{EMOJI}|{VARIATION}", "")
+    bare = F.regexp_replace(text, f"{MAY_START}(?:{EMOJI}|{VARIATION})", "")
     return F.when(text.rlike(MAYBE_EMOJI), bare).otherwise(text)
 
 
@@ -139,7 +142,8 @@ def map_emoji(text: Column, words: Mapping[str, str] = EMOJI_WORDS) -> Column:
 
     # Each emoji is cut out between two text-variation signs. That sign is never part of a
     # sequence and is dropped from the result anyway, so signs already in the text do no harm.
-    marked = F.regexp_replace(text, EMOJI, f"{TEXT_SIGN}$0{TEXT_SIGN}")
+    # The lookahead turns most characters away before the three kinds of sequences are tried.
+    marked = F.regexp_replace(text, f"{MAY_START}(?:{EMOJI})", f"{TEXT_SIGN}$0{TEXT_SIGN}")
     mapped = F.array_join(F.transform(F.split(marked, TEXT_SIGN, -1), replaced), "")
     rest = F.replace(mapped, F.lit(EMOJI_SIGN), F.lit(""))
     return F.when(text.rlike(MAYBE_EMOJI), rest).otherwise(text)

@@ -73,18 +73,31 @@ def tables() -> Tables:
 
 
 def char_class(chars: Iterable[str]) -> str:
-    """The characters as ranges of a regular expression's class, without its brackets."""
-    out: list[list[int]] = []
+    """The characters as a class of a regular expression.
+
+    A class is tested range by range, so long lists are halved again and again: a character outside
+    is turned away after two comparisons, any other one after some ten.
+    """
+    spans: list[list[int]] = []
     for code in sorted(map(ord, chars)):
-        if out and code == out[-1][1] + 1:
-            out[-1][1] = code
+        if spans and code == spans[-1][1] + 1:
+            spans[-1][1] = code
         else:
-            out.append([code, code])
-    return "".join(rf"\x{{{a:X}}}" + (rf"-\x{{{b:X}}}" if b > a else "") for a, b in out)
+            spans.append([code, code])
+
+    def spelled(part: list[list[int]]) -> str:
+        if len(part) <= 4:
+            return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in part)
+        middle = len(part) // 2
+        halves = part[:middle], part[middle:]
+        return "".join(rf"[\x{{{h[0][0]:X}}}-\x{{{h[-1][1]:X}}}&&[{spelled(h)}]]" for h in halves)
+
+    return f"[{spelled(spans)}]"
 
 
 def _mapped(text: Column, table: dict[str, str]) -> Column:
-    return F.translate(text, "".join(table), "".join(table.values()))
+    mapped = F.translate(text, "".join(table), "".join(table.values()))
+    return F.when(text.rlike(char_class(table)), mapped).otherwise(text)
 
 
 def composed(text: Column) -> Column:
@@ -94,27 +107,27 @@ def composed(text: Column) -> Column:
     words = F.map_from_arrays(
         F.split(F.lit(" ".join(pairs)), " "), F.split(F.lit(" ".join(pairs.values())), " ")
     )
-    pieces = F.split(text, f"(?=[{first}][{second}])")  # a piece begins with its pair
+    pieces = F.split(text, f"(?={first}{second})")  # a piece begins with its pair
 
     def form(piece: Column) -> Column:
         found = F.try_element_at(words, F.left(piece, F.lit(2)))
         return F.when(found.isNull(), piece).otherwise(F.concat(found, _after(piece, 2)))
 
-    return F.when(text.rlike(f"[{second}]"), F.array_join(F.transform(pieces, form), "")).otherwise(text)
+    return F.when(text.rlike(second), F.array_join(F.transform(pieces, form), "")).otherwise(text)
 
 
 def expanded(text: Column) -> Column:
     """Characters that stand for several, such as ligatures, fractions and units, are written out."""
     table = tables().expansions
     special = char_class(table)
-    pieces = F.split(text, f"(?=[{special}])")  # a piece begins with its special character
+    pieces = F.split(text, f"(?={special})")  # a piece begins with its special character
 
     def form(piece: Column) -> Column:
         char = F.left(piece, F.lit(1))
         spelled = [_at(char, table, i) for i in range(LONGEST)]
-        return F.when(char.rlike(f"[{special}]"), F.concat(*spelled, _after(piece, 1))).otherwise(piece)
+        return F.when(char.rlike(special), F.concat(*spelled, _after(piece, 1))).otherwise(piece)
 
-    return F.when(text.rlike(f"[{special}]"), F.array_join(F.transform(pieces, form), "")).otherwise(text)
+    return F.when(text.rlike(special), F.array_join(F.transform(pieces, form), "")).otherwise(text)
 
 
 def _after(text: Column, n: int) -> Column:
@@ -137,7 +150,7 @@ def left_to_python(composed_text: Column) -> Column:
     """Whether a text, its pairs composed, still holds what the tables do not cover."""
     left = char_class(c for c in tables().left if not unicodedata.category(c).startswith("M"))
     stable = r"\x{FE0F}\x{1F300}-\x{1FAFF}"
-    return composed_text.rlike(rf"[\p{{M}}\p{{Cn}}{left}&&[^{stable}]]")
+    return composed_text.rlike(rf"[\x{{80}}-\x{{10FFFF}}&&[\p{{M}}\p{{Cn}}{left}]&&[^{stable}]]")
 
 
 def nfkc(text: Column) -> Column:
