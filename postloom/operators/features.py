@@ -29,7 +29,8 @@ def term_counts(df: DataFrame, key: str, text: str = "clean_text") -> DataFrame:
     """Rows ``(key, term, tf)`` of each document, counted inside its row.
 
     The sorted terms are cut where they change, so nothing is shuffled, and documents that share a
-    key are never merged.
+    key are never merged. Texts without terms give no array: a filter would be pushed below the steps
+    that make the text and repeat all of them.
     """
     ordered = df.select(key, F.array_sort(X.terms(F.col(text))).alias("__w"))
     words, size = F.col("__w"), F.size("__w")
@@ -37,7 +38,7 @@ def term_counts(df: DataFrame, key: str, text: str = "clean_text") -> DataFrame:
         F.sequence(F.lit(0), size - 1),
         lambda i: (i == 0) | (F.get(words, i) != F.get(words, i - 1)),
     )
-    marked = ordered.filter(size > 0).withColumn("__at", starts)
+    marked = ordered.withColumn("__at", F.when(size > 0, starts))
     runs = F.transform(
         "__at",
         lambda at, i: F.struct(
