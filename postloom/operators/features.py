@@ -161,14 +161,19 @@ def hashed_rows(lists: list[list[bytes]], size: int) -> np.ndarray:
     """
     flat = [x for features in lists for x in features]
     distinct = {x: i for i, x in enumerate(dict.fromkeys(flat))}
+    which = np.fromiter((distinct[x] for x in flat), np.int64, len(flat))
+    return signed_rows(list(distinct), which, [len(x) for x in lists], size)
+
+
+def signed_rows(distinct: list[bytes], which: np.ndarray, lengths: list[int], size: int) -> np.ndarray:
+    """As ``hashed_rows``, of features given by their number in ``distinct``, row after row."""
+    if not len(which):
+        return np.zeros((len(lengths), size), np.float32)
     slots = [hash_slot(x, size) for x in distinct]
     at = np.array([s for s, _ in slots], np.int64)
     sign = np.array([s for _, s in slots])
-    which = np.fromiter((distinct[x] for x in flat), np.int64, len(flat))
-    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    if not len(flat):
-        return np.zeros((len(lists), size), np.float32)
-    sums = np.bincount(row * size + at[which], sign[which], len(lists) * size).reshape(-1, size)
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    sums = np.bincount(row * size + at[which], sign[which], len(lengths) * size).reshape(-1, size)
     norms = np.linalg.norm(sums, axis=1, keepdims=True)
     return (sums / np.where(norms == 0, 1, norms)).astype(np.float32)
 
@@ -205,11 +210,13 @@ def trigram_model(size: int = 128) -> Callable[[], Callable]:
 
     def load() -> Callable:
         def encode_batch(texts: np.ndarray) -> np.ndarray:
-            lists = []
-            for text in texts:
-                padded = f"  {text} "
-                lists.append([padded[i : i + 3].encode() for i in range(len(padded) - 2)])
-            return hashed_rows(lists, size)
+            padded = [np.frombuffer(f"  {text} ".encode("utf-32-le"), np.uint32) for text in texts]
+            # A trigram is one number, 21 bits for each letter.
+            keys = [(p := x.astype(np.int64))[:-2] << 42 | p[1:-1] << 21 | p[2:] for x in padded]
+            coded = pa.array(np.concatenate([np.empty(0, np.int64), *keys])).dictionary_encode()
+            letters = [(k >> 42, k >> 21 & 0x1FFFFF, k & 0x1FFFFF) for k in coded.dictionary.to_pylist()]
+            distinct = ["".join(map(chr, three)).encode() for three in letters]
+            return signed_rows(distinct, coded.indices.to_numpy(), [len(k) for k in keys], size)
 
         return encode_batch
 

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StringIndexer
@@ -143,3 +144,17 @@ def test_encoders_give_unit_vectors(spark, posts):
         norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
         assert {r[0] for r in rows.select(F.size("embedding")).distinct().collect()} == {16}
         assert rows.filter(F.abs(norm - 1) > 1e-5).count() == 0
+
+
+def test_trigram_vectors_of_any_letters():
+    texts = ["", "a", "año 🔥🔥 año", "\0\U0010ffff\uffff", "None", "x" * 3000]
+    lists = [[f"  {t} "[i : i + 3].encode() for i in range(len(t) + 1)] for t in texts]
+    assert (FE.trigram_model(16)()(np.array(texts, object)) == FE.hashed_rows(lists, 16)).all()
+    assert FE.trigram_model(16)()(np.array([], object)).shape == (0, 16)
+
+
+def test_each_distinct_trigram_is_spelled_once(monkeypatch):
+    seen = []
+    monkeypatch.setattr(FE, "signed_rows", lambda distinct, which, lengths, size: seen.extend(distinct))
+    FE.trigram_model(16)()(np.array(["aaaa", "aaab"], object))
+    assert sorted(seen) == [b"  a", b" aa", b"aa ", b"aaa", b"aab", b"ab "]
