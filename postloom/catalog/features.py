@@ -55,7 +55,8 @@ weights AS (SELECT doc_id, term, round(raw / sqrt(sum(raw * raw) OVER (PARTITION
 
 @query("fe3_tfidf", f"WITH {COUNTS}, {_vocabulary(5000)}, {TFIDF} SELECT * FROM weights")
 def tfidf(t):
-    rows = FE.tfidf(clean_documents(t), "doc_id")
+    """Clean texts are stored, as they are counted, learnt from and weighted."""
+    rows = FE.tfidf(stored(t, clean_documents(t), "clean"), "doc_id")
     return rows.withColumn("weight", F.round("weight", 6))
 
 
@@ -66,7 +67,7 @@ def tfidf(t):
 FROM documents d LEFT JOIN weights w ON w.doc_id = d.doc_id GROUP BY d.doc_id""",
 )
 def tfidf_vectors(t):
-    docs = clean_documents(t)
+    docs = stored(t, clean_documents(t), "clean")
     rows = FE.with_tfidf(docs, FE.fit_tfidf(docs))
     weights = F.unwrap_udt("features")["values"]
     zero = F.lit(0).cast("decimal(28,6)")

@@ -23,3 +23,10 @@ def test_no_filter_repeats_the_cleaning(spark):
 def test_counts_of_texts_without_terms(spark):
     rows = spark.createDataFrame([(1, "ab ab c"), (2, ""), (3, None), (None, "! x"), (1, "ab")], "id int, clean_text string")
     assert sorted(map(tuple, FE.term_counts(rows, "id").collect())) == [(1, "ab", 1), (1, "ab", 2)]
+
+
+@pytest.mark.parametrize("name", ["fe3_tfidf", "fe3_tfidf_vectors"])
+def test_clean_texts_are_read_back(spark, name):
+    assert "RLIKE" not in plan(E.queries()[name](spark, FOLDER))
+
+
