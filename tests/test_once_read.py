@@ -30,3 +30,8 @@ def test_clean_texts_are_read_back(spark, name):
     assert "RLIKE" not in plan(E.queries()[name](spark, FOLDER))
 
 
+
+
+def test_stratified_sample_moves_no_texts(spark):
+    rows = E.queries()["sa2_stratified_sample"](spark, FOLDER)
+    assert "full_text" not in plan(rows) and "text#" not in plan(rows)
