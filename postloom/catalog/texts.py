@@ -10,7 +10,7 @@ from ..functions import text as X
 from ..operators import heavy as HH
 from ..operators import text as TX
 from . import sqltext as S
-from .registry import query
+from .registry import query, stored
 
 # Noise that holds whole texts together: the documents with links, tags and emoji mixed in.
 NOISY = f"noisy AS (SELECT doc_id, {S.noisy_sql('text')} AS full_text FROM documents)"
@@ -93,7 +93,8 @@ lemmas AS (
 
 
 def lemma_table(t):
-    words = t.documents.select(F.explode(X.tokens(F.lower("text"))).alias("form")).distinct()
+    listed = t.documents.select(F.explode(X.tokens(F.lower("text"))).alias("form"))
+    words = stored(t, listed.distinct(), "words")
     cut = words.filter(F.col("form").endswith("s")).select(
         "form", F.expr("left(form, length(form) - 1)").alias("lemma")
     )
@@ -112,14 +113,14 @@ FROM cleaned c LEFT JOIN grouped g ON g.doc_id = c.doc_id"""
 
 @query("tx14_lemmas", LEMMAS_SQL)
 def lemmas(t):
-    docs = clean_documents(t)
+    docs = stored(t, clean_documents(t), "clean")
     out = TX.with_lemmas(TX.with_tokens(docs), lemma_table(t))
     return out.select("doc_id", F.array_join("tokens", "|").alias("tokens"))
 
 
 @query("tx14_lemmas_large_table", LEMMAS_SQL)
 def lemmas_large(t):
-    docs = clean_documents(t)
+    docs = stored(t, clean_documents(t), "clean")
     table = lemma_table(t)
     out = TX.with_lemmas(TX.with_tokens(docs), table, row_bytes=0, max_bytes=0)
     return out.select("doc_id", F.array_join("tokens", "|").alias("tokens"))

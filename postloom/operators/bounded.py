@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import seeded_hash
+from ..session import shared_dir
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 # Digits of the order that one count adds, digits in all, and rows that may be counted one by one.
@@ -45,6 +46,13 @@ def settled(table: DataFrame, key: str, value: str) -> DataFrame:
     return table.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(value).alias(value))
 
 
+def stored_once(table: DataFrame, name: str) -> DataFrame:
+    """The table written to the shared folder and read again, so that measuring and using it make it once."""
+    path = shared_dir(table.sparkSession, name)
+    table.write.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
 def lookup_join(
     df: DataFrame, table: DataFrame, on: str, max_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
@@ -66,7 +74,9 @@ def lookup_dict(
     A large table is first cut to the keys that occur in ``words``, a column of the same name.
     """
     if not fits_in_memory(table, max_bytes):
-        table = table.join(words.select(key).distinct(), key, "left_semi")
+        if not max_bytes:
+            return None
+        table = stored_once(table.join(words.select(key).distinct(), key, "left_semi"), "lookup")
         if not fits_in_memory(table, max_bytes):
             return None
     return {row[key]: row[value] for row in table.collect()}

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..config import PreprocessConfig
 from ..functions import text as X
-from .bounded import lookup_dict, lookup_join, row_digest, settled
+from .bounded import lookup_dict, lookup_join, row_digest, settled, stored_once
 
 # Each Python worker holds its own copy of the table, several times its size as text.
 ROW_LOOKUP_BYTES = 16 * 1024 * 1024
@@ -62,6 +62,7 @@ def with_lemmas(
     form as ``lookup_join`` sees fit and put back in order by a hash of the whole row.
     """
     table = settled(lemmas.select("form", "lemma").filter(F.col("lemma").isNotNull()), "form", "lemma")
+    table = stored_once(table, "settled")
     words = df.select(F.explode(tokens).alias("form"))
     forms = lookup_dict(words, table, "form", "lemma", row_bytes)
     if forms is not None:
