@@ -11,7 +11,7 @@ from ..functions import text as X
 from ..operators import agreement as A
 from ..operators import label as LB
 from . import sqltext as S
-from .registry import LABELLED, query
+from .registry import LABELLED, query, stored
 from .texts import CLEAN, clean_documents
 
 # Weights for words that do occur in the supplied texts.
@@ -78,11 +78,11 @@ LEARNT = f"""learnt AS (
 
 
 def learnt_lexicon(t):
+    """Documents are joined before their words are listed, so that words are shuffled as sums only."""
     words = F.array_distinct(X.tokens(F.lower("text")))
-    seen = t.documents.select("doc_id", F.explode(words).alias("word"))
+    seen = t.documents.join(t.labels, "doc_id").select("quality", F.explode(words).alias("word"))
     good = F.when(2 * F.sum("quality") > F.count("*"), 1).otherwise(-1)
-    weights = seen.join(t.labels, "doc_id").groupBy("word").agg(good.alias("weight"))
-    return weights
+    return seen.groupBy("word").agg(good.alias("weight"))
 
 
 LEARNT_SQL = f"""WITH {TOKENS}, {LEARNT}
@@ -94,13 +94,13 @@ LEFT JOIN learnt l ON l.word = w.word GROUP BY t.doc_id"""
 
 @query("lb1_lexicon_table", LEARNT_SQL)
 def lexicon_table(t):
-    docs = clean_documents(t)
+    docs = stored(t, clean_documents(t), "clean")
     return LB.with_table_hits(docs, learnt_lexicon(t)).select("doc_id", "pos", "neg")
 
 
 @query("lb1_lexicon_table_large", LEARNT_SQL)
 def lexicon_table_large(t):
-    docs = clean_documents(t)
+    docs = stored(t, clean_documents(t), "clean")
     lexicon = learnt_lexicon(t)
     return LB.with_table_hits(docs, lexicon, row_bytes=0, max_bytes=0).select("doc_id", "pos", "neg")
 

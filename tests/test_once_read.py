@@ -5,7 +5,10 @@ import pytest
 import __spark_entry__ as E
 from postloom.catalog import labels, texts
 from postloom.catalog.registry import Tables
+from postloom.operators import bounded
 from postloom.operators import features as FE
+from postloom.operators import label as LB
+from postloom.operators import text as TX
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -34,4 +37,28 @@ def test_clean_texts_are_read_back(spark, name):
 
 def test_stratified_sample_moves_no_texts(spark):
     rows = E.queries()["sa2_stratified_sample"](spark, FOLDER)
-    assert "full_text" not in plan(rows) and "text#" not in plan(rows)
+    read = rows._jdf.queryExecution().executedPlan().toString()
+    assert "doc_id:bigint" in read and "text:string" not in read
+
+
+def test_labels_are_joined_before_words_are_listed(spark):
+    found = plan(labels.learnt_lexicon(Tables(spark, FOLDER)))
+    assert found.index("Generate") < found.index("Join")
+
+
+def test_words_of_the_lemmas_are_listed_once(spark):
+    assert "regexp_extract_all" not in plan(texts.lemma_table(Tables(spark, FOLDER)))
+
+
+@pytest.mark.parametrize("row_bytes", [0, 2**20])
+def test_lookup_tables_are_made_once(spark, monkeypatch, row_bytes):
+    measured, measure = [], bounded.table_bytes
+    monkeypatch.setattr(bounded, "table_bytes", lambda table: measured.append(plan(table)) or measure(table))
+    df = spark.createDataFrame([(1, "cats and dogs cats"), (2, ""), (3, None)], "id int, clean_text string")
+    forms = spark.createDataFrame([("cats", "cat"), ("cats", "katze"), ("dogs", "dog"), (None, "x")], "form string, lemma string")
+    lemmas = TX.with_lemmas(TX.with_tokens(df), forms, row_bytes=row_bytes).collect()
+    assert {r.id: r.tokens for r in lemmas} == {1: ["cat", "and", "dog", "cat"], 2: [], 3: None}
+    weights = spark.createDataFrame([("cats", 2), ("cats", 3), ("dogs", -1)], "word string, weight int")
+    hits = LB.with_table_hits(df, weights, row_bytes=row_bytes).collect()
+    assert {r.id: (r.pos, r.neg) for r in hits} == {1: (4, 1), 2: (0, 0), 3: (0, 0)}
+    assert measured and not any("Aggregate" in found for found in measured)
