@@ -111,8 +111,8 @@ MAYBE_EMOJI = (
     r"[\x{203C}-\x{3299}\x{FE0E}\x{FE0F}\x{1F000}-\x{1FAFF}]]]"
 )
 
-# Every sequence starts with one of these.
-MAY_START = r"(?=[0-9#*\x{A9}-\x{1FAFF}])"
+# Every sequence starts with one of these (and some others).
+MAY_START = r"(?=[#-9\x{A9}\x{AE}\x{203C}-\x{1FAFF}])"
 
 
 def remove_emoji(text: Column) -> Column:

@@ -141,9 +141,19 @@ def _at(char: Column, table: dict[str, str], i: int) -> Column:
     return F.translate(char, "".join(there + gone), "".join(table[c][i] for c in there))
 
 
-@F.pandas_udf(T.StringType())
-def _by_unicodedata(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+def _by_unicodedata(text: Column) -> Column:
+    """The function is made per call: once used, it holds its session and could not be sent with this module."""
+
+    @F.pandas_udf(T.StringType())
+    def normalized(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+
+    return normalized(text)
+
+
+def may_change(text: Column) -> Column:
+    """Whether a text holds a character with another form, or one that may attach to its predecessor."""
+    return text.rlike(char_class([*tables().singles, *tables().expansions, *tables().left]))
 
 
 def left_to_python(composed_text: Column) -> Column:
@@ -155,7 +165,7 @@ def left_to_python(composed_text: Column) -> Column:
 
 def nfkc(text: Column) -> Column:
     """Unicode NFKC of a text; null stays null."""
-    changing = text.rlike(f"[^{NFKC_STABLE}]")
+    changing = may_change(text)
     whole = composed(text)
     outside = left_to_python(whole)
     by_table = expanded(_mapped(whole, tables().singles))

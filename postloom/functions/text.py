@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column
@@ -12,10 +13,22 @@ from . import patterns as P
 from .emoji import EMOJI_WORDS, map_emoji, remove_emoji
 from .nfkc import NFKC_STABLE, nfkc  # noqa: F401
 
+# Java forms of the patterns in ``patterns``, with the same matches. Most characters fail the first test
+# of a pattern, so each begins with one that turns them away.
+_URL = f"[hw](?:(?<=h)ttp|(?<=w)ww){P.NOT_SPACE}+"
+# A hyphen behind the word character of the match before is none: that character is used up.
+_HYPHEN = f"-(?<={P.WORD}-)({P.WORD})(-?)"
+_SPACE = (
+    r"[\x09-\x20\x{85}-\x{3000}&&[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]]"
+)
+# Runs of white space that are not one blank already.
+_SPACES = rf"{_SPACE}(?:{_SPACE}++|(?<! ))"
+
 
 def strip_urls(text: Column) -> Column:
     """Delete from ``http`` or ``www`` to the next blank, also inside a word."""
-    return F.regexp_replace(text, P.URL, "")
+    return F.regexp_replace(text, _URL, "")
 
 
 def strip_mentions(text: Column) -> Column:
@@ -40,20 +53,27 @@ def emojis(text: Column, mode: str = "map", words: Mapping[str, str] = EMOJI_WOR
 
 
 def join_compounds(text: Column, names: Iterable[str] = COMPOUND_NAMES) -> Column:
-    """Glue the words of known names with an underscore; expects lower-case text."""
-    for name in names:
-        low = name.lower()
-        text = F.replace(text, F.lit(low), F.lit(low.replace(" ", "_")))
-    return text
+    """Glue the words of known names with an underscore; expects lower-case text.
+
+    One scan for what follows a name's first blank passes over texts without any name.
+    """
+    lows = [name.lower() for name in names if " " in name]
+    if not lows:
+        return text
+    glued = text
+    for low in lows:
+        glued = F.replace(glued, F.lit(low), F.lit(low.replace(" ", "_")))
+    ends = "|".join(re.escape(low[low.index(" ") + 1 :]) for low in lows)
+    return F.when(text.rlike(f" (?:{ends})"), glued).otherwise(text)
 
 
 def split_hyphens(text: Column) -> Column:
-    return F.regexp_replace(text, P.HYPHENATED, "$1 $2")
+    return F.regexp_replace(text, _HYPHEN, " $1$2")
 
 
 def squeeze(text: Column) -> Column:
     """Turn each run of white space into one blank and strip both ends."""
-    return F.trim(F.regexp_replace(text, P.SPACES, " "))
+    return F.trim(F.regexp_replace(text, _SPACES, " "))
 
 
 def tokens(text: Column) -> Column:
