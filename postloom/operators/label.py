@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+import re
+import unicodedata
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import CLASSES, STRATEGIES
+from ..functions import patterns as P
 from ..functions import text as X
 from .bounded import lookup_dict, lookup_join, row_digest, settled, stored_once
 from .curate import select_existing
@@ -73,6 +76,22 @@ def lexicon_hits(words: Column, lexicon: Lexicon) -> Column:
     )
 
 
+def _is_token(word: str) -> bool:
+    inside = [c == "_" or unicodedata.category(c)[0] in "LN" for c in word.replace("'", "")]
+    return all(inside) and all(word.split("'"))
+
+
+def listed_tokens(text: Column, listed: Iterable[str]) -> Column:
+    """Those of ``tokens(text)`` that are listed, in order, without listing the others."""
+    words = sorted(filter(_is_token, listed))
+    if not words:
+        return F.when(text.isNotNull(), F.array().cast("array<string>"))
+    starts = "".join(sorted({re.escape(w[0]) for w in words}))
+    whole = "|".join(map(re.escape, words))
+    pattern = f"(?=[{starts}])(?<!{P.WORD})(?<!{P.WORD}')(?:{whole})(?!'?{P.WORD})"
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+
 def hit_probabilities(hits: Column, names: Sequence[str]) -> Column:
     """Map of class name to probability from whole positive and negative hits.
 
@@ -93,7 +112,7 @@ def lexicon_scorer(lexicon: Lexicon, names: Sequence[str] = tuple(SHORT_NAMES))
     """Text column to a map of class probabilities, by counting listed words."""
 
     def score(text: Column) -> Column:
-        words = X.tokens(F.coalesce(text, F.lit("")))
+        words = listed_tokens(F.coalesce(text, F.lit("")), lexicon)
         return hit_probabilities(lexicon_hits(words, lexicon), names)
 
     return score
