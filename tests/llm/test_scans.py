@@ -353,6 +353,98 @@ def test_language_model_against_loops(spark):
             assert got[i]._log_likelihood == pytest.approx(plain_log_likelihood(*[model[0], network], rows[i][1]), rel=1e-4)
 
 
+def small_network(seed=4):
+    """A network over 45 tokens, and a slice of rows: empty ones, one word, many."""
+    rng = np.random.default_rng(seed)
+    words = lm_score.Vocabulary.of(np.arange(-20, 20) << 40, rng.integers(1, 99, 40), np.ones(5))
+    sizes = np.array([0, 1, 0, 0, 3, 700, 2, 90, 0])
+    tokens = rng.integers(0, words.size, sizes.sum())
+    return words, lm_score.Network(words), tokens, np.concatenate([[0], sizes.cumsum()])
+
+
+def plain_neighbours(tokens, rows, blank):
+    ends = [(a, b) for a, b in zip(rows[:-1], rows[1:], strict=True) for _ in range(a, b)]
+    return np.array([[tokens[j] if a <= j < b else blank for j in (i - 2, i - 1, i + 1, i + 2)] for i, (a, b) in enumerate(ends)])
+
+
+def test_language_model_reads_each_token_once_a_batch():
+    words, _, tokens, rows = small_network()
+    stream, places = lm_score.stream_of(tokens, rows, words.size)
+    assert (stream[places] == tokens).all() and (np.delete(stream, places) == words.size).all()
+    assert len(stream) == len(tokens) + lm_score.SIDE * 6  # blanks around five rows that have words
+    beside = plain_neighbours(tokens, rows, words.size)
+    for at in range(0, len(tokens), 100):
+        span, own = lm_score._part(stream, places, at, at + 100)
+        assert len(span) <= 100 + lm_score.SIDE * 7  # not the four neighbours of each
+        assert (span[own[:, None] + np.array([0, 1, 3, 4])] == beside[at : at + 100]).all()
+
+
+def test_language_model_steps_against_plain_formulas(monkeypatch):
+    monkeypatch.setattr(lm_score, "FIRST_BATCH", 300)
+    monkeypatch.setattr(lm_score, "_SMALL", 1 << 13)  # blocks of 32 rows, so that classes are cut
+    words, network, tokens, rows = small_network()
+    beside = plain_neighbours(tokens, rows, words.size)
+    names = ("embed", "join", "shift", "out", "bias", "member", "member_bias")
+    plain = {k: np.array(getattr(network, k), float) for k in names}
+    gain = {k: np.full(v.shape, 1e-6) for k, v in plain.items()}
+    softmax = lambda x: np.exp(x) / np.exp(x).sum()
+    for first in range(0, len(tokens), 300):
+        slope = {k: np.zeros_like(v) for k, v in plain.items()}
+        batch = range(first, min(first + 300, len(tokens)))
+        for i in batch:
+            c, m = words.own_class[tokens[i]], words.place[tokens[i]]
+            joined = plain["embed"][beside[i]].ravel()
+            hidden = np.tanh(joined @ plain["join"] + plain["shift"])
+            outer = softmax(hidden @ plain["out"] + plain["bias"])
+            inner = softmax(hidden @ plain["member"][c] + plain["member_bias"][c])
+            outer[c] -= 1
+            inner[m] -= 1
+            back = (plain["out"] @ outer + plain["member"][c] @ inner) * (1 - hidden**2)
+            slope["out"] += np.outer(hidden, outer)
+            slope["bias"] += outer
+            slope["member"][c] += np.outer(hidden, inner)
+            slope["member_bias"][c] += inner
+            slope["join"] += np.outer(joined, back)
+            slope["shift"] += back
+            np.add.at(slope["embed"], beside[i], (plain["join"] @ back).reshape(4, -1))
+        for k, v in slope.items():
+            v /= len(batch)
+            gain[k] += v * v
+            plain[k] -= lm_score.RATE * v / np.sqrt(gain[k])
+    network.train_all(tokens, rows)
+    for k in names:
+        assert np.abs(getattr(network, k) - plain[k]).max() < 2e-3, k
+
+
+def test_language_model_with_far_logits():
+    words, network, tokens, rows = small_network()
+    near = network.score_all(tokens, rows)
+    for lift in (300, -300):
+        network.bias += np.float32(lift)  # a softmax does not see what all logits share
+        network.member_bias += np.float32(lift)
+        assert network.score_all(tokens, rows) == pytest.approx(near, abs=1e-3)
+        network.bias -= np.float32(lift)
+        network.member_bias -= np.float32(lift)
+
+
+def test_words_that_share_leading_bits():
+    hashes = np.array([-(2**63), -(2**62), -1, 0, 1, 2, 5, 1 << 50, 2**63 - 1])
+    words = lm_score.Vocabulary.of(hashes[::-1].copy(), np.arange(9)[::-1] + 1, np.ones(2))
+    assert words.look_up(hashes).tolist() == list(range(8, -1, -1))
+    assert words.look_up(np.array([3, 4, -2, 7, 2**63 - 2, -(2**63) + 1])).tolist() == [10, 9, 9, 10, 9, 10]
+    assert lm_score.Vocabulary.of(np.zeros(0, np.int64), np.zeros(0), np.ones(1)).look_up(hashes).tolist() == [0] * 9
+
+
+def test_word_counts_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "_HELD", 50)
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(300)}" for _ in range(40)) for _ in range(60)] + [None, ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    found = lm_score.word_counts(rows, "text").collect()
+    count = Counter(w for t in texts for w in (t or "").split())
+    assert sorted(r.n for r in found) == sorted(count.values()) and len({r.word for r in found}) == len(count)
+
+
 def test_vocabulary_grows():
     sizes = [lm_score.vocabulary_size(1 << b) for b in (0, 27, 28, 29, 31, 33, 50)]
     assert sizes == [1 << 13, 1 << 13, 1 << 14, 1 << 14, 1 << 15, 1 << 16, 1 << 16]
