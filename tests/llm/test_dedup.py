@@ -213,3 +213,15 @@ def test_suffix_arrays():
             while j >= 0 and common < 9 and data[i + common : i + common + 1] == data[j + common : j + common + 1] != b"":
                 common += 1
             assert prefix[i] == common
+
+
+def test_suffix_array_goes_by_bytes_not_words(spark):
+    """Passages of over 50 words go if they have 400 bytes; shorter ones and documents without any stay."""
+    long, short = " ".join(f"longword{i:03d}" for i in range(60)), " ".join(f"w{i:02d}" for i in range(60))
+    assert len(long) > suffix_dedup.LENGTH > len(short)
+    texts = [f"{i:04d} " + " ".join(prose(300 + i, 80)) for i in range(6)]
+    texts = [texts[0] + "<" + long, texts[1] + ">" + long, texts[2] + "<" + short, texts[3] + ">" + short, *texts[4:]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in suffix_dedup.report(rows).collect()}
+    assert [got[i].n_removed for i in range(6)] == [len(long), len(long), 0, 0, 0, 0]
+    assert [got[i].n_bytes for i in range(6)] == [len(t.encode()) for t in texts]
