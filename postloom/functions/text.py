@@ -16,8 +16,9 @@ from .nfkc import NFKC_STABLE, nfkc  # noqa: F401
 # Java forms of the patterns in ``patterns``, with the same matches. Most characters fail the first test
 # of a pattern, so each begins with one that turns them away.
 _URL = f"[hw](?:(?<=h)ttp|(?<=w)ww){P.NOT_SPACE}+"
-# A hyphen behind the word character of the match before is none: that character is used up.
-_HYPHEN = f"-(?<={P.WORD}-)({P.WORD})(-?)"
+# A hyphen behind the word character of the match before is none: that character is used up. Java looks behind by
+# code points, not by halves of surrogate pairs, if the pattern holds such a character itself; U+10000 is a letter.
+_HYPHEN = f"-(?<=[{P.WORD}\U00010000]-)({P.WORD})(-?)"
 _SPACE = (
     r"[\x09-\x20\x{85}-\x{3000}&&[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]]"
