@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import shared_dir, shuffles_freed
 from ..sources.tables import read_table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,7 +68,8 @@ class Tables:
 def stored(t: Tables, df: DataFrame, name: str) -> DataFrame:
     """Write a derived table to the shared folder and read it, so that it is computed once."""
     path = shared_dir(t.spark, name)
-    df.write.parquet(path)
+    with shuffles_freed(t.spark):
+        df.write.parquet(path)
     return t.spark.read.parquet(path)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import seeded_hash
-from ..session import shared_dir
+from ..session import shared_dir, shuffles_freed
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 # Digits of the order that one count adds, digits in all, and rows that may be counted one by one.
@@ -46,10 +46,11 @@ def settled(table: DataFrame, key: str, value: str) -> DataFrame:
     return table.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(value).alias(value))
 
 
-def stored_once(table: DataFrame, name: str) -> DataFrame:
+def stored_once(table: DataFrame, name: str, **options: str | int) -> DataFrame:
     """The table written to the shared folder and read again, so that measuring and using it make it once."""
     path = shared_dir(table.sparkSession, name)
-    table.write.parquet(path)
+    with shuffles_freed(table.sparkSession):
+        table.write.options(**options).parquet(path)
     return table.sparkSession.read.schema(table.schema).parquet(path)
 
 

@@ -22,9 +22,10 @@ from ..functions import text as X
 from .bounded import lookup_dict, lookup_join, row_digest, settled, stored_once
 from .curate import select_existing
 from .sample import stratified_sample
-from .text import ROW_KEYS, ROW_LOOKUP_BYTES
+from .text import ROW_LOOKUP_BYTES
 
 DEFAULT_LABEL = "neutro"
+ROW_KEYS = ["__row_a", "__row_b"]
 # Class names of the two annotators and the corpus labels they stand for.
 SHORT_NAMES = {"POS": "positivo", "NEG": "negativo", "NEU": "neutro"}
 LONG_NAMES = {"positive": "positivo", "negative": "negativo", "neutral": "neutro"}

@@ -12,11 +12,18 @@ from pyspark.sql import types as T
 
 from ..config import PreprocessConfig
 from ..functions import text as X
-from .bounded import lookup_dict, lookup_join, row_digest, settled, stored_once
+from .blocks import packed, unpacked
+from .bounded import lookup_dict, lookup_join, settled, stored_once
 
 # Each Python worker holds its own copy of the table, several times its size as text.
 ROW_LOOKUP_BYTES = 16 * 1024 * 1024
-ROW_KEYS = ["__row_a", "__row_b"]
+# A block is one row of some megabytes: row groups are closed by their size after each row.
+BLOCK_FILES = {
+    "compression": "zstd",
+    "parquet.block.size": 16 * 1024 * 1024,
+    "parquet.block.size.row.check.min": 1,
+    "parquet.page.size.row.check.min": 1,
+}
 
 
 def with_clean_text(
@@ -58,8 +65,8 @@ def with_lemmas(
     """Replace each token by its lemma from a ``(form, lemma)`` table.
 
     Of several lemmas of a form the smallest counts. Forms that occur are looked up inside each row,
-    in Arrow batches, while they are measured below ``row_bytes``. Beyond, the tokens are joined by
-    form as ``lookup_join`` sees fit and put back in order by a hash of the whole row.
+    in Arrow batches, while they are measured below ``row_bytes``. Beyond, rows are stored in blocks; each
+    form of a block is joined once, as ``lookup_join`` sees fit, and the lemmas found go to the blocks.
     """
     table = settled(lemmas.select("form", "lemma").filter(F.col("lemma").isNotNull()), "form", "lemma")
     table = stored_once(table, "settled")
@@ -68,15 +75,14 @@ def with_lemmas(
     if forms is not None:
         replace = _lemma_function(df.sparkSession.sparkContext.broadcast(forms))
         return df.withColumn(out, replace(tokens))
-    marked = df.withColumns(dict(zip(ROW_KEYS, row_digest(df), strict=True)))
-    once = marked.select(*ROW_KEYS, tokens).dropDuplicates(ROW_KEYS)
-    looked = lookup_join(once.select(*ROW_KEYS, F.posexplode(tokens).alias("__pos", "form")), table, "form", **join_options)
-    lemma = F.coalesce("lemma", "form")
-    grouped = looked.groupBy(*ROW_KEYS).agg(
-        F.array_sort(F.collect_list(F.struct("__pos", lemma.alias("lemma")))).alias("__lemmas")
-    )
-    fixed = F.coalesce(F.col("__lemmas.lemma"), F.col(tokens))
-    return marked.join(grouped, ROW_KEYS, "left").withColumn(out, fixed).drop("__lemmas", *ROW_KEYS)
+    whole = df.withColumn(out, F.col(tokens).cast("array<string>"))
+    blocks = packed(whole, out).withColumn("__block", F.monotonically_increasing_id())
+    blocks = stored_once(blocks, "blocks", **BLOCK_FILES)
+    listed = blocks.select("__block", F.posexplode("forms").alias("at", "form"))
+    looked = lookup_join(listed, table, "form", **join_options).filter(F.col("lemma").isNotNull())
+    found = looked.groupBy("__block").agg(F.collect_list(F.struct("at", "lemma")).alias("found"))
+    joined = lookup_join(blocks, stored_once(found, "found"), "__block", **join_options)
+    return unpacked(joined, whole.schema, out)
 
 
 def _lemma_function(forms: Broadcast):
